@@ -47,10 +47,15 @@ def surplus_rows(df: DataFrame, key: str) -> DataFrame:
     )
 
 
+def blank_counts(df: DataFrame) -> dict[str, Column]:
+    """NULL-or-empty count per column; only text can be empty."""
+    text = {f.name for f in df.schema if f.dataType.typeName() == "string"}
+    return {c: F.count_if(is_blank(c, c in text)) for c in df.columns}
+
+
 def blanks(df: DataFrame) -> DataFrame:
     """NULL-or-empty count of every column, one scan: (column_name, n_blank)."""
-    text = {f.name for f in df.schema if f.dataType.typeName() == "string"}
-    counts = df.agg(*(F.count_if(is_blank(c, c in text)).alias(c) for c in df.columns))
+    counts = df.agg(*(n.alias(c) for c, n in blank_counts(df).items()))
     return counts.unpivot([], df.columns, "column_name", "n_blank")
 
 

@@ -7,6 +7,7 @@ from tidemark.sources.tables import (
     bronze,
     register_bronze,
     replace_table,
+    stored,
     write_audit,
 )
 
@@ -20,6 +21,7 @@ __all__ = [
     "replace_table",
     "shared_folder",
     "stamp_ingest",
+    "stored",
     "table_folder",
     "write_audit",
 ]

@@ -27,6 +27,11 @@ def _live_slot(spark: SparkSession, name: str) -> str | None:
     return "b" if text[0].rstrip("` ").endswith("__b") else "a"
 
 
+def stored(spark: SparkSession, name: str) -> DataFrame:
+    """The live backing table of `name`, which knows its files."""
+    return spark.table(f"{name}__{_live_slot(spark, name)}")
+
+
 def replace_table(
     df: DataFrame, name: str, bucket_key: str | None = None, buckets: int = 0
 ) -> None:
@@ -69,5 +74,6 @@ def write_audit(violations: DataFrame, rule_id: str, database: str) -> str:
 
 def drop_audit(spark: SparkSession, rule_ids: Iterable[str], database: str) -> None:
     """Remove the rows an earlier run left for rules that now pass."""
-    for rule_id in rule_ids:
-        spark.sql(f"DROP TABLE IF EXISTS {database}.{rule_id}")
+    left = {table.name for table in spark.catalog.listTables(database)}
+    for rule_id in left.intersection(r.lower() for r in rule_ids):
+        spark.sql(f"DROP TABLE {database}.{rule_id}")

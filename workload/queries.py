@@ -2,17 +2,62 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.plans import gold, silver
-from workload.bank import CLOCK, Bank, bank
+from tidemark import streaming
+from tidemark.config import Clock, Thresholds, moment, pin_session
+from tidemark.operators import incremental, keys, layout
+from tidemark.plans import checks, gold, monitoring, pipeline, profiling, rules, silver
+from tidemark.schemas import CUSTOMERS, GOLD, INGESTED, RAW, SILVER
+from tidemark.sources import (
+    bronze,
+    materialise,
+    read_delimited,
+    register_bronze,
+    replace_table,
+    stamp_ingest,
+    table_folder,
+)
+from workload.bank import CLOCK, FIRST_LOAD, SECOND_LOAD, Bank, bank, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
+OTHER_LIMITS = Thresholds(
+    active_days=30,
+    at_risk_days=60,
+    high_value=90_000,
+    medium_value=30_000,
+    premium_value=60_000,
+    highly_engaged=7,
+    moderately_engaged=5,
+    new_days=200,
+    growing_days=500,
+    established_days=900,
+)
+LABELS = (
+    "is_active_customer",
+    "customer_status",
+    "customer_value_segment",
+    "customer_segment",
+    "engagement_segment",
+    "customer_lifecycle_stage",
+)
+
+
+def scratch_database(spark: SparkSession) -> str:
+    """A new database whose tables live in the shared folder."""
+    name = f"scratch_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{table_folder(spark, 'database')}'")
+    return name
+
+
 def query(fn: Callable[[Bank], DataFrame]) -> Callable[[Bank], DataFrame]:
     """Register a function of the four raw tables under its own name."""
     QUERIES[fn.__name__] = lambda spark, sf_dir: fn(bank(spark, sf_dir))
@@ -48,3 +93,564 @@ def profile(b: Bank) -> DataFrame:
 @query
 def gold_profile(b: Bank) -> DataFrame:
     return profile(b).drop("_gold_updated_at")
+
+
+@query
+def gold_custom_thresholds(b: Bank) -> DataFrame:
+    """The profile's labels under other thresholds."""
+    built = gold.customer_profile(
+        silver_customers(b),
+        silver_products(b),
+        silver_interactions(b),
+        silver_transactions(b),
+        CLOCK,
+        OTHER_LIMITS,
+    )
+    return built.select("customer_id", *LABELS)
+
+
+@query
+def gold_status_summary(b: Bank) -> DataFrame:
+    return gold.status_summary(profile(b))
+
+
+@query
+def gold_segment_only(b: Bank) -> DataFrame:
+    return profile(b).select("customer_id", "customer_segment", "total_transaction_value")
+
+
+@query
+def deidentified_view(b: Bank) -> DataFrame:
+    return gold.deidentify(silver_customers(b))
+
+
+# Keys, joins, changes ----------------------------------------------------------
+
+
+def dedup_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items repeat (order, line): the latest shipment of each is kept."""
+    pin_session(spark)
+    lines = table(spark, sf_dir, "lineitem")
+    lines = lines.withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp"))
+    return keys.dedup_latest(lines, ["l_orderkey", "l_linenumber"], "l_shipdate")
+
+
+QUERIES["dedup_latest"] = dedup_latest
+
+
+@query
+def transactions_with_product_type(b: Bank) -> DataFrame:
+    return silver.with_product_type(b.transactions, b.enrollments).select(
+        "transaction_id", "product_id", "kind"
+    )
+
+
+@query
+def watermark(b: Bank) -> DataFrame:
+    return incremental.watermark(silver_transactions(b.loaded_by(FIRST_LOAD)))
+
+
+@query
+def changed_keys(b: Bank) -> DataFrame:
+    target = silver_transactions(b.loaded_by(FIRST_LOAD))
+    return incremental.changed_keys(b.transactions, incremental.watermark(target).scalar())
+
+
+@query
+def history_of_changed(b: Bank) -> DataFrame:
+    changed = incremental.changed_keys(b.transactions, FIRST_LOAD)
+    return keys.restrict_to(b.transactions, changed, "customer_id").select(
+        "transaction_id", "customer_id"
+    )
+
+
+@query
+def incremental_transactions(b: Bank) -> DataFrame:
+    """First load in full, second load by watermark: equals the full roll-up."""
+    target = silver_transactions(b.loaded_by(FIRST_LOAD))
+    return incremental.incremental_refresh(
+        b.transactions, target, lambda rows: silver.silver_transactions(rows, b.enrollments)
+    )
+
+
+@query
+def incremental_interactions(b: Bank) -> DataFrame:
+    target = silver_interactions(b.loaded_by(FIRST_LOAD))
+    return incremental.incremental_refresh(b.interactions, target, silver.silver_interactions)
+
+
+@query
+def backfill_interactions(b: Bank) -> DataFrame:
+    """A target that missed the second load, mended by a window over that load."""
+    target = silver_interactions(b.loaded_by(FIRST_LOAD))
+    end = SECOND_LOAD + dt.timedelta(days=1)
+    return incremental.backfill(
+        b.interactions, target, silver.silver_interactions, SECOND_LOAD, end
+    )
+
+
+@query
+def backfill_empty_window(b: Bank) -> DataFrame:
+    """A window ending where the second load begins leaves its rows out."""
+    first = b.loaded_by(FIRST_LOAD)
+    start = FIRST_LOAD - dt.timedelta(days=9)
+    return incremental.backfill(
+        b.interactions, silver_interactions(first), silver.silver_interactions, start, FIRST_LOAD
+    )
+
+
+# Rules and assertions ----------------------------------------------------------
+
+
+def all_tables(b: Bank) -> dict[str, DataFrame]:
+    """Every layer under the names the rules use."""
+    raw = [b.customers, b.enrollments, b.interactions, b.transactions]
+    built = [silver_customers(b), silver_products(b), silver_interactions(b), silver_transactions(b)]
+    return dict(zip(RAW, raw)) | dict(zip(SILVER, built)) | {GOLD: profile(b)}
+
+
+def all_checks(columns: dict[str, list[str]]) -> list:
+    return [
+        *rules.bronze_rules(),
+        *rules.silver_rules(columns),
+        *rules.gold_rules(columns[GOLD]),
+        *rules.bronze_assertions(),
+        *rules.silver_assertions(),
+        *rules.gold_assertions(),
+        rules.duplicate_email_rule(),
+    ]
+
+
+@query
+def rule_summary(b: Bank) -> DataFrame:
+    """Every declared rule and assertion over every layer, with its failures."""
+    tables = all_tables(b)
+    return checks.run_rules(tables, all_checks({n: t.columns for n, t in tables.items()}))
+
+
+@query
+def rule_not_null(b: Bank) -> DataFrame:
+    rule = rules.Rule("not_null", "silver_customers", "mobile_clean")
+    return rule.rows({"silver_customers": silver_customers(b)})
+
+
+@query
+def rule_unique(b: Bank) -> DataFrame:
+    """Shared e-mail addresses."""
+    return rules.duplicate_email_rule().rows({"silver_customers": silver_customers(b)})
+
+
+@query
+def rule_accepted_values(b: Bank) -> DataFrame:
+    rule = rules.Rule("accepted_values", "contacts", "interaction_type", values=rules.RAW_CHANNELS)
+    return rule.rows({"contacts": b.interactions}).select("interaction_id", "interaction_type")
+
+
+@query
+def rule_relationships(b: Bank) -> DataFrame:
+    """Transactions against card enrollments only: savings rows have no parent."""
+    cards = b.enrollments.where("product_type = 'Credit Card'")
+    rule = rules.Rule(
+        "relationships", "child", "product_id", parent="cards", parent_column="product_id"
+    )
+    return rule.rows({"child": b.transactions, "cards": cards}).select("transaction_id", "product_id")
+
+
+def misowned(b: Bank) -> DataFrame:
+    """Transactions with some owners and products changed."""
+    number = F.col("transaction_id")
+    return b.transactions.withColumns(
+        {
+            "customer_id": F.col("customer_id") + F.when(number % 50 == 0, 1).otherwise(0),
+            "product_id": F.col("product_id") + F.when(number % 70 == 0, 7).otherwise(0),
+        }
+    )
+
+
+@query
+def assert_product_owner_match(b: Bank) -> DataFrame:
+    return keys.owner_mismatch(misowned(b), b.enrollments)
+
+
+@query
+def assert_product_owner_count(b: Bank) -> DataFrame:
+    return keys.owner_mismatch_count(misowned(b), b.enrollments)
+
+
+@query
+def assert_value_identity(b: Bank) -> DataFrame:
+    total = F.col("total_transaction_value")
+    cent = F.when(F.col("customer_id") % 40 == 0, F.lit("0.01").cast("decimal(3,2)")).otherwise(0)
+    wrong = silver_transactions(b).withColumn(
+        "total_transaction_value", (total + cent).cast("decimal(28,2)")
+    )
+    return rules.assert_value_identity(wrong)
+
+
+@query
+def assert_recency_consistent(b: Bank) -> DataFrame:
+    part, flag = F.col("customer_id") % 30, F.col("is_active_customer")
+    wrong = profile(b).withColumns(
+        {
+            "is_active_customer": F.when(part == 0, ~flag).otherwise(flag),
+            "customer_status": F.when(part == 1, "Never Active").otherwise(F.col("customer_status")),
+        }
+    )
+    return rules.assert_recency_consistent(wrong)
+
+
+@query
+def assert_premium(b: Bank) -> DataFrame:
+    promoted = F.when(F.col("customer_id") % 25 == 0, "Premium").otherwise(F.col("customer_segment"))
+    return rules.assert_premium(profile(b).withColumn("customer_segment", promoted))
+
+
+@query
+def assert_non_negative(b: Bank) -> DataFrame:
+    key = F.col("customer_id")
+    wrong = profile(b).withColumns(
+        {
+            "total_products": F.when(key % 33 == 0, F.lit(-1).cast("bigint")).otherwise(F.col("total_products")),
+            "total_credit_value": F.when(key % 34 == 0, -F.col("total_credit_value")).otherwise(
+                F.col("total_credit_value")
+            ),
+        }
+    )
+    return rules.assert_non_negative(wrong)
+
+
+@query
+def freshness_status(b: Bank) -> DataFrame:
+    """36 hours after the second load: warn; without that load: error."""
+    later = Clock(now=SECOND_LOAD + dt.timedelta(hours=36))
+    tables = {"transactions": b.transactions, "first_load": b.loaded_by(FIRST_LOAD).transactions}
+    return checks.freshness(tables, later)
+
+
+@query
+def build_freshness(b: Bank) -> DataFrame:
+    later = Clock(now=SECOND_LOAD + dt.timedelta(minutes=91))
+    return checks.build_freshness(profile(b), dt.timedelta(minutes=90), later)
+
+
+# Profiling ---------------------------------------------------------------------
+
+
+def raw_tables(b: Bank) -> dict[str, DataFrame]:
+    return dict(zip(RAW, [b.customers, b.enrollments, b.interactions, b.transactions]))
+
+
+@query
+def profile_counts(b: Bank) -> DataFrame:
+    return profiling.profile_counts(raw_tables(b))
+
+
+@query
+def profile_nulls(b: Bank) -> DataFrame:
+    """With some e-mails emptied and some types and limits missing."""
+    tables = raw_tables(b)
+    key = F.col("customer_id")
+    tables["customer_raw"] = b.customers.withColumn(
+        "email", F.when(key % 17 == 0, "").when(key % 19 == 0, None).otherwise(F.col("email"))
+    )
+    tables["product_enrollments"] = b.enrollments.withColumn(
+        "limit", F.when(key % 23 != 0, F.col("limit"))
+    )
+    return profiling.profile_nulls(tables)
+
+
+@query
+def profile_duplicates(b: Bank) -> DataFrame:
+    return profiling.profile_duplicates(
+        [
+            ("customer_raw", b.customers, "customer_id"),
+            ("customer_raw", b.customers, "email"),
+            ("product_enrollments", b.enrollments, "product_id"),
+            ("crm_interactions", b.interactions, "interaction_id"),
+            ("transaction_history", b.transactions, "transaction_id"),
+            ("transaction_history", b.transactions, "product_id"),
+        ]
+    )
+
+
+@query
+def profile_top_duplicates(b: Bank) -> DataFrame:
+    return profiling.top_duplicates(b.customers, "email")
+
+
+@query
+def profile_ages(b: Bank) -> DataFrame:
+    return profiling.profile_ages(b.customers, CLOCK)
+
+
+@query
+def profile_phone_formats(b: Bank) -> DataFrame:
+    return profiling.profile_phone_formats(b.customers)
+
+
+@query
+def profile_odd_phones(b: Bank) -> DataFrame:
+    return profiling.odd_phones(b.customers)
+
+
+@query
+def profile_gender(b: Bank) -> DataFrame:
+    return profiling.profile_distribution(b.customers, "gender")
+
+
+@query
+def profile_product_types(b: Bank) -> DataFrame:
+    return profiling.profile_distribution(b.enrollments, "product_type")
+
+
+@query
+def profile_distribution(b: Bank) -> DataFrame:
+    return profiling.profile_distribution(b.interactions, "interaction_type")
+
+
+@query
+def profile_label_hygiene(b: Bank) -> DataFrame:
+    return profiling.profile_label_hygiene(b.enrollments, "product_type")
+
+
+@query
+def profile_limits(b: Bank) -> DataFrame:
+    return profiling.profile_limits(b.enrollments)
+
+
+@query
+def profile_orphans(b: Bank) -> DataFrame:
+    """The last reference lacks its odd parents, so that there is something to find."""
+    even = b.customers.where("customer_id % 2 = 0")
+    return profiling.profile_orphans(
+        [
+            ("enrollment to customer", b.enrollments, "customer_id", b.customers),
+            ("interaction to customer", b.interactions, "customer_id", b.customers),
+            ("transaction to product", b.transactions, "product_id", b.enrollments),
+            ("transaction to customer", b.transactions, "customer_id", b.customers),
+            ("transaction to even customer", b.transactions, "customer_id", even),
+        ]
+    )
+
+
+@query
+def profile_products_per_customer(b: Bank) -> DataFrame:
+    return profiling.profile_products_per_customer(b.enrollments)[0]
+
+
+@query
+def profile_products_histogram(b: Bank) -> DataFrame:
+    return profiling.profile_products_per_customer(b.enrollments)[1]
+
+
+@query
+def profile_date_ranges(b: Bank) -> DataFrame:
+    return profiling.profile_date_ranges(
+        [
+            ("customer_raw", b.customers, "signup_date"),
+            ("crm_interactions", b.interactions, "interaction_date"),
+            ("transaction_history", b.transactions, "transaction_date"),
+        ]
+    )
+
+
+@query
+def profile_amount_stats(b: Bank) -> DataFrame:
+    stats = profiling.profile_amounts(b.transactions)
+    return stats.select(
+        "min_amount", "max_amount", "mean_amount", F.round("stddev_amount", 3).alias("stddev_amount")
+    )
+
+
+@query
+def profile_amount_percentiles(b: Bank) -> DataFrame:
+    return profiling.profile_amount_percentiles(b.transactions)
+
+
+@query
+def profile_sketched_percentiles(b: Bank) -> DataFrame:
+    return profiling.profile_amounts(b.transactions).select("p1", "p25", "p50", "p75", "p99")
+
+
+@query
+def profile_outliers(b: Bank) -> DataFrame:
+    """With a few amounts multiplied so that some lie beyond three deviations."""
+    factor = F.when(F.col("transaction_id") % 211 == 0, 9).otherwise(1)
+    amount = (F.col("transaction_amount") * factor).cast("decimal(18,2)")
+    return profiling.profile_outliers(b.transactions.withColumn("transaction_amount", amount))
+
+
+@query
+def profile_balances(b: Bank) -> DataFrame:
+    return profiling.profile_balances(b.transactions)
+
+
+@query
+def profile_naive_timestamps(b: Bank) -> DataFrame:
+    """Timestamps as text, some with an offset or the UTC mark."""
+    number, text = F.col("transaction_id"), F.col("transaction_date").cast("string")
+    zone = F.when(number % 60 == 0, "+08:00").when(number % 77 == 0, "Z").otherwise("")
+    return profiling.profile_naive_timestamps(
+        b.transactions.withColumn("transaction_date", F.concat(text, zone))
+    )
+
+
+@query
+def profile_coverage(b: Bank) -> DataFrame:
+    return profiling.profile_coverage(b.customers, b.enrollments, b.interactions, b.transactions)
+
+
+@query
+def profile_report(b: Bank) -> DataFrame:
+    return profiling.profile_report(
+        b.customers, b.enrollments, b.interactions, b.transactions, CLOCK
+    )
+
+
+# Monitoring --------------------------------------------------------------------
+
+
+def monitor_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs derived from the events: some long, some of other jobs, some unfinished."""
+    pin_session(spark)
+    kind, started = F.col("event_type"), F.col("ts").cast("timestamp")
+    seconds = F.floor(F.col("value") * 60)
+    log = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("job_id"),
+        F.when(kind.isin("click", "view"), F.concat(F.lit("mart_"), kind))
+        .otherwise(F.concat(F.lit("other_"), kind))
+        .alias("job_name"),
+        started.alias("start_time"),
+        F.when(
+            F.col("event_id") % 100 != 0,
+            F.timestamp_micros(F.unix_micros(started) + seconds * 1_000_000),
+        ).alias("end_time"),
+        F.when(kind == "click", "SUCCESS").otherwise("FAILED").alias("state"),
+    )
+    return monitoring.run_durations(log, "mart_", Clock(as_of=dt.date(2024, 1, 25)))
+
+
+QUERIES["monitor_durations"] = monitor_durations
+
+
+@query
+def monitor_row_counts(b: Bank) -> DataFrame:
+    tables = {n: t for n, t in all_tables(b).items() if n in SILVER or n == GOLD}
+    return monitoring.row_counts(tables, CLOCK, fewest=1200)
+
+
+@query
+def monitor_row_drop(b: Bank) -> DataFrame:
+    """Today's counts against a report in which one table was a fifth larger."""
+    tables = raw_tables(b)
+    grown = F.col("row_count") * F.when(F.col("table_name") == "crm_interactions", 1.2).otherwise(1.05)
+    before = monitoring.row_counts(tables, CLOCK).withColumn("row_count", F.floor(grown))
+    report = monitoring.row_counts(tables, CLOCK, previous=before)
+    return report.select("table_name", "row_count", "previous_count", "dropped")
+
+
+# Sources, sinks, layout, runs --------------------------------------------------
+
+
+@query
+def delimited_round_trip(b: Bank) -> DataFrame:
+    """Customers as chunks of pipe-separated text, read back by glob and stamped."""
+    spark = b.customers.sparkSession
+    path = table_folder(spark, "text")
+    chunks = b.customers.drop(INGESTED).repartition(3, "customer_id").write
+    chunks.option("header", True).option("sep", "|").option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace", False
+    ).csv(path)
+    read = read_delimited(spark, f"{path}/part-*.csv", CUSTOMERS, mode="FAILFAST")
+    return stamp_ingest(read, SECOND_LOAD)
+
+
+@query
+def bronze_views(b: Bank) -> DataFrame:
+    """A pass-through view over a stored raw table."""
+    spark = b.interactions.sparkSession
+    name = f"{scratch_database(spark)}.crm_interactions"
+    replace_table(b.interactions, name)
+    register_bronze(spark, {"bronze_crm_interactions": name})
+    return bronze(spark, "bronze_crm_interactions")
+
+
+@query
+def compacted_table(b: Bank) -> DataFrame:
+    """Interactions stored in many small files, rewritten in few."""
+    scattered = materialise(b.interactions.repartition(12, "interaction_id"), "scattered")
+    return materialise(layout.compact(scattered), "compact")
+
+
+@query
+def clustered_table(b: Bank) -> DataFrame:
+    return materialise(layout.cluster_by(b.transactions, ["customer_id"], 4), "clustered")
+
+
+@query
+def clustered_by_two(b: Bank) -> DataFrame:
+    stored = materialise(b.transactions, "plain")
+    spread = layout.cluster_by(stored, ["customer_id", "transaction_date"], 4)
+    return materialise(spread, "clustered")
+
+
+@query
+def audit_rows(b: Bank) -> DataFrame:
+    """The rows a failing rule left in the audit database."""
+    spark = b.customers.sparkSession
+    rule = rules.Rule("accepted_values", "silver_customers", "age_band", values=rules.ADULT_BANDS)
+    audit = scratch_database(spark)
+    checks.evaluate(spark, {rule.table: silver_customers(b)}, [rule], audit)
+    return spark.table(f"{audit}.{rule.rule_id}").select("customer_id", "age", "age_band")
+
+
+def fresh_mart(b: Bank) -> pipeline.Mart:
+    spark = b.customers.sparkSession
+    mart = pipeline.Mart(spark, scratch_database(spark), clock=CLOCK, gate_columns=False)
+    for name, df in raw_tables(b.loaded_by(FIRST_LOAD)).items():
+        replace_table(df, mart.name(name))
+    return mart
+
+
+@query
+def pipeline_refresh(b: Bank) -> DataFrame:
+    """Stored tables: everything from the first load, then the second by watermark."""
+    mart = fresh_mart(b)
+    pipeline.refresh_all(mart)
+    for name, df in raw_tables(b).items():
+        replace_table(df, mart.name(name))
+    pipeline.refresh_facts(mart)
+    return mart.read(GOLD).drop("_gold_updated_at")
+
+
+@query
+def pipeline_backfill(b: Bank) -> DataFrame:
+    """As above, with the second load taken in by a backfill window."""
+    mart = fresh_mart(b)
+    pipeline.refresh_all(mart)
+    for name, df in raw_tables(b).items():
+        replace_table(df, mart.name(name))
+    pipeline.backfill_all(mart, SECOND_LOAD, SECOND_LOAD + dt.timedelta(hours=1))
+    return mart.read(GOLD).drop("_gold_updated_at")
+
+
+@query
+def stream_refresh(b: Bank) -> DataFrame:
+    """Interactions arriving as two files, taken in one per micro-batch."""
+    spark = b.interactions.sparkSession
+    landing = table_folder(spark, "landing")
+    for load in (FIRST_LOAD, SECOND_LOAD):
+        part = b.interactions.where(F.col(INGESTED) == moment(load))
+        part.coalesce(1).write.mode("append").parquet(landing)
+    target = f"{scratch_database(spark)}.silver_customer_interactions"
+    streaming.stream_refresh(
+        spark,
+        landing,
+        b.interactions.schema,
+        table_folder(spark, "history"),
+        target,
+        silver.silver_interactions,
+        table_folder(spark, "checkpoint"),
+        files_per_batch=1,
+    )
+    return spark.table(target)
