@@ -52,8 +52,8 @@ def day_gap(on: Column, since: Column) -> Column:
 
 def is_blank(name: str, is_text: bool) -> Column:
     """NULL, or the empty string where the column is text."""
-    col = F.col(name)
-    return (col.isNull() | (col == "")) if is_text else col.isNull()
+    missing = f"`{name}` IS NULL"
+    return F.expr(f"{missing} OR `{name}` = ''" if is_text else missing)
 
 
 def starts_with_none(text: Column, prefixes: Iterable[str]) -> Column:

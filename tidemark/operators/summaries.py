@@ -49,8 +49,9 @@ def surplus_rows(df: DataFrame, key: str) -> DataFrame:
 
 def blank_counts(df: DataFrame) -> dict[str, Column]:
     """NULL-or-empty count per column; only text can be empty."""
-    text = {f.name for f in df.schema if f.dataType.typeName() == "string"}
-    return {c: F.count_if(is_blank(c, c in text)) for c in df.columns}
+    return {
+        f.name: F.count_if(is_blank(f.name, f.dataType.typeName() == "string")) for f in df.schema
+    }
 
 
 def blanks(df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections import defaultdict
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.config import Clock
@@ -28,31 +28,28 @@ def run_rules(tables: Mapping[str, DataFrame], checks: Sequence[Check]) -> DataF
     by_row: dict[str, list[Rule]] = defaultdict(list)
     others: list[Check] = []
     for check in checks:
-        if isinstance(check, Rule) and check.predicate() is not None:
+        if isinstance(check, Rule) and check.violation is not None:
             by_row[check.table].append(check)
         else:
             others.append(check)
 
-    parts = []
-    for table, rules in by_row.items():
-        counts = tables[table].agg(*(F.count_if(r.predicate()).alias(r.rule_id) for r in rules))
-        parts.append(counts.unpivot([], [r.rule_id for r in rules], "rule_id", "failures"))
-    for check in others:
-        parts.append(check.failures(tables).select(F.lit(check.rule_id).alias("rule_id"), "failures"))
-
-    failed = F.col("failures") > 0
-    return union_all(*parts).select(
-        "rule_id",
-        _lookup(checks, "table").alias("table_name"),
-        _lookup(checks, "severity").alias("severity"),
-        F.col("failures").cast("bigint").alias("failures"),
-        F.when(failed, _lookup(checks, "severity")).otherwise("pass").alias("status"),
-    )
-
-
-def _lookup(checks: Sequence[Check], attribute: str):
-    pairs = [F.lit(v) for c in checks for v in (c.rule_id, getattr(c, attribute))]
-    return F.create_map(*pairs)[F.col("rule_id")]
+    scans = [
+        tables[table].agg(_lines(rules, [f"count_if({r.violation})" for r in rules]))
+        for table, rules in by_row.items()
+    ]
+    keyed = [c.failures(tables).select(_lines([c], ["failures"])) for c in others]
+    failed = F.when(F.col("failures") > 0, F.col("severity")).otherwise("pass")
+    return union_all(*scans, *keyed).select(F.inline("lines")).withColumn("status", failed)
+
+
+def _lines(checks: Sequence[Check], failures: Sequence[str]) -> Column:
+    """Summary lines as one array; SQL text, since a run has well over a hundred."""
+    structs = [
+        f"struct('{c.rule_id}' AS rule_id, '{c.table}' AS table_name, '{c.severity}' AS severity, "
+        f"CAST({n} AS BIGINT) AS failures)"
+        for c, n in zip(checks, failures, strict=True)
+    ]
+    return F.expr(f"array({', '.join(structs)})").alias("lines")
 
 
 @dataclass(frozen=True)

@@ -65,7 +65,11 @@ class Mart:
     def write(self, df: DataFrame, table: str) -> None:
         replace_table(df, self.name(table), CUSTOMER, self.buckets)
 
-    def check(self, checks: Sequence[Check]) -> None:
+    def check(self, columns: Sequence[rules.Rule], assertions: Sequence[Check] = ()) -> None:
+        """One gate: the column rules, if they gate, and the assertions together."""
+        checks = [*(columns if self.gate_columns else ()), *assertions]
+        if not checks:
+            return
         needed = {c.table for c in checks} | {c.parent for c in checks if getattr(c, "parent", "")}
         if any(c.kind == "assertion" and c.table == RAW_TRANSACTIONS for c in checks):
             needed.add(RAW_ENROLLMENTS)
@@ -74,10 +78,6 @@ class Mart:
         self.results.extend(found)
         require_pass(found, self.waived)
 
-    def check_columns(self, checks: Sequence[rules.Rule]) -> None:
-        if self.gate_columns:
-            self.check(checks)
-
     def silver_columns(self, *tables: str) -> dict[str, list[str]]:
         return {t: self.read(t).columns for t in tables}
 
@@ -94,9 +94,9 @@ def _current(mart: Mart, table: str, full_refresh: bool) -> DataFrame | None:
 def build_dimensions(mart: Mart) -> None:
     """Customers, then products, both in full; each is checked before the next."""
     mart.write(silver_customers(mart.read(RAW_CUSTOMERS), mart.clock), CUSTOMERS)
-    mart.check_columns(rules.silver_rules(mart.silver_columns(CUSTOMERS), [CUSTOMERS]))
+    mart.check(rules.silver_rules(mart.silver_columns(CUSTOMERS), [CUSTOMERS]))
     mart.write(silver_products(mart.read(RAW_ENROLLMENTS)), PRODUCTS)
-    mart.check_columns(rules.silver_rules(mart.silver_columns(PRODUCTS), [PRODUCTS]))
+    mart.check(rules.silver_rules(mart.silver_columns(PRODUCTS), [PRODUCTS]))
 
 
 def refresh_interactions(mart: Mart, full_refresh: bool = False) -> None:
@@ -121,19 +121,18 @@ def _both(first: Callable[[], None], second: Callable[[], None]) -> None:
 def _finish(mart: Mart) -> None:
     """Silver checks, the profile, profile checks."""
     facts = (INTERACTIONS, TRANSACTIONS)
-    mart.check_columns(rules.silver_rules(mart.silver_columns(*facts), facts))
-    mart.check(rules.silver_assertions())
+    columns = rules.silver_rules(mart.silver_columns(*facts), facts)
+    mart.check(columns, rules.silver_assertions())
     profile = customer_profile(*(mart.read(t) for t in SILVER), mart.clock, mart.limits)
     mart.write(profile, GOLD)
-    mart.check_columns(rules.gold_rules(profile.columns))
-    mart.check(rules.gold_assertions(mart.limits))
+    mart.check(rules.gold_rules(profile.columns), rules.gold_assertions(mart.limits))
 
 
 def refresh_facts(mart: Mart, full_refresh: bool = False) -> None:
     """Raw check, both fact roll-ups by watermark, then the profile, with gates."""
 
     def run() -> None:
-        mart.check(rules.bronze_assertions())
+        mart.check([], rules.bronze_assertions())
         _both(
             lambda: refresh_interactions(mart, full_refresh),
             lambda: refresh_transactions(mart, full_refresh),

@@ -330,31 +330,27 @@ def profile_report(
     )
 
 
-def _entry(section: str, item: str, metric: str, value: Column) -> Column:
-    return F.struct(
-        F.lit(section).alias("section"),
-        F.lit(item).alias("item"),
-        F.lit(metric).alias("metric"),
-        value.cast("string").alias("value"),
-    )
-
-
 def _one_scan(name: str, df: DataFrame, groups: Mapping[str, Metrics]) -> DataFrame:
     """Row count, blanks per column and the given metrics of one table."""
-    entries = [_entry("row_count", name, "n_rows", F.count("*"))]
-    entries += [_entry("blank", f"{name}.{c}", "n_blank", n) for c, n in blank_counts(df).items()]
-    entries += [
-        _entry(section, name, metric, value)
-        for section, metrics in groups.items()
-        for metric, value in metrics.items()
+    labels = [("row_count", name, "n_rows"), *(("blank", f"{name}.{c}", "n_blank") for c in df.columns)]
+    values = [F.count("*"), *blank_counts(df).values()]
+    for section, metrics in groups.items():
+        labels += [(section, name, metric) for metric in metrics]
+        values += metrics.values()
+    entries = [
+        f"struct('{section}' AS section, '{item}' AS item, '{metric}' AS metric, "
+        f"CAST(m{i} AS STRING) AS value)"
+        for i, (section, item, metric) in enumerate(labels)
     ]
-    return df.agg(F.array(*entries).alias("entries")).select(F.inline("entries"))
+    measured = df.agg(*(v.alias(f"m{i}") for i, v in enumerate(values)))
+    return measured.selectExpr(f"inline(array({', '.join(entries)}))")
 
 
 def _long(section: str, df: DataFrame, item: Column) -> DataFrame:
     """The numeric columns of a small report, one row each."""
     metrics = [f.name for f in df.schema if f.dataType.typeName() != "string"]
-    rows = df.select(item.cast("string").alias("item"), *(F.col(c).cast("string") for c in metrics))
+    texts = [f"CAST(`{c}` AS STRING) AS `{c}`" for c in metrics]
+    rows = df.select(item.cast("string").alias("item"), *(F.expr(t) for t in texts))
     return rows.unpivot("item", metrics, "metric", "value").select(
         F.lit(section).alias("section"), "item", "metric", "value"
     )

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import Thresholds
@@ -29,8 +29,7 @@ Tables = Mapping[str, DataFrame]
 
 @dataclass(frozen=True)
 class Rule:
-    """A column rule. `rows` returns the violating rows, `predicate` says per row
-    whether it is violated where one row is enough to tell."""
+    """A column rule. `rows` returns the violating rows, `failures` their number."""
 
     kind: str
     table: str
@@ -44,18 +43,20 @@ class Rule:
     def rule_id(self) -> str:
         return f"{self.kind}_{self.table}_{self.column}"
 
-    def predicate(self) -> Column | None:
-        column = F.col(self.column)
+    @property
+    def violation(self) -> str | None:
+        """The violation as SQL, for rules one row alone can violate."""
         if self.kind == "not_null":
-            return column.isNull()
+            return f"`{self.column}` IS NULL"
         if self.kind == "accepted_values":
-            return ~column.isin(*self.values)
+            listed = ", ".join("'" + v.replace("'", "\\'") + "'" for v in self.values)
+            return f"`{self.column}` NOT IN ({listed})"
         return None
 
     def rows(self, tables: Tables) -> DataFrame:
-        df, violated = tables[self.table], self.predicate()
-        if violated is not None:
-            return df.where(violated)
+        df = tables[self.table]
+        if self.violation is not None:
+            return df.where(self.violation)
         if self.kind == "unique":
             return repeated(df, self.column)
         return orphans(df, tables[self.parent], self.column, self.parent_column)

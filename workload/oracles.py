@@ -238,8 +238,29 @@ def _rule_count(rule) -> str:
     return f"(SELECT count(*) FROM {source} c WHERE {column} IS NOT NULL AND NOT {known})"
 
 
+_ASSERTION_COUNTS = {
+    "assert_product_owner_match": """(SELECT count(*) FROM transactions t LEFT JOIN enrollments e
+        ON t.product_id = e.product_id WHERE e.product_id IS NULL OR e.customer_id <> t.customer_id)""",
+    "assert_value_identity": """(SELECT count(*) FROM silver_transactions
+        WHERE total_debit_value + total_credit_value - total_transaction_value NOT BETWEEN -0.004 AND 0.004)""",
+    "assert_non_negative": """(SELECT count(*) FROM profile
+        WHERE least(age, days_since_signup, days_since_last_activity, total_products, credit_card_count,
+                    savings_count, total_interactions, email_interactions, chat_interactions,
+                    call_interactions, total_transactions, debit_count, credit_count,
+                    total_transaction_value, total_debit_value, total_credit_value,
+                    credit_card_transaction_value, savings_transaction_value,
+                    credit_card_transaction_count, savings_transaction_count) < 0)""",
+    "assert_recency_consistent": """(SELECT count(*) FROM profile
+        WHERE (customer_status = 'Active') <> is_active_customer
+           OR (is_active_customer AND coalesce(days_since_last_activity, 91) > 90)
+           OR (customer_status = 'Never Active' AND last_activity_date IS NOT NULL))""",
+    "assert_premium": """(SELECT count(*) FROM profile WHERE customer_segment = 'Premium'
+        AND NOT (has_credit_card AND total_transaction_value >= 100000))""",
+}
+
+
 def _rule_summary() -> str:
-    """Counts of the clean fixture: the five assertions hold on it."""
+    """Failures of every column rule and assertion."""
     from tidemark.plans import rules
     from tidemark.schemas import SILVER as SILVER_NAMES
 
@@ -256,7 +277,7 @@ def _rule_summary() -> str:
         *rules.gold_assertions(),
     ]
     rows = [(r.rule_id, r.table, r.severity, _rule_count(r)) for r in declared]
-    rows += [(a.rule_id, a.table, a.severity, "0") for a in assertions]
+    rows += [(a.rule_id, a.table, a.severity, _ASSERTION_COUNTS[a.rule_id]) for a in assertions]
     counted = _union(
         [
             f"SELECT '{i}' AS rule_id, '{t}' AS table_name, '{s}' AS severity, CAST({n} AS BIGINT) AS failures"
@@ -533,9 +554,11 @@ ORACLES: dict[str, str] = {
         SELECT 'first_load', max(stamp), CAST(60 * 3600 AS BIGINT), 'error' FROM transactions
         WHERE transaction_id % 5 <> 0"""
     ),
-    "build_freshness": (
-        "SELECT 'customer_profile' AS table_name, TIMESTAMP '2001-08-01' AS newest, "
-        "CAST(91 * 60 AS BIGINT) AS age_seconds, 'error' AS status"
+    "build_freshness": _sql(
+        "SELECT 'customer_profile' AS table_name, max(TIMESTAMP '2001-08-01') AS newest, "
+        "CAST(91 * 60 AS BIGINT) AS age_seconds, 'error' AS status FROM profile",
+        SILVER,
+        GOLD,
     ),
     "profile_counts": _sql(
         _union(

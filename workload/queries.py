@@ -167,7 +167,7 @@ def history_of_changed(b: Bank) -> DataFrame:
 @query
 def incremental_transactions(b: Bank) -> DataFrame:
     """First load in full, second load by watermark: equals the full roll-up."""
-    target = silver_transactions(b.loaded_by(FIRST_LOAD))
+    target = materialise(silver_transactions(b.loaded_by(FIRST_LOAD)), "target")
     return incremental.incremental_refresh(
         b.transactions, target, lambda rows: silver.silver_transactions(rows, b.enrollments)
     )
@@ -175,7 +175,7 @@ def incremental_transactions(b: Bank) -> DataFrame:
 
 @query
 def incremental_interactions(b: Bank) -> DataFrame:
-    target = silver_interactions(b.loaded_by(FIRST_LOAD))
+    target = materialise(silver_interactions(b.loaded_by(FIRST_LOAD)), "target")
     return incremental.incremental_refresh(b.interactions, target, silver.silver_interactions)
 
 
@@ -203,10 +203,12 @@ def backfill_empty_window(b: Bank) -> DataFrame:
 
 
 def all_tables(b: Bank) -> dict[str, DataFrame]:
-    """Every layer under the names the rules use."""
+    """Every layer under the names the rules use, what is built stored once."""
     raw = [b.customers, b.enrollments, b.interactions, b.transactions]
     built = [silver_customers(b), silver_products(b), silver_interactions(b), silver_transactions(b)]
-    return dict(zip(RAW, raw)) | dict(zip(SILVER, built)) | {GOLD: profile(b)}
+    silver_tables = {name: materialise(df, name) for name, df in zip(SILVER, built)}
+    whole = materialise(gold.customer_profile(*silver_tables.values(), CLOCK), GOLD)
+    return dict(zip(RAW, raw)) | silver_tables | {GOLD: whole}
 
 
 def all_checks(columns: dict[str, list[str]]) -> list:
