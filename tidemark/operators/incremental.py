@@ -42,13 +42,17 @@ def window_keys(
     return distinct_keys(raw.where((stamp >= moment(start)) & (stamp < moment(end))), key)
 
 
-def upsert(target: DataFrame, delta: DataFrame, key: str = CUSTOMER) -> DataFrame:
+def upsert(
+    target: DataFrame, delta: DataFrame, key: str = CUSTOMER, buckets: int | None = None
+) -> DataFrame:
     """Target with the delta's rows replacing or joining it by key; none deleted.
 
     One full outer join: the delta is computed once, and keys are unique on both
-    sides, so no key can be hot. When the target is bucketed on the key only the
-    delta is shuffled.
+    sides, so no key can be hot. For a target stored in `buckets` buckets on the
+    key, the delta alone is sent to the buckets; the target is read where it lies.
     """
+    if buckets is not None:
+        delta = delta.repartition(buckets, key)
     fresh = delta.withColumn("_fresh", F.lit(True)).alias("d")
     both = target.alias("t").join(fresh, F.col(f"t.{key}") == F.col(f"d.{key}"), "full_outer")
     return both.select(
@@ -75,6 +79,7 @@ def incremental_refresh(
     roll_up: RollUp,
     key: str = CUSTOMER,
     extra_keys: DataFrame | None = None,
+    buckets: int | None = None,
 ) -> DataFrame:
     """The target after taking in everything stamped after its watermark.
 
@@ -87,7 +92,7 @@ def incremental_refresh(
     keys = changed_keys(raw, watermark(target).scalar(), key)
     if extra_keys is not None:
         keys = union_all(keys, extra_keys.select(key)).distinct()
-    return upsert(target, recompute(raw, keys, roll_up, key), key)
+    return upsert(target, recompute(raw, keys, roll_up, key), key, buckets)
 
 
 def backfill(
@@ -97,10 +102,12 @@ def backfill(
     start: dt.datetime | None = None,
     end: dt.datetime | None = None,
     key: str = CUSTOMER,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Recompute the keys stamped in [start, end); with no window, everything."""
     if start is None and end is None:
         return roll_up(raw)
     if start is None or end is None:
         raise ValueError("a backfill window needs both ends")
-    return upsert(target, recompute(raw, window_keys(raw, start, end, key), roll_up, key), key)
+    keys = window_keys(raw, start, end, key)
+    return upsert(target, recompute(raw, keys, roll_up, key), key, buckets)

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.config import Clock, Thresholds
-from tidemark.operators.incremental import backfill, incremental_refresh
+from tidemark.operators.incremental import RollUp, backfill, incremental_refresh
 from tidemark.operators.layout import cluster_by, compact, target_files
 from tidemark.plans import rules
 from tidemark.plans.checks import Check, CheckResult, evaluate, require_pass
@@ -62,18 +62,15 @@ class Mart:
     def read(self, table: str) -> DataFrame:
         return self.spark.table(self.name(table))
 
-    def write(self, df: DataFrame, table: str) -> None:
-        replace_table(df, self.name(table), CUSTOMER, self.buckets)
+    def write(self, df: DataFrame, table: str, arranged: bool = False) -> None:
+        replace_table(df, self.name(table), CUSTOMER, self.buckets, arranged)
 
     def check(self, columns: Sequence[rules.Rule], assertions: Sequence[Check] = ()) -> None:
         """One gate: the column rules, if they gate, and the assertions together."""
         checks = [*(columns if self.gate_columns else ()), *assertions]
         if not checks:
             return
-        needed = {c.table for c in checks} | {c.parent for c in checks if getattr(c, "parent", "")}
-        if any(c.kind == "assertion" and c.table == RAW_TRANSACTIONS for c in checks):
-            needed.add(RAW_ENROLLMENTS)
-        tables = {t: self.read(t) for t in needed}
+        tables = {t: self.read(t) for c in checks for t in c.tables}
         found = evaluate(self.spark, tables, checks, self.audit_database)
         self.results.extend(found)
         require_pass(found, self.waived)
@@ -82,15 +79,11 @@ class Mart:
         return {t: self.read(t).columns for t in tables}
 
 
-def transactions_roll_up(mart: Mart) -> Callable[[DataFrame], DataFrame]:
+def transactions_roll_up(mart: Mart) -> RollUp:
     enrollments = mart.read(RAW_ENROLLMENTS)
     return lambda rows: silver_transactions(rows, enrollments)
 
 
-def _current(mart: Mart, table: str, full_refresh: bool) -> DataFrame | None:
-    return None if full_refresh or not mart.has(table) else mart.read(table)
-
-
 def build_dimensions(mart: Mart) -> None:
     """Customers, then products, both in full; each is checked before the next."""
     mart.write(silver_customers(mart.read(RAW_CUSTOMERS), mart.clock), CUSTOMERS)
@@ -99,16 +92,36 @@ def build_dimensions(mart: Mart) -> None:
     mart.check(rules.silver_rules(mart.silver_columns(PRODUCTS), [PRODUCTS]))
 
 
+def _refresh(mart: Mart, raw: str, table: str, roll_up: RollUp, full_refresh: bool) -> None:
+    target = None if full_refresh or not mart.has(table) else mart.read(table)
+    rows = incremental_refresh(mart.read(raw), target, roll_up, buckets=mart.buckets)
+    mart.write(rows, table, arranged=target is not None)
+
+
 def refresh_interactions(mart: Mart, full_refresh: bool = False) -> None:
-    target = _current(mart, INTERACTIONS, full_refresh)
-    rows = incremental_refresh(mart.read(RAW_INTERACTIONS), target, silver_interactions)
-    mart.write(rows, INTERACTIONS)
+    _refresh(mart, RAW_INTERACTIONS, INTERACTIONS, silver_interactions, full_refresh)
 
 
 def refresh_transactions(mart: Mart, full_refresh: bool = False) -> None:
-    target = _current(mart, TRANSACTIONS, full_refresh)
-    rows = incremental_refresh(mart.read(RAW_TRANSACTIONS), target, transactions_roll_up(mart))
-    mart.write(rows, TRANSACTIONS)
+    roll_up = transactions_roll_up(mart)
+    _refresh(mart, RAW_TRANSACTIONS, TRANSACTIONS, roll_up, full_refresh)
+
+
+def _backfill(
+    mart: Mart,
+    raw: str,
+    table: str,
+    roll_up: RollUp,
+    start: dt.datetime | None,
+    end: dt.datetime | None,
+) -> None:
+    windowed = mart.has(table) and (start, end) != (None, None)
+    source = mart.read(raw)
+    if windowed:
+        rows = backfill(source, mart.read(table), roll_up, start, end, buckets=mart.buckets)
+    else:
+        rows = roll_up(source)
+    mart.write(rows, table, arranged=windowed)
 
 
 def _both(first: Callable[[], None], second: Callable[[], None]) -> None:
@@ -124,7 +137,7 @@ def _finish(mart: Mart) -> None:
     columns = rules.silver_rules(mart.silver_columns(*facts), facts)
     mart.check(columns, rules.silver_assertions())
     profile = customer_profile(*(mart.read(t) for t in SILVER), mart.clock, mart.limits)
-    mart.write(profile, GOLD)
+    mart.write(profile, GOLD, arranged=True)  # as the silver tables it is joined from
     mart.check(rules.gold_rules(profile.columns), rules.gold_assertions(mart.limits))
 
 
@@ -160,14 +173,10 @@ def backfill_all(
     """Recompute the customers stamped in [start, end), or all, and the profile."""
 
     def run() -> None:
-        def fill(raw: str, table: str, roll_up: Callable[[DataFrame], DataFrame]) -> None:
-            source = mart.read(raw)
-            rows = backfill(source, mart.read(table), roll_up, start, end) if mart.has(table) else roll_up(source)
-            mart.write(rows, table)
-
+        roll_up = transactions_roll_up(mart)
         _both(
-            lambda: fill(RAW_INTERACTIONS, INTERACTIONS, silver_interactions),
-            lambda: fill(RAW_TRANSACTIONS, TRANSACTIONS, transactions_roll_up(mart)),
+            lambda: _backfill(mart, RAW_INTERACTIONS, INTERACTIONS, silver_interactions, start, end),
+            lambda: _backfill(mart, RAW_TRANSACTIONS, TRANSACTIONS, roll_up, start, end),
         )
         _finish(mart)
 
@@ -177,18 +186,17 @@ def backfill_all(
 def optimize(mart: Mart, table: str, cluster: str | None = None) -> None:
     """Rewrite a table in full-size files; `cluster` lists columns to order it by.
 
-    A customer-grain table keeps its buckets, whose number the rewrite takes from
-    the stored bytes when that asks for more than `mart.buckets`.
+    A customer-grain table is rewritten one file per bucket, other tables in files
+    of about 128 MB.
     """
     df = stored(mart.spark, mart.name(table))
-    files = target_files(df)
     if cluster is not None:
         keys = [c.strip() for c in cluster.split(",")]
-        replace_table(cluster_by(df, keys, files), mart.name(table))
+        replace_table(cluster_by(df, keys, target_files(df)), mart.name(table))
     elif table in (*SILVER, GOLD):
-        replace_table(df, mart.name(table), CUSTOMER, max(mart.buckets, files))
+        mart.write(df, table)
     else:
-        replace_table(compact(df, files), mart.name(table))
+        replace_table(compact(df), mart.name(table))
 
 
 def _logged(mart: Mart, job: str, run: Callable[[], None]) -> None:

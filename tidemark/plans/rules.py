@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -43,6 +43,10 @@ class Rule:
     def rule_id(self) -> str:
         return f"{self.kind}_{self.table}_{self.column}"
 
+    @property
+    def tables(self) -> tuple[str, ...]:
+        return (self.table, self.parent) if self.parent else (self.table,)
+
     @property
     def violation(self) -> str | None:
         """The violation as SQL, for rules one row alone can violate."""
@@ -72,15 +76,19 @@ class Rule:
 
 @dataclass(frozen=True)
 class Assertion:
-    """A business rule over one or more tables, given as a function of them."""
+    """A business rule over one or more tables: `find` gives the violating rows and
+    `count`, where given, their number at less cost. `also` names further tables."""
 
     rule_id: str
     table: str
     find: Callable[[Tables], DataFrame]
     count: Callable[[Tables], DataFrame] | None = None
+    also: tuple[str, ...] = ()
     severity: str = "error"
-    kind: str = field(default="assertion", init=False)
-    column: str = field(default="", init=False)
+
+    @property
+    def tables(self) -> tuple[str, ...]:
+        return (self.table, *self.also)
 
     def rows(self, tables: Tables) -> DataFrame:
         return self.find(tables)
@@ -293,6 +301,7 @@ def bronze_assertions() -> list[Assertion]:
             _raw_transactions,
             lambda t: owner_mismatch(t[_raw_transactions], t[_raw_enrollments]),
             lambda t: owner_mismatch_count(t[_raw_transactions], t[_raw_enrollments]),
+            also=(_raw_enrollments,),
         )
     ]
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,52 +18,62 @@ def register_bronze(spark: SparkSession, views: Mapping[str, str]) -> None:
         spark.table(table).createOrReplaceTempView(view)
 
 
-def _live_slot(spark: SparkSession, name: str) -> str | None:
+def _generation(spark: SparkSession, name: str) -> int | None:
+    """Number of the backing table the view `name` shows; None when there is no view."""
     if not spark.catalog.tableExists(name):
         return None
     described = spark.sql(f"DESCRIBE TABLE EXTENDED {name}")
     text = described.where("col_name = 'View Text'").select("data_type").first()
-    if text is None:
-        raise ValueError(f"{name} is a table; only names published by replace_table can be replaced")
-    return "b" if text[0].rstrip("` ").endswith("__b") else "a"
+    number = text and re.search(r"__g(\d+)`?\s*$", text[0])
+    if not number:
+        raise ValueError(f"{name} was not published by replace_table, so it is not replaced")
+    return int(number[1])
 
 
 def stored(spark: SparkSession, name: str) -> DataFrame:
-    """The live backing table of `name`, which knows its files."""
-    return spark.table(f"{name}__{_live_slot(spark, name)}")
+    """The backing table `name` shows now; unlike the view it knows its files."""
+    return spark.table(f"{name}__g{_generation(spark, name)}")
 
 
 def replace_table(
-    df: DataFrame, name: str, bucket_key: str | None = None, buckets: int = 0
+    df: DataFrame,
+    name: str,
+    bucket_key: str | None = None,
+    buckets: int = 0,
+    arranged: bool = False,
 ) -> None:
     """Full replacement that may read the table it replaces and may change its schema.
 
-    The rows go to whichever of two backing tables is not live, then the view
-    `name` is pointed at it. Readers see the old or the new content, never a
-    partial one, and a job lost halfway leaves the live table alone. The previous
-    content stays until the next replacement, for readers already running.
+    The rows go to a backing table with the next number, then the view `name` is
+    pointed at it. Readers see the old or the new content, never a partial one, and
+    a job lost halfway leaves the live table alone. The content replaced stays until
+    the next replacement, for readers already running. One writer per name.
 
     With `bucket_key` the table is bucketed and sorted on it: rows are sent to
     their bucket first, so each bucket is one file, and later joins and
-    aggregations on the key need no shuffle.
+    aggregations on the key need no shuffle. `arranged` says that the partitions of
+    `df` already follow the buckets, which saves sending the rows; were it untrue,
+    the table would only have more files.
     """
     spark = df.sparkSession
-    slot = f"{name}__{'b' if _live_slot(spark, name) == 'a' else 'a'}"
+    live = _generation(spark, name) or 0
     writer = df.write
     if bucket_key is not None:
-        writer = df.repartition(buckets, bucket_key).write
+        writer = (df if arranged else df.repartition(buckets, bucket_key)).write
         writer = writer.bucketBy(buckets, bucket_key).sortBy(bucket_key)
-    writer.mode("overwrite").format("parquet").saveAsTable(slot)
-    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {slot}")
+    writer.mode("overwrite").format("parquet").saveAsTable(f"{name}__g{live + 1}")
+    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {name}__g{live + 1}")
+    if live > 1:
+        spark.sql(f"DROP TABLE IF EXISTS {name}__g{live - 1}")
 
 
 def append_batch(df: DataFrame, name: str) -> None:
-    """Add one ingest batch to the live backing table of `name`, or create it."""
-    live = _live_slot(df.sparkSession, name)
+    """Add one ingest batch to the backing table of `name`, or create it."""
+    live = _generation(df.sparkSession, name)
     if live is None:
         replace_table(df, name)
     else:
-        df.write.mode("append").format("parquet").saveAsTable(f"{name}__{live}")
+        df.write.mode("append").format("parquet").saveAsTable(f"{name}__g{live}")
 
 
 def write_audit(violations: DataFrame, rule_id: str, database: str) -> str:

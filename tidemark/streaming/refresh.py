@@ -43,9 +43,10 @@ def stream_refresh(
         raw = stored.drop(BATCH)
         keys = changed_keys(stored.where(F.col(BATCH) == number), key=key)
         delta = recompute(raw, keys, roll_up, key)
-        if session.catalog.tableExists(target):
-            delta = upsert(session.table(target), delta, key)
-        replace_table(delta, target, key, buckets)
+        known = session.catalog.tableExists(target)
+        if known:
+            delta = upsert(session.table(target), delta, key, buckets)
+        replace_table(delta, target, key, buckets, arranged=known)
 
     reader = spark.readStream.schema(schema)
     if files_per_batch is not None:
