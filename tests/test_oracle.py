@@ -1,5 +1,7 @@
 """Every query that has SQL returns the same rows, names and types as the SQL."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as contract
@@ -19,6 +21,8 @@ def con():
 def test_matches_sql(spark, con, name):
     df = QUERIES[name](spark, f"{oracle.DATA}/{SCALE}")
     names, rows = oracle.spark_rows(df)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("CartesianProduct|NestedLoop|EvalPython|InPandas", plan)
     want_names, want = oracle.duck_rows(con, SQL[name])
     assert names == want_names
     assert rows == want
