@@ -32,10 +32,10 @@ def nearest_rank(values, fraction):
         [None, 3, None, 1],
     ],
 )
-@pytest.mark.parametrize("accuracy", [10_000, 20])
-def test_exact_percentiles(spark, values, accuracy):
+@pytest.mark.parametrize("accuracy, window", [(10_000, 1_000_000), (20, 5)])
+def test_exact_percentiles(spark, values, accuracy, window):
     df = spark.createDataFrame([(v,) for v in values], "x long").repartition(5)
-    got = {r.fraction: r.value for r in exact_percentiles(df, "x", profiling.PERCENTILES, accuracy).collect()}
+    got = {r.fraction: r.value for r in exact_percentiles(df, "x", profiling.PERCENTILES, accuracy, window).collect()}
     present = [v for v in values if v is not None]
     assert got == {f: nearest_rank(present, f) for f in profiling.PERCENTILES}
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import rows
 from rows import CLOCK, LOAD, by_key
+from tidemark.__main__ import arguments, run
 from tidemark.plans import checks, pipeline, silver
 from tidemark.plans.pipeline import Mart
 from tidemark.schemas import GOLD, RAW
@@ -149,3 +150,24 @@ def test_stream_equals_batch_and_restarts(spark):
     stored_rows = spark.read.parquet(history)
     assert stored_rows.count() == len(first) + len(second)
     assert stored_rows.select(F.col("_batch")).distinct().count() == 2
+
+
+def test_jobs_from_the_command_line(spark, mart, tmp_path):
+    def job(*argv):
+        run(spark, arguments([*argv, "--database", mart.database]))
+
+    text = tmp_path / "more.csv"
+    text.write_text("interaction_id|customer_id|interaction_type|interaction_date\n7|8|Call|2024-06-01\n")
+    job("ingest", "--table", "crm_interactions", "--path", str(text))
+    job("refresh-all", "--buckets", "2")
+    built = by_key(mart.read(GOLD))
+    assert built[8]["call_interactions"] == 1 and built[1]["total_interactions"] == 0
+    job("optimize", "--table", GOLD, "--cluster", "customer_id")
+    job("profile")
+    assert mart.read("profile_report").where("section = 'coverage'").count() == 8
+    with pytest.raises(ValueError, match="both ends"):
+        job("backfill", "--start", "2024-06-01")
+    job("backfill", "--buckets", "2")
+    assert {k: r["customer_segment"] for k, r in by_key(mart.read(GOLD)).items()} == {
+        k: r["customer_segment"] for k, r in built.items()
+    }

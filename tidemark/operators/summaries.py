@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
@@ -82,38 +83,55 @@ def table_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def exact_percentiles(
-    df: DataFrame, column: str, fractions: Sequence[str], accuracy: int = 10_000
+    df: DataFrame,
+    column: str,
+    fractions: Sequence[str],
+    accuracy: int = 10_000,
+    window_rows: int = 1_000_000,
 ) -> DataFrame:
     """Exact nearest-rank percentiles, (fraction, value); fractions as decimal text.
 
-    A mergeable sketch first gives, for each fraction, two values that enclose its
-    rank. One scan counts the rows below each enclosure, and only the rows inside
-    one, about 4 / `accuracy` of the table, are grouped by value and ordered, each
+    A mergeable sketch gives, for each fraction, two values that enclose its rank;
+    a scan counts the rows below and inside. Enclosures of more than `window_rows`
+    rows are sketched again from within, which shrinks them some thousandfold each
+    time. Only the rows finally inside are grouped by value and ordered, each
     enclosure on its own. The table itself is neither sorted nor shuffled.
     """
-    slack = 2 / accuracy
-    marks = [float(f) for f in fractions]
-    sketch = df.agg(
-        F.count(column).alias("n"),
-        F.percentile_approx(column, [max(0.0, m - slack) for m in marks], accuracy).alias("low"),
-        F.percentile_approx(column, [min(1.0, m + slack) for m in marks], accuracy).alias("high"),
-    ).first()
-    value = F.col(column)
-    if not sketch["n"]:
+    value, slack = F.col(column), 2 / accuracy
+    total = df.agg(F.count(column)).first()[0]
+    if not total:
         return df.where(F.lit(False)).select(F.lit("").alias("fraction"), value.alias("value"))
 
-    lows = [F.lit(v) for v in sketch["low"]]
-    highs = [F.lit(v) for v in sketch["high"]]
-    below = df.agg(*(F.count_if(value < low).alias(f"b{i}") for i, low in enumerate(lows))).first()
+    ranks = [max(1, math.ceil(Fraction(f) * total)) for f in fractions]
+    spans = [_Span(None, None, 0, total) for _ in fractions]
+    wide = list(range(len(spans)))
+    while wide:
+        aims = {i: (ranks[i] - spans[i].below) / spans[i].inside for i in wide}
+        ends = {
+            f"{end}{i}": F.percentile_approx(
+                F.when(spans[i].holds(value), value), min(1.0, max(0.0, aims[i] + shift)), accuracy
+            )
+            for i in wide
+            for end, shift in (("low", -slack), ("high", slack))
+        }
+        found = df.agg(*(c.alias(name) for name, c in ends.items())).first()
+        trial = {i: _Span(found[f"low{i}"], found[f"high{i}"], 0, 0) for i in wide}
+        sizes = df.agg(
+            *(F.count_if(value < F.lit(t.low)).alias(f"below{i}") for i, t in trial.items()),
+            *(F.count_if(t.holds(value)).alias(f"inside{i}") for i, t in trial.items()),
+        ).first()
+        narrower = []
+        for i, t in trial.items():
+            t = _Span(t.low, t.high, sizes[f"below{i}"], sizes[f"inside{i}"])
+            shrunk = t.inside < spans[i].inside
+            spans[i] = t
+            if shrunk and t.inside > window_rows and t.low != t.high:
+                narrower.append(i)
+        wide = narrower
+
     spots = [
-        F.when(
-            value.between(lows[i], highs[i]),
-            F.struct(
-                F.lit(f).alias("fraction"),
-                F.lit(max(1, math.ceil(Fraction(f) * sketch["n"])) - below[i]).alias("rank"),
-            ),
-        )
-        for i, f in enumerate(fractions)
+        F.when(s.holds(value), F.struct(F.lit(f).alias("fraction"), F.lit(r - s.below).alias("rank")))
+        for f, r, s in zip(fractions, ranks, spans, strict=True)
     ]
     enclosed = df.select(value.alias("value"), F.explode(F.array_compact(F.array(*spots))).alias("s"))
     counted = enclosed.groupBy("s.fraction", "s.rank", "value").agg(F.count("*").alias("n"))
@@ -124,3 +142,18 @@ def exact_percentiles(
         .groupBy("fraction")
         .agg(F.min("value").alias("value"))
     )
+
+
+@dataclass(frozen=True)
+class _Span:
+    """Values enclosing a rank, with the rows below and inside; open at first."""
+
+    low: object
+    high: object
+    below: int
+    inside: int
+
+    def holds(self, value: Column) -> Column:
+        if self.low is None:
+            return value.isNotNull()
+        return value.between(F.lit(self.low), F.lit(self.high))
