@@ -109,13 +109,21 @@ def test_column_rules_gate_unless_waived_or_off(spark, mart):
 def test_optimize_keeps_rows_and_buckets(spark, mart):
     pipeline.refresh_all(mart)
     before = by_key(mart.read(GOLD))
+    name = mart.name(GOLD)
+    files = set(stored(spark, name).inputFiles())
+    assert len(files) <= 3
+    pipeline.optimize(mart, GOLD)
+    assert set(stored(spark, name).inputFiles()) == files, "nothing to do"
+    replace_table(mart.read(GOLD).repartition(7, "email"), name)
     pipeline.optimize(mart, GOLD)
     assert by_key(mart.read(GOLD)) == before
-    assert len(stored(spark, mart.name(GOLD)).inputFiles()) <= 3
+    assert len(stored(spark, name).inputFiles()) <= 3
     pipeline.optimize(mart, GOLD, cluster="customer_id, signup_date")
     assert by_key(mart.read(GOLD)) == before
+    replace_table(mart.read("crm_interactions").repartition(4, "interaction_id"), mart.name("crm_interactions"))
     pipeline.optimize(mart, "crm_interactions")
     assert mart.read("crm_interactions").count() == 6
+    assert len(stored(spark, mart.name("crm_interactions")).inputFiles()) == 1
 
 
 def test_stream_equals_batch_and_restarts(spark):

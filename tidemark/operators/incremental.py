@@ -63,14 +63,24 @@ def upsert(
     )
 
 
-def recompute(raw: DataFrame, keys: DataFrame, roll_up: RollUp, key: str = CUSTOMER) -> DataFrame:
-    """Roll up the full history of the given keys.
+def pending_keys(
+    raw: DataFrame, target: DataFrame, key: str = CUSTOMER, extra_keys: DataFrame | None = None
+) -> DataFrame:
+    """Keys to roll up again: stamped after the target's watermark, or named.
 
-    The key set is written first: its true size then decides whether it is
-    broadcast into the history scan, so that a small change never shuffles the
-    history, or joined by shuffle when it is large.
+    The key set is stored: its true size then decides whether it is broadcast into
+    the history scan, so that a small change never shuffles the history, or joined
+    by shuffle when it is large.
     """
-    return roll_up(restrict_to(raw, materialise(keys, "changed"), key))
+    keys = changed_keys(raw, watermark(target).scalar(), key)
+    if extra_keys is not None:
+        keys = union_all(keys, extra_keys.select(key)).distinct()
+    return materialise(keys, "pending")
+
+
+def recompute(raw: DataFrame, keys: DataFrame, roll_up: RollUp, key: str = CUSTOMER) -> DataFrame:
+    """Roll up the full history of the given keys."""
+    return roll_up(restrict_to(raw, keys, key))
 
 
 def incremental_refresh(
@@ -85,13 +95,13 @@ def incremental_refresh(
 
     Without a target this is the first run and all keys count as changed. Changes
     that carry no stamp in `raw`, such as a late enrollment, can be named in
-    `extra_keys`.
+    `extra_keys`. The target itself is returned when nothing is pending.
     """
     if target is None:
         return roll_up(raw)
-    keys = changed_keys(raw, watermark(target).scalar(), key)
-    if extra_keys is not None:
-        keys = union_all(keys, extra_keys.select(key)).distinct()
+    keys = pending_keys(raw, target, key, extra_keys)
+    if keys.isEmpty():
+        return target
     return upsert(target, recompute(raw, keys, roll_up, key), key, buckets)
 
 
@@ -109,5 +119,7 @@ def backfill(
         return roll_up(raw)
     if start is None or end is None:
         raise ValueError("a backfill window needs both ends")
-    keys = window_keys(raw, start, end, key)
+    keys = materialise(window_keys(raw, start, end, key), "window")
+    if keys.isEmpty():
+        return target
     return upsert(target, recompute(raw, keys, roll_up, key), key, buckets)

@@ -106,16 +106,20 @@ def exact_percentiles(
     spans = [_Span(None, None, 0, total) for _ in fractions]
     wide = list(range(len(spans)))
     while wide:
-        aims = {i: (ranks[i] - spans[i].below) / spans[i].inside for i in wide}
-        ends = {
-            f"{end}{i}": F.percentile_approx(
-                F.when(spans[i].holds(value), value), min(1.0, max(0.0, aims[i] + shift)), accuracy
-            )
-            for i in wide
-            for end, shift in (("low", -slack), ("high", slack))
+        # One sketch per enclosure still open; at first all ranks share the whole.
+        shared = {s: [i for i in wide if spans[i] == s] for s in {spans[i] for i in wide}}
+        sketches = []
+        for n, (span, members) in enumerate(shared.items()):
+            aims = [(ranks[i] - span.below) / span.inside for i in members]
+            ends = [min(1.0, max(0.0, a + shift)) for a in aims for shift in (-slack, slack)]
+            inside = F.when(span.holds(value), value)
+            sketches.append(F.percentile_approx(inside, ends, accuracy).alias(f"s{n}"))
+        found = df.agg(*sketches).first()
+        trial = {
+            i: _Span(found[n][2 * at], found[n][2 * at + 1], 0, 0)
+            for n, members in enumerate(shared.values())
+            for at, i in enumerate(members)
         }
-        found = df.agg(*(c.alias(name) for name, c in ends.items())).first()
-        trial = {i: _Span(found[f"low{i}"], found[f"high{i}"], 0, 0) for i in wide}
         sizes = df.agg(
             *(F.count_if(value < F.lit(t.low)).alias(f"below{i}") for i, t in trial.items()),
             *(F.count_if(t.holds(value)).alias(f"inside{i}") for i, t in trial.items()),

@@ -95,7 +95,8 @@ def build_dimensions(mart: Mart) -> None:
 def _refresh(mart: Mart, raw: str, table: str, roll_up: RollUp, full_refresh: bool) -> None:
     target = None if full_refresh or not mart.has(table) else mart.read(table)
     rows = incremental_refresh(mart.read(raw), target, roll_up, buckets=mart.buckets)
-    mart.write(rows, table, arranged=target is not None)
+    if rows is not target:  # nothing pending: the table stays as it is
+        mart.write(rows, table, arranged=target is not None)
 
 
 def refresh_interactions(mart: Mart, full_refresh: bool = False) -> None:
@@ -115,13 +116,14 @@ def _backfill(
     start: dt.datetime | None,
     end: dt.datetime | None,
 ) -> None:
-    windowed = mart.has(table) and (start, end) != (None, None)
     source = mart.read(raw)
-    if windowed:
-        rows = backfill(source, mart.read(table), roll_up, start, end, buckets=mart.buckets)
-    else:
-        rows = roll_up(source)
-    mart.write(rows, table, arranged=windowed)
+    target = mart.read(table) if mart.has(table) and (start, end) != (None, None) else None
+    if target is None:
+        mart.write(roll_up(source), table)
+        return
+    rows = backfill(source, target, roll_up, start, end, buckets=mart.buckets)
+    if rows is not target:
+        mart.write(rows, table, arranged=True)
 
 
 def _both(first: Callable[[], None], second: Callable[[], None]) -> None:
@@ -186,17 +188,20 @@ def backfill_all(
 def optimize(mart: Mart, table: str, cluster: str | None = None) -> None:
     """Rewrite a table in full-size files; `cluster` lists columns to order it by.
 
-    A customer-grain table is rewritten one file per bucket, other tables in files
-    of about 128 MB.
+    A customer-grain table gets one file per bucket, other tables files of about
+    128 MB. A table that has no more files than that is left as it is.
     """
     df = stored(mart.spark, mart.name(table))
+    by_customer = table in (*SILVER, GOLD)
+    wanted = mart.buckets if by_customer and cluster is None else target_files(df)
     if cluster is not None:
         keys = [c.strip() for c in cluster.split(",")]
-        replace_table(cluster_by(df, keys, target_files(df)), mart.name(table))
-    elif table in (*SILVER, GOLD):
-        mart.write(df, table)
-    else:
-        replace_table(compact(df), mart.name(table))
+        replace_table(cluster_by(df, keys, wanted), mart.name(table))
+    elif len(df.inputFiles()) > wanted:
+        if by_customer:
+            mart.write(df, table)
+        else:
+            replace_table(compact(df, wanted), mart.name(table))
 
 
 def _logged(mart: Mart, job: str, run: Callable[[], None]) -> None:

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tidemark.operators.incremental import RollUp, changed_keys, recompute, upsert
 from tidemark.schemas import CUSTOMER
+from tidemark.sources.shared import materialise
 from tidemark.sources.tables import replace_table
 
 BATCH = "_batch"
@@ -41,7 +42,7 @@ def stream_refresh(
         # A later batch's folder can only exist after a restart further back.
         stored = stored.where(F.col(BATCH) <= number)
         raw = stored.drop(BATCH)
-        keys = changed_keys(stored.where(F.col(BATCH) == number), key=key)
+        keys = materialise(changed_keys(stored.where(F.col(BATCH) == number), key=key), "batch")
         delta = recompute(raw, keys, roll_up, key)
         known = session.catalog.tableExists(target)
         if known:

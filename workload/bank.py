@@ -6,7 +6,7 @@ The rules are those of FIXTURES.md; `PRELUDE` states them again in SQL.
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,37 +21,46 @@ SECOND_LOAD = dt.datetime(2001, 8, 1)
 CLOCK = Clock(as_of=AS_OF, now=SECOND_LOAD)
 
 
-@dataclass(frozen=True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 class Bank:
-    customers: DataFrame
-    enrollments: DataFrame
-    interactions: DataFrame
-    transactions: DataFrame
+    """The raw tables, each derived when first asked for."""
 
-    def loaded_by(self, stamp: dt.datetime) -> "Bank":
-        """Only the rows stamped at or before `stamp`, all customers kept."""
-        seen = F.col(INGESTED) <= moment(stamp)
-        return replace(
-            self,
-            interactions=self.interactions.where(seen),
-            transactions=self.transactions.where(seen),
-        )
+    def __init__(self, spark: SparkSession, sf_dir: str, until: dt.datetime | None = None):
+        self.spark, self.sf_dir, self.until = spark, sf_dir, until
 
+    def loaded_by(self, stamp: dt.datetime) -> Bank:
+        """Contacts and transactions stamped at or before `stamp` only."""
+        return Bank(self.spark, self.sf_dir, stamp)
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    def _table(self, name: str) -> DataFrame:
+        return table(self.spark, self.sf_dir, name)
+
+    def _seen(self, df: DataFrame) -> DataFrame:
+        return df if self.until is None else df.where(F.col(INGESTED) <= moment(self.until))
+
+    @cached_property
+    def customers(self) -> DataFrame:
+        return _customers(self._table("customer"))
+
+    @cached_property
+    def enrollments(self) -> DataFrame:
+        return _enrollments(self._table("orders"))
+
+    @cached_property
+    def interactions(self) -> DataFrame:
+        return self._seen(_interactions(self._table("events")))
+
+    @cached_property
+    def transactions(self) -> DataFrame:
+        return self._seen(_transactions(self._table("orders"), self.enrollments))
 
 
 def bank(spark: SparkSession, sf_dir: str) -> Bank:
     pin_session(spark)
-    orders = table(spark, sf_dir, "orders")
-    enrollments = _enrollments(orders)
-    return Bank(
-        customers=_customers(table(spark, sf_dir, "customer")),
-        enrollments=enrollments,
-        interactions=_interactions(table(spark, sf_dir, "events")),
-        transactions=_transactions(orders, enrollments),
-    )
+    return Bank(spark, sf_dir)
 
 
 def _stamped(df: DataFrame, key: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -202,13 +203,29 @@ def backfill_empty_window(b: Bank) -> DataFrame:
 # Rules and assertions ----------------------------------------------------------
 
 
+def raw_tables(b: Bank) -> dict[str, DataFrame]:
+    return dict(zip(RAW, [b.customers, b.enrollments, b.interactions, b.transactions]))
+
+
+def stored_at_once(frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Independent tables written side by side."""
+    with ThreadPoolExecutor(len(frames)) as pool:
+        return dict(zip(frames, pool.map(materialise, frames.values(), frames)))
+
+
 def all_tables(b: Bank) -> dict[str, DataFrame]:
-    """Every layer under the names the rules use, what is built stored once."""
-    raw = [b.customers, b.enrollments, b.interactions, b.transactions]
-    built = [silver_customers(b), silver_products(b), silver_interactions(b), silver_transactions(b)]
-    silver_tables = {name: materialise(df, name) for name, df in zip(SILVER, built)}
+    """Every layer under the names the rules use, stored as in a mart."""
+    raw = stored_at_once(raw_tables(b))
+    customers, enrollments, contacts, paid = raw.values()
+    built = [
+        silver.silver_customers(customers, CLOCK),
+        silver.silver_products(enrollments),
+        silver.silver_interactions(contacts),
+        silver.silver_transactions(paid, enrollments),
+    ]
+    silver_tables = stored_at_once(dict(zip(SILVER, built)))
     whole = materialise(gold.customer_profile(*silver_tables.values(), CLOCK), GOLD)
-    return dict(zip(RAW, raw)) | silver_tables | {GOLD: whole}
+    return raw | silver_tables | {GOLD: whole}
 
 
 def all_checks(columns: dict[str, list[str]]) -> list:
@@ -338,10 +355,6 @@ def build_freshness(b: Bank) -> DataFrame:
 # Profiling ---------------------------------------------------------------------
 
 
-def raw_tables(b: Bank) -> dict[str, DataFrame]:
-    return dict(zip(RAW, [b.customers, b.enrollments, b.interactions, b.transactions]))
-
-
 @query
 def profile_counts(b: Bank) -> DataFrame:
     return profiling.profile_counts(raw_tables(b))
@@ -557,7 +570,7 @@ def monitor_row_drop(b: Bank) -> DataFrame:
 @query
 def delimited_round_trip(b: Bank) -> DataFrame:
     """Customers as chunks of pipe-separated text, read back by glob and stamped."""
-    spark = b.customers.sparkSession
+    spark = b.spark
     path = table_folder(spark, "text")
     chunks = b.customers.drop(INGESTED).repartition(3, "customer_id").write
     chunks.option("header", True).option("sep", "|").option("ignoreLeadingWhiteSpace", False).option(
@@ -570,7 +583,7 @@ def delimited_round_trip(b: Bank) -> DataFrame:
 @query
 def bronze_views(b: Bank) -> DataFrame:
     """A pass-through view over a stored raw table."""
-    spark = b.interactions.sparkSession
+    spark = b.spark
     name = f"{scratch_database(spark)}.crm_interactions"
     replace_table(b.interactions, name)
     register_bronze(spark, {"bronze_crm_interactions": name})
@@ -599,7 +612,7 @@ def clustered_by_two(b: Bank) -> DataFrame:
 @query
 def audit_rows(b: Bank) -> DataFrame:
     """The rows a failing rule left in the audit database."""
-    spark = b.customers.sparkSession
+    spark = b.spark
     rule = rules.Rule("accepted_values", "silver_customers", "age_band", values=rules.ADULT_BANDS)
     audit = scratch_database(spark)
     checks.evaluate(spark, {rule.table: silver_customers(b)}, [rule], audit)
@@ -607,20 +620,23 @@ def audit_rows(b: Bank) -> DataFrame:
 
 
 def fresh_mart(b: Bank) -> pipeline.Mart:
-    spark = b.customers.sparkSession
+    spark = b.spark
     mart = pipeline.Mart(spark, scratch_database(spark), clock=CLOCK, gate_columns=False)
-    for name, df in raw_tables(b.loaded_by(FIRST_LOAD)).items():
-        replace_table(df, mart.name(name))
+    load_mart(mart, b.loaded_by(FIRST_LOAD))
     return mart
 
 
+def load_mart(mart: pipeline.Mart, b: Bank) -> None:
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda item: replace_table(item[1], mart.name(item[0])), raw_tables(b).items()))
+
+
 @query
 def pipeline_refresh(b: Bank) -> DataFrame:
     """Stored tables: everything from the first load, then the second by watermark."""
     mart = fresh_mart(b)
     pipeline.refresh_all(mart)
-    for name, df in raw_tables(b).items():
-        replace_table(df, mart.name(name))
+    load_mart(mart, b)
     pipeline.refresh_facts(mart)
     return mart.read(GOLD).drop("_gold_updated_at")
 
@@ -630,8 +646,7 @@ def pipeline_backfill(b: Bank) -> DataFrame:
     """As above, with the second load taken in by a backfill window."""
     mart = fresh_mart(b)
     pipeline.refresh_all(mart)
-    for name, df in raw_tables(b).items():
-        replace_table(df, mart.name(name))
+    load_mart(mart, b)
     pipeline.backfill_all(mart, SECOND_LOAD, SECOND_LOAD + dt.timedelta(hours=1))
     return mart.read(GOLD).drop("_gold_updated_at")
 
@@ -639,7 +654,7 @@ def pipeline_backfill(b: Bank) -> DataFrame:
 @query
 def stream_refresh(b: Bank) -> DataFrame:
     """Interactions arriving as two files, taken in one per micro-batch."""
-    spark = b.interactions.sparkSession
+    spark = b.spark
     landing = table_folder(spark, "landing")
     for load in (FIRST_LOAD, SECOND_LOAD):
         part = b.interactions.where(F.col(INGESTED) == moment(load))
