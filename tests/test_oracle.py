@@ -7,8 +7,10 @@ import pytest
 import __spark_entry__ as contract
 import oracle
 
-QUERIES = contract.queries()
-SQL = contract.oracle_sql()
+from workload.oracles import DECIMALS
+from workload.oracles import ORACLES as SQL
+from workload.queries import QUERIES
+
 SCALE = "sf0.001"
 
 
@@ -29,8 +31,19 @@ def test_matches_sql(spark, con, name):
     assert oracle.type_mismatches(df, oracle.duck_types(con, SQL[name])) == {}
 
 
+@pytest.mark.parametrize("name", sorted(DECIMALS))
+def test_contract_hands_over_doubles(spark, con, name):
+    df = contract.queries()[name](spark, f"{oracle.DATA}/{SCALE}")
+    sql = contract.oracle_sql()[name]
+    assert oracle.spark_rows(df) == oracle.duck_rows(con, sql)
+    assert oracle.type_mismatches(df, oracle.duck_types(con, sql)) == {}
+    assert "decimal" not in {f.dataType.typeName() for f in df.schema}
+
+
 def test_every_sql_has_its_query():
     assert set(SQL) <= set(QUERIES)
+    assert set(contract.queries()) == set(QUERIES)
+    assert set(contract.oracle_sql()) == set(SQL)
     assert set(QUERIES) - set(SQL) == {"profile_sketched_percentiles", "profile_report"}
 
 

@@ -705,3 +705,36 @@ ORACLES: dict[str, str] = {
     "pipeline_backfill": _sql("SELECT * FROM profile", SILVER, GOLD),
     "stream_refresh": _sql("SELECT * FROM silver_interactions", SILVER),
 }
+
+# Decimal result columns per query.
+_ACTIVITY = [*_VALUES, "avg_transaction_value", "max_balance", "min_balance", "current_balance"]
+_LIMITS = ["max_credit_limit", "total_credit_limit"]
+_PROFILE = [*_LIMITS, *_ACTIVITY, "credit_card_activity_to_limit_ratio"]
+_TOTALS = ["total_transaction_value", "total_debit_value", "total_credit_value"]
+_PAYMENT = ["transaction_amount", "closing_balance"]
+DECIMALS: dict[str, list[str]] = {
+    "silver_products": _LIMITS,
+    "silver_transactions": _ACTIVITY,
+    "incremental_transactions": _ACTIVITY,
+    "gold_profile": _PROFILE,
+    "pipeline_refresh": _PROFILE,
+    "pipeline_backfill": _PROFILE,
+    "gold_segment_only": _TOTALS[:1],
+    "assert_premium": _TOTALS[:1],
+    "assert_value_identity": _TOTALS,
+    "assert_non_negative": [*_TOTALS, "credit_card_transaction_value", "savings_transaction_value"],
+    "profile_limits": ["min_limit", "max_limit", "avg_limit"],
+    "profile_amount_stats": ["min_amount", "max_amount", "mean_amount"],
+    "profile_amount_percentiles": ["value"],
+    "profile_balances": ["min_balance", "max_balance", "avg_balance"],
+    "clustered_table": _PAYMENT,
+    "clustered_by_two": _PAYMENT,
+}
+
+
+def as_doubles(name: str) -> str:
+    """The SQL of a query with its decimals as doubles."""
+    if name not in DECIMALS:
+        return ORACLES[name]
+    casts = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in DECIMALS[name])
+    return f"SELECT * REPLACE ({casts}) FROM ({ORACLES[name]})"
