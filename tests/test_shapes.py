@@ -62,6 +62,18 @@ def test_profile_join_does_not_shuffle_stored_tables(spark, tables):
         text = plan(gold.customer_profile(*(spark.table(t) for t in tables.values()), CLOCK))
     assert text.count("SortMergeJoin") == 3
     assert "Exchange" not in text
+    assert "Sort [" not in text, "each bucket is one sorted file"
+
+
+def test_bucket_of_several_files_is_sorted_again(spark, b):
+    name = f"t_{uuid.uuid4().hex}"
+    scattered = silver.silver_interactions(b.interactions).repartition(4, "total_interactions")
+    replace_table(scattered, name, "customer_id", 3, arranged=True)
+    assert len(stored(spark, name).inputFiles()) > 3
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        joined = spark.table(name).join(spark.table(name).select("customer_id"), "customer_id")
+        assert "Sort [" in plan(joined)
+        assert joined.count() == scattered.count()
 
 
 def test_one_file_per_bucket(spark, tables):

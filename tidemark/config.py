@@ -55,6 +55,9 @@ SESSION_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Bucketed tables are written one sorted file per bucket; scans may rely on it
+    # (Spark checks that a bucket is a single file), which spares the joins a sort.
+    "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
 }
 
 # Settings a session can only be started with. Without call-site capture, building

@@ -6,6 +6,7 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from fractions import Fraction
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -137,7 +138,8 @@ def exact_percentiles(
         F.when(s.holds(value), F.struct(F.lit(f).alias("fraction"), F.lit(r - s.below).alias("rank")))
         for f, r, s in zip(fractions, ranks, spans, strict=True)
     ]
-    enclosed = df.select(value.alias("value"), F.explode(F.array_compact(F.array(*spots))).alias("s"))
+    near = df.where(reduce(lambda a, b: a | b, [s.holds(value) for s in spans]))
+    enclosed = near.select(value.alias("value"), F.explode(F.array_compact(F.array(*spots))).alias("s"))
     counted = enclosed.groupBy("s.fraction", "s.rank", "value").agg(F.count("*").alias("n"))
     reached = F.sum("n").over(Window.partitionBy("fraction").orderBy("value"))
     return (
