@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import types as T
 
 from tidemark.llm.common import keyed, unkeyed
 
@@ -242,8 +242,9 @@ def identify(docs: DataFrame, model: LangModel, options: LangOptions = LangOptio
 def keep_identified(docs: DataFrame, model: LangModel, options: LangOptions = LangOptions()) -> DataFrame:
     """`docs` without those rejected: `und`, or no language holding `reject_below` of the letters."""
     names = ("_tidemark_lang", "_tidemark_score", "_tidemark_spans")
-    kind = StructType(list(docs.schema.fields))
-    for name, of in zip(names, ("string", "double", "array<struct<lang:string,first:long,words:long>>"), strict=True):
+    span = T.StructType().add("lang", "string").add("first", "long").add("words", "long")
+    kind = T.StructType(list(docs.schema.fields))
+    for name, of in zip(names, ("string", "double", T.ArrayType(span)), strict=True):
         kind = kind.add(name, of)
     found = docs.mapInArrow(lambda it: _labelled(it, model, options, names), kind)
     kept = found.where((F.col(names[0]) != UND) & (F.col(names[1]) >= options.reject_below))
