@@ -59,6 +59,18 @@ def groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def pieces_of(texts: list[str], chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Row ranges of about `chars` characters: bounds what one step in a task holds."""
+    start, held = 0, 0
+    for i, text in enumerate(texts):
+        held += len(text)
+        if held >= chars:
+            yield start, i + 1
+            start, held = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def components(edges: DataFrame, label: str) -> DataFrame:
     """(node, root) for every node of `edges` (a, b): root is the smallest node of its
     connected component.

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import NO_ID, components, groups, keyed, small, unkeyed
+from tidemark.llm.common import NO_ID, components, groups, keyed, pieces_of, small, unkeyed
 from tidemark.sources.shared import materialise
 
 
@@ -45,7 +45,6 @@ class JoinOptions:
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 _NOT_WORD = re.compile(r"\W+")
-_CHUNK_BYTES = 1 << 20
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -108,25 +107,13 @@ def minhashes(sets: list[np.ndarray], n: int, seed: int) -> np.ndarray:
     return out
 
 
-def _pieces(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Row ranges of about `_CHUNK_BYTES`: bounds what one numpy step holds."""
-    start, held = 0, 0
-    for i, text in enumerate(texts):
-        held += len(text)
-        if held >= _CHUNK_BYTES:
-            yield start, i + 1
-            start, held = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def _signed(batches: Iterator[pa.RecordBatch], options: JoinOptions) -> Iterator[pa.RecordBatch]:
     shingler = Shingler(options.words)
     n = options.bands * options.rows
     band = np.arange(options.bands, dtype=np.uint64)
     for batch in batches:
         keys, texts = batch.column("key").to_pylist(), batch.column("text").to_pylist()
-        for low, high in _pieces(texts):
+        for low, high in pieces_of(texts):
             sets = [shingler(t) for t in texts[low:high]]
             live = [i for i, s in enumerate(sets) if len(s)]
             signs = minhashes([sets[i] for i in live], n, options.seed)
@@ -249,7 +236,7 @@ def _sets(batches: Iterator[pa.RecordBatch], options: JoinOptions) -> Iterator[p
     names = ["key", "cluster", "block", "blocks", "weight", "shingles"]
     for batch in batches:
         texts = batch.column("text").to_pylist()
-        for low, high in _pieces(texts):
+        for low, high in pieces_of(texts):
             sets = [shingler(t).tobytes() for t in texts[low:high]]
             kept = [batch.column(n).slice(low, high - low) for n in names]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sets, pa.binary())], names=[*names, "set"])

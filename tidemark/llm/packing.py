@@ -26,7 +26,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import keyed, unkeyed
+from tidemark.llm.common import keyed, pieces_of, unkeyed
 from tidemark.sources.shared import materialise, table_folder
 
 MAGIC = b"TMKPACK1"
@@ -43,7 +43,7 @@ class PackOptions:
     ids: int = 49_408
     end: int = 2
     block: int = 1 << 16
-    cached: int = 200_000
+    cached: int = 600_000
     files: int = 0
 
 
@@ -63,11 +63,18 @@ def unpack(data: bytes, bits: int, n: int) -> np.ndarray:
     return flat.reshape(n, bits).astype(np.uint32) @ (np.uint32(1) << np.arange(bits, dtype=np.uint32))
 
 
+_CLOSERS = ".,;:!?"
+_ENCODERS: dict[str, Encoder] = {}
+
+
 class Encoder:
     """Ids of whole texts as little-endian u32 bytes.
 
     The tokenizer folds white space and cuts at it before its merges, so the ids of a text
     are those of its pieces between spaces in a row, and a piece met before is looked up.
+    A Latin-1 piece is cut further before closing punctuation, where the tokenizer cuts too, and
+    lower-cased as the tokenizer does. New words of letters alone are encoded in one go and
+    told apart by the tokens that end a word; if their number differs, one by one.
     """
 
     def __init__(self, path: str, cached: int):
@@ -75,30 +82,76 @@ class Encoder:
 
         self.tokenizer, self.cached = Tokenizer.from_file(path), cached
         self.known: dict[str, bytes] = {}
-
-    def __call__(self, text: str) -> bytes:
-        pieces = text.replace("\n", " ").split(" ")
-        new = list(set(pieces).difference(self.known))
-        if new:
-            if len(self.known) > self.cached:
-                self.known.clear()
-                new = list(set(pieces))
-            for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(found.ids, dtype="<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, pieces))
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        known = self.known
+        if len(known) > self.cached:
+            known.clear()
+        self._learn(set(itertools.filterfalse(known.__contains__, itertools.chain.from_iterable(split))))
+        return [b"".join(map(known.__getitem__, pieces)) for pieces in split]
+
+    def _learn(self, new: set[str]) -> None:
+        known = self.known
+        parts = {p: cut for p in new if (cut := self._cut(p)) != (p,)}
+        sought = {w for cut in parts.values() for w in cut if w not in known}
+        sought.update(p for p in new if p not in parts)
+        self._encode_words([w for w in sought if w.isalpha() and self._simple(w)])
+        rest = [w for w in sought if w not in known]
+        for word, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            known[word] = np.array(found.ids, dtype="<u4").tobytes()
+        for piece, cut in parts.items():
+            known[piece] = b"".join(map(known.__getitem__, cut))
+
+    @staticmethod
+    def _simple(piece: str) -> bool:
+        """Latin-1 alone: letters have one lower-case form and nothing composes."""
+        return piece.isascii() or max(piece) < "\u0100"
+
+    def _cut(self, piece: str) -> tuple[str, ...]:
+        if not self._simple(piece) or "<|" in piece:
+            return (piece,)
+        word = piece.rstrip(_CLOSERS)
+        if len(word) < len(piece) and word.isalnum():
+            return (word.lower(), piece[len(word) :])
+        return (piece.lower(),)
+
+    def _encode_words(self, words: list[str]) -> None:
+        if not words:
+            return
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(words):
+            return
+        data, low = ids.tobytes(), 0
+        for word, stop in zip(words, stops.tolist(), strict=True):
+            self.known[word] = data[4 * low : 4 * stop]
+            low = stop
+
+
+def encoder(path: str, cached: int) -> Encoder:
+    """The worker's encoder, kept from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path, cached)
+    return _ENCODERS[path]
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], options: PackOptions, bits: int) -> Iterator[pa.RecordBatch]:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    encoder, end = Encoder(options.tokenizer, options.cached), np.array([options.end], "<u4").tobytes()
+    worker, end = encoder(options.tokenizer, options.cached), np.array([options.end], "<u4").tobytes()
     for batch in batches:
         counts, packed = [], []
-        for text in batch.column("text"):
-            ids = np.frombuffer(encoder(text.as_py()) + end, dtype="<u4")
-            counts.append(len(ids))
-            packed.append(pack(ids, bits))
+        texts = batch.column("text").to_pylist()
+        for low, high in pieces_of(texts):
+            for found in worker.encode(texts[low:high]):
+                ids = np.frombuffer(found + end, dtype="<u4")
+                counts.append(len(ids))
+                packed.append(pack(ids, bits))
         yield pa.RecordBatch.from_arrays(
             [batch.column("key"), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())],
             names=["key", "n", "packed"],
