@@ -29,7 +29,7 @@ class RuleOptions:
     least_docs: int = 200
     least_words: int = 10
     repeat_percent: int = 20
-    most_symbols: float = 0.75
+    most_symbols: float = 0.3
     most_duplicates: float = 0.5
     longest_word: float = 12.0
     shortest_word: float = 2.5
