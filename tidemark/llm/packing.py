@@ -247,23 +247,21 @@ def write_tokens(docs: DataFrame, options: PackOptions) -> DataFrame:
     spark = docs.sparkSession
     bits = max(1, (options.ids - 1).bit_length())
     folder = table_folder(spark, "tokens")
-    encoded = keyed(docs).mapInArrow(lambda it: _encoded(it, options, bits), "key long, n long, packed binary")
     parts = options.files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Stored first: range bounds are sampled, and encoding twice would cost more.
-    encoded = materialise(encoded, "tokens-encoded")
-    ordered = encoded.repartitionByRange(parts, "key").sortWithinPartitions("key", "packed")
+    ordered = keyed(docs).repartitionByRange(parts, "key").sortWithinPartitions("key", "text")
     manifest = ordered.mapInArrow(
-        lambda it: _written(it, folder, options, bits), "file string, first_key long, n_tokens long, n_docs long"
+        lambda it: _written(_encoded(it, options, bits), folder, options, bits),
+        "file string, first_key long, n_tokens long, n_docs long",
     )
     return materialise(manifest, "tokens-manifest")
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
-    """(file, key, place, n_tokens, ids) for each document in the files; `place` counts the
-    tokens before it in its file. `ids` are u32 little-endian bytes."""
+    """(key, start, n_tokens, ids) for each document in the files; `start` counts the tokens
+    before it in all files. `ids` are u32 little-endian bytes."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for path in (p.as_py() for b in batches for p in b.column("file")):
+        for path, before in ((f.as_py(), n.as_py()) for b in batches for f, n in zip(b.column("file"), b.column("before"), strict=True)):
             packed, start = PackedFile(path), 0
             for low in range(0, packed.n_docs, 64):
                 rows = packed.docs[low : low + 64]
@@ -272,18 +270,19 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                 starts = np.concatenate(([start], rows[:-1, 1]))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([path] * len(rows)),
                         pa.array(rows[:, 0]),
-                        pa.array(starts, pa.int64()),
+                        pa.array(starts + before, pa.int64()),
                         pa.array(rows[:, 1] - starts, pa.int64()),
                         pa.array([ids[a - base : b - base].tobytes() for a, b in zip(starts, rows[:, 1], strict=True)], pa.binary()),
                     ],
-                    names=["file", "key", "place", "n_tokens", "ids"],
+                    names=["key", "start", "n_tokens", "ids"],
                 )
                 start = stop
 
-    one_each = manifest.select("file").repartition("file")
-    return one_each.mapInArrow(read, "file string, key long, place long, n_tokens long, ids binary")
+    # A fixed number of partitions: a file's row is small, the file behind it is not.
+    parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = file_starts(manifest).repartition(parts, "file")
+    return spread.mapInArrow(read, "key long, start long, n_tokens long, ids binary")
 
 
 def file_starts(manifest: DataFrame) -> DataFrame:
@@ -301,11 +300,8 @@ def token_digests(docs: DataFrame, options: PackOptions) -> DataFrame:
         for b in batches:
             sums = pa.array([zlib.crc32(x.as_buffer()) for x in b.column("ids")], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column(c) for c in ("file", "key", "place", "n_tokens")] + [sums],
-                names=["file", "key", "place", "n_tokens", "ids_crc32"],
+                [*(b.column(c) for c in ("key", "start", "n_tokens")), sums], names=["key", "start", "n_tokens", "ids_crc32"]
             )
 
-    read = read_tokens(manifest).mapInArrow(crc, "file string, key long, place long, n_tokens long, ids_crc32 long")
-    return read.join(file_starts(manifest), "file").select(
-        unkeyed("key", "doc_id"), (F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids_crc32"
-    )
+    read = read_tokens(manifest).mapInArrow(crc, "key long, start long, n_tokens long, ids_crc32 long")
+    return read.select(unkeyed("key", "doc_id"), "start", "n_tokens", "ids_crc32")

@@ -194,7 +194,9 @@ def read_warc(manifest: DataFrame, options: WarcOptions = WarcOptions(), data: b
                     rows = []
             yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
-    return manifest.select("file").repartition("file").mapInArrow(read, _KIND)
+    # A fixed number of partitions: an archive's row is small, the archive behind it is not.
+    parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return manifest.select("file").repartition(parts, "file").mapInArrow(read, _KIND)
 
 
 def records(read: DataFrame) -> DataFrame:
