@@ -22,7 +22,7 @@ def arguments(argv: Sequence[str] | None = None) -> argparse.Namespace:
     parser.add_argument("job", choices=JOBS)
     parser.add_argument("--database", default="default")
     parser.add_argument("--audit-database")
-    parser.add_argument("--buckets", type=int, default=8, help="files per customer-grain table")
+    parser.add_argument("--buckets", type=int, default=0, help="files per customer-grain table; 0: the session's shuffle partitions")
     parser.add_argument("--full-refresh", action="store_true")
     parser.add_argument("--ungated-columns", action="store_true", help="column rules do not gate")
     parser.add_argument("--waive", nargs="*", default=[], help="rule ids that never stop a run")

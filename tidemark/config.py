@@ -54,6 +54,9 @@ SESSION_SETTINGS = {
     "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Splits a hot key's join even where the aggregate above then needs a shuffle of
+    # its own: that one only carries partial sums.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # Bucketed tables are written one sorted file per bucket; scans may rely on it
     # (Spark checks that a bucket is a single file), which spares the joins a sort.

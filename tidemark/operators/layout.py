@@ -5,16 +5,15 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TARGET_BYTES = 128 * 1024 * 1024
 
 
 def stored_bytes(df: DataFrame) -> int:
-    """Bytes of the files behind a file-based frame, summed on the executors."""
-    files = df.select("_metadata.file_path", "_metadata.file_size").distinct()
-    return files.agg(F.coalesce(F.sum("file_size"), F.lit(0))).first()[0]
+    """Bytes of the files behind a file-based frame, from its statistics: no row is read."""
+    return int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes()))
 
 
 def target_files(df: DataFrame, target_bytes: int = TARGET_BYTES) -> int:
@@ -31,53 +30,10 @@ def compact(df: DataFrame, files: int | None = None) -> DataFrame:
 
 
 def cluster_by(df: DataFrame, keys: Sequence[str], files: int) -> DataFrame:
-    """Rows ordered for file and row-group skipping on `keys`.
+    """Rows ordered for file and row-group skipping on `keys`, the first key foremost.
 
-    One key: range partitions sorted on it. Several: a bit-interleaved code of the
-    keys' quantile ranks, so that each key alone still prunes. A hash of the whole
-    row is the last range column; it lets a key holding a large part of all rows
-    spread over several neighbouring files.
+    Range partitions, sorted within. A hash of the whole row is the last range column;
+    it lets a key holding a large part of all rows spread over several neighbouring files.
     """
     spread = F.xxhash64(*df.columns)
-    if len(keys) == 1:
-        return df.repartitionByRange(files, keys[0], spread).sortWithinPartitions(keys[0])
-    coded = df.withColumn("_code", interleaved_ranks(df, keys))
-    ordered = coded.repartitionByRange(files, "_code", spread)
-    return ordered.sortWithinPartitions("_code", *keys).drop("_code")
-
-
-def interleaved_ranks(df: DataFrame, keys: Sequence[str], bits: int = 6) -> Column:
-    """Z-order code of up to ten numeric or date keys.
-
-    The boundaries are approximate quantiles: 2^bits - 1 numbers per key.
-    """
-    if len(keys) * bits > 60:
-        raise ValueError("too many keys for one 64-bit code")
-    numeric = [_as_number(df, k).alias(k) for k in keys]
-    steps = [i / 2**bits for i in range(1, 2**bits)]
-    cuts = df.select(*numeric).approxQuantile(list(keys), steps, 0.5 / 2**bits)
-    code = F.lit(0).cast("long")
-    for place, (key, bounds) in enumerate(zip(keys, cuts, strict=True)):
-        rank = _rank(_as_number(df, key), sorted(set(bounds)), 0)
-        for bit in range(bits):
-            one = F.shiftright(rank, bit).bitwiseAND(F.lit(1))
-            code = code.bitwiseOR(F.shiftleft(one.cast("long"), bit * len(keys) + place))
-    return code
-
-
-def _as_number(df: DataFrame, key: str) -> Column:
-    kind = df.schema[key].dataType.typeName()
-    if kind == "date":
-        return F.unix_date(key).cast("double")
-    if kind.startswith("timestamp"):
-        return F.unix_micros(F.col(key).cast("timestamp")).cast("double")
-    return F.col(key).cast("double")
-
-
-def _rank(value: Column, bounds: list[float], base: int) -> Column:
-    """Number of bounds at or below `value`, as a balanced tree of comparisons."""
-    if not bounds:
-        return F.lit(base)
-    mid = len(bounds) // 2
-    above = _rank(value, bounds[mid + 1 :], base + mid + 1)
-    return F.when(value >= bounds[mid], above).otherwise(_rank(value, bounds[:mid], base))
+    return df.repartitionByRange(files, *keys, spread).sortWithinPartitions(*keys)

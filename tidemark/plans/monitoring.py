@@ -24,7 +24,7 @@ def run_durations(
     """Recent runs of the jobs with the name prefix, newest first, whole minutes."""
     recent = F.col("start_time") >= F.date_sub(clock.today(), days).cast("timestamp")
     return (
-        log.where(F.col("job_name").like(f"{prefix}%") & recent)
+        log.where(F.col("job_name").startswith(prefix) & recent)
         .select(
             "job_id",
             "job_name",

@@ -26,7 +26,7 @@ from tidemark.plans.silver import (
     silver_transactions,
 )
 from tidemark.schemas import CUSTOMER, GOLD, RAW, RUN_LOG, SILVER
-from tidemark.sources.tables import append_batch, replace_table, stored
+from tidemark.sources.tables import append_batch, bucket_count, replace_table, session_buckets, stored
 
 CUSTOMERS, PRODUCTS, INTERACTIONS, TRANSACTIONS = SILVER
 RAW_CUSTOMERS, RAW_ENROLLMENTS, RAW_INTERACTIONS, RAW_TRANSACTIONS = RAW
@@ -37,7 +37,8 @@ LOG = "run_log"
 class Mart:
     """Where the tables live and how the runs behave.
 
-    `buckets` is the number of files of every customer-grain table. All of them are
+    `buckets` is the number of files of every customer-grain table; 0 takes the
+    session's number of shuffle partitions, which a cluster sets by its data. All are
     bucketed on the customer, so the profile join and the upserts do not shuffle
     what is stored. `gate_columns` makes column rules stop a run like assertions do;
     rules in `waived` are evaluated and stored but never stop it.
@@ -47,12 +48,16 @@ class Mart:
     database: str = "default"
     limits: Thresholds = Thresholds()
     clock: Clock = Clock()
-    buckets: int = 8
+    buckets: int = 0
     audit_database: str | None = None
     gate_columns: bool = True
     waived: frozenset[str] = frozenset()
     results: list[CheckResult] = field(default_factory=list)
 
+    def __post_init__(self) -> None:
+        if not self.buckets:
+            object.__setattr__(self, "buckets", session_buckets(self.spark))
+
     def name(self, table: str) -> str:
         return f"{self.database}.{table}"
 
@@ -65,6 +70,11 @@ class Mart:
     def write(self, df: DataFrame, table: str, arranged: bool = False) -> None:
         replace_table(df, self.name(table), CUSTOMER, self.buckets, arranged)
 
+    def arranged(self, *tables: str) -> bool:
+        """Whether all these tables lie in the mart's buckets, so that what is joined from
+        them does as well."""
+        return all(bucket_count(self.spark, self.name(t)) == self.buckets for t in tables)
+
     def check(self, columns: Sequence[rules.Rule], assertions: Sequence[Check] = ()) -> None:
         """One gate: the column rules, if they gate, and the assertions together."""
         checks = [*(columns if self.gate_columns else ()), *assertions]
@@ -96,7 +106,7 @@ def _refresh(mart: Mart, raw: str, table: str, roll_up: RollUp, full_refresh: bo
     target = None if full_refresh or not mart.has(table) else mart.read(table)
     rows = incremental_refresh(mart.read(raw), target, roll_up, buckets=mart.buckets)
     if rows is not target:  # nothing pending: the table stays as it is
-        mart.write(rows, table, arranged=target is not None)
+        mart.write(rows, table, arranged=target is not None and mart.arranged(table))
 
 
 def refresh_interactions(mart: Mart, full_refresh: bool = False) -> None:
@@ -123,7 +133,7 @@ def _backfill(
         return
     rows = backfill(source, target, roll_up, start, end, buckets=mart.buckets)
     if rows is not target:
-        mart.write(rows, table, arranged=True)
+        mart.write(rows, table, arranged=mart.arranged(table))
 
 
 def _both(first: Callable[[], None], second: Callable[[], None]) -> None:
@@ -139,7 +149,7 @@ def _finish(mart: Mart) -> None:
     columns = rules.silver_rules(mart.silver_columns(*facts), facts)
     mart.check(columns, rules.silver_assertions())
     profile = customer_profile(*(mart.read(t) for t in SILVER), mart.clock, mart.limits)
-    mart.write(profile, GOLD, arranged=True)  # as the silver tables it is joined from
+    mart.write(profile, GOLD, arranged=mart.arranged(*SILVER))
     mart.check(rules.gold_rules(profile.columns), rules.gold_assertions(mart.limits))
 
 

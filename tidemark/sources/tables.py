@@ -35,6 +35,21 @@ def stored(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(f"{name}__g{_generation(spark, name)}")
 
 
+def bucket_count(spark: SparkSession, name: str) -> int:
+    """Buckets of the backing table `name` shows now; 0 if there are none."""
+    generation = _generation(spark, name)
+    if generation is None:
+        return 0
+    described = spark.sql(f"DESCRIBE TABLE EXTENDED {name}__g{generation}")
+    found = described.where("col_name = 'Num Buckets'").first()
+    return int(found["data_type"]) if found else 0
+
+
+def session_buckets(spark: SparkSession) -> int:
+    """Files of a table nobody chose a number for: as many as a shuffle has partitions."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def replace_table(
     df: DataFrame,
     name: str,

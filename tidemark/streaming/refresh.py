@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from tidemark.operators.incremental import RollUp, changed_keys, recompute, upsert
 from tidemark.schemas import CUSTOMER
 from tidemark.sources.shared import materialise
-from tidemark.sources.tables import replace_table
+from tidemark.sources.tables import bucket_count, replace_table, session_buckets
 
 BATCH = "_batch"
 
@@ -22,7 +22,7 @@ def stream_refresh(
     target: str,
     roll_up: RollUp,
     checkpoint: str,
-    buckets: int = 8,
+    buckets: int = 0,
     files_per_batch: int | None = None,
     key: str = CUSTOMER,
 ) -> None:
@@ -44,10 +44,12 @@ def stream_refresh(
         raw = stored.drop(BATCH)
         keys = materialise(changed_keys(stored.where(F.col(BATCH) == number), key=key), "batch")
         delta = recompute(raw, keys, roll_up, key)
+        files = buckets or session_buckets(session)
         known = session.catalog.tableExists(target)
+        arranged = known and bucket_count(session, target) == files
         if known:
-            delta = upsert(session.table(target), delta, key, buckets)
-        replace_table(delta, target, key, buckets, arranged=known)
+            delta = upsert(session.table(target), delta, key, files)
+        replace_table(delta, target, key, files, arranged=arranged)
 
     reader = spark.readStream.schema(schema)
     if files_per_batch is not None:

@@ -435,9 +435,7 @@ def _nearest_rank(percents: list[int]) -> str:
 _RANKED = """total AS (SELECT count(*) AS n FROM transactions),
 ranked AS (SELECT cents, row_number() OVER (ORDER BY cents) AS r FROM transactions)"""
 
-_FIRST_LOAD_INTERACTIONS = PRELUDE.replace(
-    "WHERE (user_id * 10", "WHERE event_id % 5 <> 0 AND (user_id * 10"
-)
+_FIRST_LOAD_INTERACTIONS = PRELUDE.replace("  FROM events)", "  FROM events WHERE event_id % 5 <> 0)")
 
 
 def _stddev(cents: str) -> str:
