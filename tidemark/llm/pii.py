@@ -194,7 +194,8 @@ def calibrate(trees: Trees, x: np.ndarray, y: np.ndarray, options: PiiOptions) -
         mine = np.flatnonzero(x[:, 0] == k)
         order = mine[np.argsort(-score[mine], kind="stable")]
         right = np.cumsum(y[order]) / np.arange(1, len(order) + 1)
-        good = np.flatnonzero(right >= options.precision)
+        last = np.append(np.diff(score[order]) < 0, True)[: len(order)]  # of equal scores
+        good = np.flatnonzero((right >= options.precision) & last)
         out[kind] = float(score[order[good[-1]]]) if len(good) else 2.0
     return Trees(trees.edges, trees.nodes, trees.start, out)
 
