@@ -142,16 +142,14 @@ def thresholds(histograms: DataFrame, options: RuleOptions) -> DataFrame:
     names = [f"{m}_{c}" for m in METRICS for c in ("low", "high")]
     own = _quartiles(histograms, ["lang", "source"], options)
     by_lang = _quartiles(histograms, ["lang"], options).select(F.col("lang").alias("l"), F.struct("docs", *names).alias("of_lang"))
-    corpus = _quartiles(histograms.withColumn("all", F.lit(0)), ["all"], options).select(
-        F.col("all"), F.struct("docs", *names).alias("of_all")
-    )
-    joined = own.join(by_lang, F.col("lang").eqNullSafe(F.col("l"))).withColumn("all", F.lit(0)).join(corpus, "all")
+    corpus = _quartiles(histograms.withColumn("all", F.lit(0)), ["all"], options).first()
+    joined = own.join(by_lang, F.col("lang").eqNullSafe(F.col("l")))
 
     def of(name: str) -> Column:
         return (
             F.when(F.col("docs") >= options.least_docs, F.col(name))
             .when(F.col("of_lang.docs") >= options.least_docs, F.col(f"of_lang.{name}"))
-            .otherwise(F.col(f"of_all.{name}"))
+            .otherwise(F.lit(corpus[name] if corpus else None).cast("double"))
         )
 
     def upper(metric: str, least: float) -> Column:
