@@ -110,7 +110,7 @@ def test_report_repeats_the_single_reports(spark):
         b.customers, b.enrollments, b.interactions, b.transactions
     ).collect():
         assert lines["coverage", r.missing, "n_customers"] == str(r.n_customers)
-    assert lines["row_count", "transaction_history", "n_rows"] == "749"
+    assert lines["row_count", "transaction_history", "n_rows"] == "1500"
     assert lines["blank", "customer_raw.email", "n_blank"] == "0"
 
 
