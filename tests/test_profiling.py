@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import oracle
 import rows
-from tidemark.operators.summaries import blanks, exact_percentiles, share_of_total, surplus_rows
+from tidemark.operators.summaries import _Gap, blanks, exact_percentiles, share_of_total, surplus_rows
 from tidemark.plans import monitoring, profiling
 from tidemark.config import Clock
 from workload.bank import CLOCK, bank
@@ -32,14 +32,24 @@ def nearest_rank(values, fraction):
         [None, 3, None, 1],
     ],
 )
-@pytest.mark.parametrize("accuracy, window", [(10_000, 1_000_000), (20, 5)])
-def test_exact_percentiles(spark, values, accuracy, window):
+@pytest.mark.parametrize("accuracy", [10_000, 20])
+def test_exact_percentiles(spark, values, accuracy):
     df = spark.createDataFrame([(v,) for v in values], "x long").repartition(5)
-    got = {r.fraction: r.value for r in exact_percentiles(df, "x", profiling.PERCENTILES, accuracy, window).collect()}
+    got = {r.fraction: r.value for r in exact_percentiles(df, "x", profiling.PERCENTILES, accuracy).collect()}
     present = [v for v in values if v is not None]
     assert got == {f: nearest_rank(present, f) for f in profiling.PERCENTILES}
 
 
+@pytest.mark.parametrize("pivots", [(0, 1), (700, 900), (400, 400), (250, 640)])
+def test_a_gap_holds_its_rank_wherever_the_pivots_fall(pivots):
+    """Pivots that miss the rank move the gap to the side it lies on."""
+    counted = [(p, p, p + 1) for p in pivots]  # of the values 0 to 999, once each
+    gap = _Gap(None, None, 0, 1000).beside(500, counted)
+    low, high = -1 if gap.low is None else gap.low, 1000 if gap.high is None else gap.high
+    assert low < 499 < high
+    assert (gap.below, gap.inside) == (low + 1, high - low - 1)
+
+
 def test_percentiles_of_nothing(spark):
     empty = spark.createDataFrame([(None,)], "x long")
     assert exact_percentiles(empty, "x", ["0.5"]).collect() == []
@@ -110,6 +120,12 @@ def test_report_repeats_the_single_reports(spark):
         b.customers, b.enrollments, b.interactions, b.transactions
     ).collect():
         assert lines["coverage", r.missing, "n_customers"] == str(r.n_customers)
+    for r in profiling.top_duplicates(b.customers, "email").collect():
+        assert lines["top_duplicate", r.email, "n"] == str(r.n)
+    for r in profiling.odd_phones(b.customers).collect():
+        assert lines["odd_phone", str(r.customer_id), "mobile"] == r.mobile
+    for r in profiling.profile_label_hygiene(b.enrollments, "product_type").collect():
+        assert lines["label", f"{r.product_type} | {r.product_type_clean}", "n"] == str(r.n)
     assert lines["row_count", "transaction_history", "n_rows"] == "1500"
     assert lines["blank", "customer_raw.email", "n_blank"] == "0"
 

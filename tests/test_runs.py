@@ -64,7 +64,7 @@ def test_daily_then_hourly(spark, mart):
         k: v for k, v in before.items() if k not in (1, 8)
     }
     log = {(r.job_name, r.state) for r in mart.read("run_log").collect()}
-    assert log == {("refresh_all", "SUCCESS"), ("refresh_facts", "SUCCESS")}
+    assert log == {(f"{mart.database}_{job}", "SUCCESS") for job in ("refresh_all", "refresh_facts")}
 
 
 def test_full_refresh_and_backfill_reach_the_same(spark, mart):
@@ -179,3 +179,39 @@ def test_jobs_from_the_command_line(spark, mart, tmp_path):
     assert {k: r["customer_segment"] for k, r in by_key(mart.read(GOLD)).items()} == {
         k: r["customer_segment"] for k, r in built.items()
     }
+
+
+def test_appending_and_reports_from_the_command_line(spark, mart, tmp_path):
+    def job(*argv):
+        run(spark, arguments([*argv, "--database", mart.database]))
+
+    job("refresh-all", "--buckets", "2")
+    before = by_key(mart.read(GOLD))
+    marks = {r._ingested_at for r in mart.read("crm_interactions").collect()}
+    text = tmp_path / "late.csv"
+    text.write_text("interaction_id|customer_id|interaction_type|interaction_date\n77|8|Call|2024-06-01\n")
+    job("ingest", "--append", "--table", "crm_interactions", "--path", str(text))
+    assert marks < {r._ingested_at for r in mart.read("crm_interactions").collect()}
+    job("refresh-facts", "--buckets", "2")
+    gained = {k: r["total_interactions"] - before[k]["total_interactions"] for k, r in by_key(mart.read(GOLD)).items()}
+    assert {k for k, n in gained.items() if n} == {8} and gained[8] == 1
+
+    job("check")
+    job("freshness")
+    assert mart.read("freshness").count() == 5
+    job("monitor")
+    job("monitor")
+    assert {r.dropped for r in mart.read("row_counts").collect()} == {False}
+    jobs = {r.job_name.removeprefix(f"{mart.database}_") for r in mart.read("recent_runs").collect()}
+    assert jobs == {"refresh_all", "refresh_facts", "check"}
+
+
+def test_a_lost_log_does_not_hide_the_failure(spark, mart, monkeypatch):
+    def lost(*_):
+        raise OSError("no log")
+
+    monkeypatch.setattr(pipeline, "append_batch", lost)
+    monkeypatch.setattr(pipeline, "build_dimensions", lambda _: 1 / 0)
+    with pytest.raises(ZeroDivisionError) as failure:
+        pipeline.refresh_all(mart)
+    assert "no log" in failure.value.__notes__[0]

@@ -14,7 +14,10 @@ from tidemark.plans.profiling import profile_report
 from tidemark.schemas import RAW
 from tidemark.sources import load_raw, replace_table
 
-JOBS = ("ingest", "refresh-facts", "refresh-all", "backfill", "optimize", "profile")
+JOBS = (
+    "ingest", "refresh-facts", "refresh-all", "backfill", "optimize", "profile",
+    "check", "freshness", "monitor",
+)
 
 
 def arguments(argv: Sequence[str] | None = None) -> argparse.Namespace:
@@ -30,6 +33,7 @@ def arguments(argv: Sequence[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--end", type=dt.datetime.fromisoformat, help="backfill to, exclusive")
     parser.add_argument("--table", help="table to ingest or optimize")
     parser.add_argument("--path", help="files to ingest, may be a glob")
+    parser.add_argument("--append", action="store_true", help="ingest adds to the table instead of replacing it")
     parser.add_argument("--cluster", help="comma-separated columns to order the table by")
     return parser.parse_args(argv)
 
@@ -44,7 +48,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         waived=frozenset(args.waive),
     )
     if args.job == "ingest":
-        load_raw(spark, args.path, mart.name(args.table), RAW[args.table])
+        load_raw(spark, args.path, mart.name(args.table), RAW[args.table], append=args.append)
     elif args.job == "refresh-facts":
         pipeline.refresh_facts(mart, args.full_refresh)
     elif args.job == "refresh-all":
@@ -53,6 +57,12 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         pipeline.backfill_all(mart, args.start, args.end)
     elif args.job == "optimize":
         pipeline.optimize(mart, args.table, args.cluster)
+    elif args.job == "check":
+        pipeline.check_all(mart)
+    elif args.job == "freshness":
+        pipeline.report_freshness(mart)
+    elif args.job == "monitor":
+        pipeline.monitor(mart)
     else:
         replace_table(profile_report(*(mart.read(t) for t in RAW)), mart.name("profile_report"))
 

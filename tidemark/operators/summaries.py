@@ -6,10 +6,10 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from fractions import Fraction
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import is_blank
 from tidemark.operators.keys import union_all
@@ -88,71 +88,61 @@ def exact_percentiles(
     column: str,
     fractions: Sequence[str],
     accuracy: int = 10_000,
-    window_rows: int = 1_000_000,
 ) -> DataFrame:
     """Exact nearest-rank percentiles, (fraction, value); fractions as decimal text.
 
-    A mergeable sketch gives, for each fraction, two values that enclose its rank;
-    a scan counts the rows below and inside. Enclosures of more than `window_rows`
-    rows are sketched again from within, which shrinks them some thousandfold each
-    time. Only the rows finally inside are grouped by value and ordered, each
-    enclosure on its own. The table itself is neither sorted nor shuffled.
+    A mergeable sketch gives, for each fraction, two values beside its rank; a scan counts
+    the rows under and up to each. Either one of them holds the rank, or the gap it lies in,
+    before, between or after them, is sketched again. A gap leaves out the values that
+    bound it, so it always shrinks, some thousandfold as a rule. The table is neither sorted
+    nor shuffled, and the driver gets one row a round.
     """
     value, slack = F.col(column), 2 / accuracy
     total = df.agg(F.count(column)).first()[0]
-    if not total:
-        return df.where(F.lit(False)).select(F.lit("").alias("fraction"), value.alias("value"))
-
-    ranks = [max(1, math.ceil(Fraction(f) * total)) for f in fractions]
-    spans = [_Span(None, None, 0, total) for _ in fractions]
-    wide = list(range(len(spans)))
-    while wide:
-        # One sketch per enclosure still open; at first all ranks share the whole.
-        shared = {s: [i for i in wide if spans[i] == s] for s in {spans[i] for i in wide}}
+    ranks = {f: max(1, math.ceil(Fraction(f) * total)) for f in fractions}
+    gaps = {f: _Gap(None, None, 0, total) for f in fractions} if total else {}
+    found: dict[str, object] = {}
+    while gaps:
+        # One sketch per gap; at first all ranks share the whole.
+        shared: dict[_Gap, list[str]] = {}
+        for f, gap in gaps.items():
+            shared.setdefault(gap, []).append(f)
         sketches = []
-        for n, (span, members) in enumerate(shared.items()):
-            aims = [(ranks[i] - span.below) / span.inside for i in members]
+        for n, (gap, members) in enumerate(shared.items()):
+            aims = [(ranks[f] - gap.below) / gap.inside for f in members]
             ends = [min(1.0, max(0.0, a + shift)) for a in aims for shift in (-slack, slack)]
-            inside = F.when(span.holds(value), value)
+            inside = F.when(gap.holds(value), value)
             sketches.append(F.percentile_approx(inside, ends, accuracy).alias(f"s{n}"))
-        found = df.agg(*sketches).first()
-        trial = {
-            i: _Span(found[n][2 * at], found[n][2 * at + 1], 0, 0)
+        sketched = df.agg(*sketches).first()
+        pivots = {
+            f: sketched[n][2 * at : 2 * at + 2]
             for n, members in enumerate(shared.values())
-            for at, i in enumerate(members)
+            for at, f in enumerate(members)
         }
-        sizes = df.agg(
-            *(F.count_if(value < F.lit(t.low)).alias(f"below{i}") for i, t in trial.items()),
-            *(F.count_if(t.holds(value)).alias(f"inside{i}") for i, t in trial.items()),
+        counts = df.agg(
+            *(
+                F.count_if(value < F.lit(p) if kind == "under" else value <= F.lit(p)).alias(f"{kind}{f}_{k}")
+                for f, pair in pivots.items()
+                for k, p in enumerate(pair)
+                for kind in ("under", "upto")
+            )
         ).first()
-        narrower = []
-        for i, t in trial.items():
-            t = _Span(t.low, t.high, sizes[f"below{i}"], sizes[f"inside{i}"])
-            shrunk = t.inside < spans[i].inside
-            spans[i] = t
-            if shrunk and t.inside > window_rows and t.low != t.high:
-                narrower.append(i)
-        wide = narrower
-
-    spots = [
-        F.when(s.holds(value), F.struct(F.lit(f).alias("fraction"), F.lit(r - s.below).alias("rank")))
-        for f, r, s in zip(fractions, ranks, spans, strict=True)
-    ]
-    near = df.where(reduce(lambda a, b: a | b, [s.holds(value) for s in spans]))
-    enclosed = near.select(value.alias("value"), F.explode(F.array_compact(F.array(*spots))).alias("s"))
-    counted = enclosed.groupBy("s.fraction", "s.rank", "value").agg(F.count("*").alias("n"))
-    reached = F.sum("n").over(Window.partitionBy("fraction").orderBy("value"))
-    return (
-        counted.withColumn("reached", reached)
-        .where("reached >= rank")
-        .groupBy("fraction")
-        .agg(F.min("value").alias("value"))
-    )
+        for f, pair in pivots.items():
+            seen = [(p, counts[f"under{f}_{k}"], counts[f"upto{f}_{k}"]) for k, p in enumerate(pair)]
+            hit = [p for p, under, upto in seen if under < ranks[f] <= upto]
+            if hit:
+                found[f] = hit[0]
+                del gaps[f]
+            else:
+                gaps[f] = gaps[f].beside(ranks[f], seen)
+    kind = T.StructType().add("fraction", "string").add("value", df.schema[column].dataType)
+    return df.sparkSession.createDataFrame(list(found.items()), kind)
 
 
 @dataclass(frozen=True)
-class _Span:
-    """Values enclosing a rank, with the rows below and inside; open at first."""
+class _Gap:
+    """Values strictly between two bounds, either of which may be open, with the rows
+    before the gap and inside it."""
 
     low: object
     high: object
@@ -160,6 +150,20 @@ class _Span:
     inside: int
 
     def holds(self, value: Column) -> Column:
-        if self.low is None:
-            return value.isNotNull()
-        return value.between(F.lit(self.low), F.lit(self.high))
+        held = value.isNotNull()
+        if self.low is not None:
+            held &= value > F.lit(self.low)
+        if self.high is not None:
+            held &= value < F.lit(self.high)
+        return held
+
+    def beside(self, rank: int, pivots: Sequence[tuple[object, int, int]]) -> _Gap:
+        """The part of the gap the rank lies in; `pivots` ascend: value, rows under it, rows up to it."""
+        low, high, below, end = self.low, self.high, self.below, self.below + self.inside
+        for pivot, under, upto in pivots:
+            if upto < rank:
+                low, below = pivot, upto
+            else:
+                high, end = pivot, under
+                break
+        return _Gap(low, high, below, end - below)

@@ -17,8 +17,16 @@ from tidemark.config import Clock, Thresholds
 from tidemark.operators.incremental import RollUp, backfill, incremental_refresh
 from tidemark.operators.layout import cluster_by, compact, target_files
 from tidemark.plans import rules
-from tidemark.plans.checks import Check, CheckResult, evaluate, require_pass
+from tidemark.plans.checks import (
+    Check,
+    CheckResult,
+    build_freshness,
+    evaluate,
+    freshness,
+    require_pass,
+)
 from tidemark.plans.gold import customer_profile
+from tidemark.plans.monitoring import row_counts, run_durations
 from tidemark.plans.silver import (
     silver_customers,
     silver_interactions,
@@ -31,6 +39,8 @@ from tidemark.sources.tables import append_batch, bucket_count, replace_table, s
 CUSTOMERS, PRODUCTS, INTERACTIONS, TRANSACTIONS = SILVER
 RAW_CUSTOMERS, RAW_ENROLLMENTS, RAW_INTERACTIONS, RAW_TRANSACTIONS = RAW
 LOG = "run_log"
+# Age from which on a profile counts as overdue.
+BUILD_SLA = dt.timedelta(minutes=90)
 
 
 @dataclass(frozen=True)
@@ -214,14 +224,60 @@ def optimize(mart: Mart, table: str, cluster: str | None = None) -> None:
             replace_table(compact(df, wanted), mart.name(table))
 
 
+def check_all(mart: Mart) -> None:
+    """Every declared rule and assertion over all layers as they are."""
+
+    def run() -> None:
+        columns = [
+            *rules.bronze_rules(),
+            *rules.silver_rules(mart.silver_columns(*SILVER)),
+            *rules.gold_rules(mart.read(GOLD).columns),
+            rules.duplicate_email_rule(),
+        ]
+        assertions = [
+            *rules.bronze_assertions(),
+            *rules.silver_assertions(),
+            *rules.gold_assertions(mart.limits),
+        ]
+        mart.check(columns, assertions)
+
+    _logged(mart, "check", run)
+
+
+def report_freshness(mart: Mart, sla: dt.timedelta = BUILD_SLA) -> None:
+    """Age of the raw tables and of the profile, into the table `freshness`."""
+    raw = freshness({t: mart.read(t) for t in RAW}, mart.clock)
+    built = build_freshness(mart.read(GOLD), sla, mart.clock, GOLD)
+    replace_table(raw.union(built), mart.name("freshness"))
+
+
+def monitor(mart: Mart) -> None:
+    """Recent runs of this mart into `recent_runs`, rows per built table, compared with
+    the report before, into `row_counts`."""
+    if mart.has(LOG):
+        runs = run_durations(mart.read(LOG), f"{mart.database}_", mart.clock)
+        replace_table(runs, mart.name("recent_runs"))
+    before = mart.read("row_counts") if mart.has("row_counts") else None
+    report = row_counts({t: mart.read(t) for t in (*SILVER, GOLD)}, mart.clock, previous=before)
+    replace_table(report, mart.name("row_counts"))
+
+
 def _logged(mart: Mart, job: str, run: Callable[[], None]) -> None:
-    """Run a job and add its times and outcome to the run log."""
+    """Run a job and add its times and outcome to the run log, as `<database>_<job>`. A log
+    that cannot be written does not hide the error of a failed job."""
     started = dt.datetime.now(dt.UTC)
-    state = "FAILED"
-    try:
-        run()
-        state = "SUCCESS"
-    finally:
+
+    def log(state: str) -> None:
         ended = dt.datetime.now(dt.UTC)
-        row = (int(started.timestamp() * 1e6), job, started, ended, state)
+        row = (int(started.timestamp() * 1e6), f"{mart.database}_{job}", started, ended, state)
         append_batch(mart.spark.createDataFrame([row], RUN_LOG), mart.name(LOG))
+
+    try:
+        run()
+    except Exception as failure:
+        try:
+            log("FAILED")
+        except Exception as unlogged:
+            failure.add_note(f"the run log could not be written: {unlogged}")
+        raise
+    log("SUCCESS")

@@ -318,10 +318,17 @@ def profile_report(
     ]
     spread, histogram = profile_products_per_customer(enrollments)
     coverage = profile_coverage(customers, enrollments, interactions, transactions)
+    labels = profile_label_hygiene(enrollments, "product_type")
+    odd = odd_phones(customers).distinct().selectExpr(
+        "'odd_phone' AS section", "CAST(customer_id AS STRING) AS item", "'mobile' AS metric", "mobile AS value"
+    )
     return union_all(
         *(_one_scan(name, df, scans[name]) for name, df in tables.items()),
         _long("duplicate", profile_duplicates(keys), F.concat_ws(".", "table_name", "column_name")),
+        _long("top_duplicate", top_duplicates(customers, "email"), F.col("email")),
         _long("phone_format", profile_phone_formats(customers), F.col("phone_format")),
+        odd,
+        _long("label", labels, F.concat_ws(" | ", "product_type", "product_type_clean")),
         *(_long(c, share_of_total(df, c), F.col(c)) for c, df in distributions),
         _long("orphan", profile_orphans(references), F.col("reference")),
         _long("products_per_customer", spread, F.lit("all")),

@@ -179,7 +179,7 @@ def silver_rules(columns: Mapping[str, list[str]], only: Iterable[str] = SILVER)
     return [r for t in only for r in _rules(t, columns[t], CUSTOMER, **details[t])]
 
 
-# Profile columns that may be NULL: what a customer without such rows lacks, and what
+# Fixed list. Profile columns that may be NULL: what a customer without such rows lacks, and what
 # follows from it. `total_credit_limit` is not among them although it is NULL for a
 # customer without products; the rule reports that and is meant to.
 PROFILE_NULLABLE = (
@@ -230,18 +230,18 @@ def duplicate_email_rule() -> Rule:
 
 # Business assertions -----------------------------------------------------------
 
+# Fixed list of columns, in the order they are reported.
 NON_NEGATIVE = (
     "age",
     "days_since_signup",
-    "days_since_last_activity",
     "total_products",
+    "total_interactions",
+    "total_transactions",
     "credit_card_count",
     "savings_count",
-    "total_interactions",
     "email_interactions",
     "chat_interactions",
     "call_interactions",
-    "total_transactions",
     "debit_count",
     "credit_count",
     "total_transaction_value",
@@ -251,6 +251,7 @@ NON_NEGATIVE = (
     "savings_transaction_value",
     "credit_card_transaction_count",
     "savings_transaction_count",
+    "days_since_last_activity",
 )
 
 

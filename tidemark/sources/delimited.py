@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from tidemark.config import Clock
 from tidemark.schemas import INGESTED
-from tidemark.sources.tables import replace_table
+from tidemark.sources.tables import append_batch, replace_table
 
 
 def read_delimited(
@@ -43,8 +43,13 @@ def load_raw(
     table: str,
     schema: T.StructType | None,
     now: dt.datetime | None = None,
+    append: bool = False,
     **opts: object,
 ) -> None:
-    """Files to a raw table, replacing it. Every row gets the new stamp, so a
-    re-seed marks every customer as changed."""
-    replace_table(stamp_ingest(read_delimited(spark, path, schema, **opts), now), table)
+    """Files to a raw table. Replacing it stamps every row anew, so a re-seed marks every
+    customer as changed; appended, only the customers in these files are."""
+    rows = stamp_ingest(read_delimited(spark, path, schema, **opts), now)
+    if append:
+        append_batch(rows, table)
+    else:
+        replace_table(rows, table)

@@ -94,7 +94,7 @@ def append_batch(df: DataFrame, name: str) -> None:
 def write_audit(violations: DataFrame, rule_id: str, database: str) -> str:
     """Store a rule's failing rows; the table holds the latest run only."""
     table = f"{database}.{rule_id}"
-    violations.write.mode("overwrite").option("overwriteSchema", "true").saveAsTable(table)
+    violations.write.mode("overwrite").saveAsTable(table)
     return table
 
 

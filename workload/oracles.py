@@ -219,23 +219,81 @@ _RENAMED = {
 }
 
 
-def _rule_count(rule) -> str:
-    """Failures of one column rule."""
-    source = _SQL_NAME[rule.table]
-    column = _RENAMED.get(rule.column, rule.column) if rule.table in BRONZE_TABLES else rule.column
-    if rule.column == "_gold_updated_at":
+def _rule_count(kind: str, table: str, column: str, detail: str) -> str:
+    """Failures of one column rule; `detail` is the list of values or the parent table."""
+    source = _SQL_NAME[table]
+    if column == "_gold_updated_at":
         return "0"
-    if rule.kind == "not_null":
-        return f"(SELECT count(*) - count({column}) FROM {source})"
-    if rule.kind == "accepted_values":
-        listed = ", ".join(f"'{v}'" for v in rule.values)
-        return f"(SELECT count(*) FROM {source} WHERE {column} NOT IN ({listed}))"
-    if rule.kind == "unique":
-        inner = f"SELECT {column} FROM {source} WHERE {column} IS NOT NULL GROUP BY 1 HAVING count(*) > 1"
+    renamed = _RENAMED.get(column, column) if table in BRONZE_TABLES else column
+    if kind == "not_null":
+        return f"(SELECT count(*) - count({renamed}) FROM {source})"
+    if kind == "accepted_values":
+        return f"(SELECT count(*) FROM {source} WHERE {renamed} NOT IN ({detail}))"
+    if kind == "unique":
+        inner = f"SELECT {renamed} FROM {source} WHERE {renamed} IS NOT NULL GROUP BY 1 HAVING count(*) > 1"
         return f"(SELECT count(*) FROM ({inner}))"
-    parent = _SQL_NAME[rule.parent]
-    known = f"EXISTS (FROM {parent} p WHERE p.{rule.parent_column} = c.{column})"
-    return f"(SELECT count(*) FROM {source} c WHERE {column} IS NOT NULL AND NOT {known})"
+    known = f"EXISTS (FROM {_SQL_NAME[detail]} p WHERE p.{renamed} = c.{renamed})"
+    return f"(SELECT count(*) FROM {source} c WHERE {renamed} IS NOT NULL AND NOT {known})"
+
+
+# The declared rules, one line per table and kind. `accepted_values` and
+# `relationships` name the column, then the values or the parent table.
+_DECLARED = """
+customer_raw unique customer_id
+customer_raw not_null customer_id first_name last_name email mobile gender date_of_birth signup_date _ingested_at
+customer_raw accepted_values gender: 'Male', 'Female'
+product_enrollments unique product_id
+product_enrollments not_null product_id customer_id product_type enrollment_date _ingested_at
+product_enrollments relationships customer_id: customer_raw
+product_enrollments accepted_values product_type: 'Savings', 'Credit Card'
+crm_interactions unique interaction_id
+crm_interactions not_null interaction_id customer_id interaction_type interaction_date _ingested_at
+crm_interactions relationships customer_id: customer_raw
+crm_interactions accepted_values interaction_type: 'Email', 'Chat', 'Call'
+transaction_history unique transaction_id
+transaction_history not_null transaction_id customer_id product_id transaction_amount closing_balance transaction_date _ingested_at
+transaction_history relationships customer_id: customer_raw
+transaction_history relationships product_id: product_enrollments
+silver_customers unique customer_id
+silver_customers not_null customer_id email mobile_clean first_name last_name full_name gender date_of_birth signup_date age age_band days_since_signup _ingested_at
+silver_customers accepted_values gender: 'Male', 'Female'
+silver_customers accepted_values age_band: '18-24', '25-34', '35-44', '45-54', '55-64', '65+'
+silver_customer_products unique customer_id
+silver_customer_products not_null customer_id total_products credit_card_count savings_count total_credit_limit has_credit_card has_savings is_multi_product product_segment first_product_date latest_product_date _ingested_at
+silver_customer_products relationships customer_id: silver_customers
+silver_customer_products accepted_values product_segment: 'Savings + Credit Card', 'Credit Card Only', 'Savings Only', 'No Product'
+silver_customer_interactions unique customer_id
+silver_customer_interactions not_null customer_id total_interactions email_interactions chat_interactions call_interactions first_interaction_date last_interaction_date last_interaction_type _ingested_at
+silver_customer_interactions relationships customer_id: silver_customers
+silver_customer_interactions accepted_values last_interaction_type: 'EMAIL', 'CHAT', 'CALL'
+silver_customer_transactions unique customer_id
+silver_customer_transactions not_null customer_id total_transactions debit_count credit_count total_transaction_value net_transaction_amount avg_transaction_value total_debit_value total_credit_value first_transaction_date last_transaction_date max_balance min_balance current_balance credit_card_transaction_value savings_transaction_value credit_card_net_transaction_amount savings_net_transaction_amount credit_card_transaction_count savings_transaction_count _ingested_at
+silver_customer_transactions relationships customer_id: silver_customers
+customer_profile unique customer_id
+customer_profile not_null customer_id first_name last_name full_name email mobile_clean gender date_of_birth age age_band signup_date days_since_signup total_products credit_card_count savings_count total_credit_limit product_segment has_credit_card has_savings is_multi_product total_interactions email_interactions chat_interactions call_interactions
+customer_profile not_null total_transactions debit_count credit_count total_transaction_value net_transaction_amount avg_transaction_value total_debit_value total_credit_value credit_card_transaction_value savings_transaction_value credit_card_net_transaction_amount savings_net_transaction_amount credit_card_transaction_count savings_transaction_count
+customer_profile not_null is_active_customer customer_status customer_value_segment customer_segment engagement_segment customer_lifecycle_stage _customer_ingested_at _products_ingested_at _interactions_ingested_at _transactions_ingested_at _latest_source_ingested_at _gold_updated_at
+customer_profile relationships customer_id: silver_customers
+customer_profile accepted_values gender: 'Male', 'Female', 'Other', 'Unknown', 'Prefer not to say'
+customer_profile accepted_values age_band: 'Under 18', '18-24', '25-34', '35-44', '45-54', '55-64', '65+'
+customer_profile accepted_values product_segment: 'Savings + Credit Card', 'Credit Card Only', 'Savings Only', 'No Product'
+customer_profile accepted_values last_interaction_type: 'EMAIL', 'CHAT', 'CALL'
+customer_profile accepted_values customer_status: 'Never Active', 'Active', 'At Risk', 'Dormant'
+customer_profile accepted_values customer_value_segment: 'High Value', 'Medium Value', 'Low Value', 'No Transaction'
+customer_profile accepted_values customer_segment: 'Premium', 'Standard', 'Basic'
+customer_profile accepted_values engagement_segment: 'Highly Engaged', 'Moderately Engaged', 'Low Engagement', 'No CRM Engagement'
+customer_profile accepted_values customer_lifecycle_stage: 'New', 'Growing', 'Established', 'Mature'
+"""
+
+
+def _declared() -> list[tuple[str, str, str, str]]:
+    """(kind, table, column, detail) of every column rule that stops a run."""
+    out = []
+    for line in _DECLARED.strip().splitlines():
+        table, kind, rest = line.split(" ", 2)
+        column, _, detail = rest.partition(": ")
+        out += [(kind, table, column, detail)] if detail else [(kind, table, c, "") for c in rest.split()]
+    return out
 
 
 _ASSERTION_COUNTS = {
@@ -259,25 +317,24 @@ _ASSERTION_COUNTS = {
 }
 
 
+_ASSERTED = {
+    "assert_product_owner_match": "transaction_history",
+    "assert_value_identity": "silver_customer_transactions",
+    "assert_non_negative": "customer_profile",
+    "assert_recency_consistent": "customer_profile",
+    "assert_premium": "customer_profile",
+}
+
+
 def _rule_summary() -> str:
     """Failures of every column rule and assertion."""
-    from tidemark.plans import rules
-    from tidemark.schemas import SILVER as SILVER_NAMES
-
-    columns = {name: COLUMNS[name] for name in SILVER_NAMES}
-    declared = [
-        *rules.bronze_rules(),
-        *rules.silver_rules(columns),
-        *rules.gold_rules(COLUMNS["customer_profile"]),
-        rules.duplicate_email_rule(),
-    ]
-    assertions = [
-        *rules.bronze_assertions(),
-        *rules.silver_assertions(),
-        *rules.gold_assertions(),
+    email = ("unique", "silver_customers", "email", "")
+    rows = [
+        (f"{kind}_{table}_{column}", table, severity, _rule_count(kind, table, column, detail))
+        for severity, declared in (("error", _declared()), ("warn", [email]))
+        for kind, table, column, detail in declared
     ]
-    rows = [(r.rule_id, r.table, r.severity, _rule_count(r)) for r in declared]
-    rows += [(a.rule_id, a.table, a.severity, _ASSERTION_COUNTS[a.rule_id]) for a in assertions]
+    rows += [(name, _ASSERTED[name], "error", count) for name, count in _ASSERTION_COUNTS.items()]
     counted = _union(
         [
             f"SELECT '{i}' AS rule_id, '{t}' AS table_name, '{s}' AS severity, CAST({n} AS BIGINT) AS failures"
@@ -531,14 +588,14 @@ ORACLES: dict[str, str] = {
     ),
     "assert_non_negative": _sql(
         """
-        SELECT customer_id, age, days_since_signup, days_since_last_activity,
+        SELECT customer_id, age, days_since_signup,
                CASE WHEN customer_id % 33 = 0 THEN -1 ELSE total_products END AS total_products,
-               credit_card_count, savings_count, total_interactions, email_interactions, chat_interactions,
-               call_interactions, total_transactions, debit_count, credit_count, total_transaction_value,
+               total_interactions, total_transactions, credit_card_count, savings_count, email_interactions,
+               chat_interactions, call_interactions, debit_count, credit_count, total_transaction_value,
                total_debit_value,
                CASE WHEN customer_id % 34 = 0 THEN -total_credit_value ELSE total_credit_value END AS total_credit_value,
                credit_card_transaction_value, savings_transaction_value, credit_card_transaction_count,
-               savings_transaction_count
+               savings_transaction_count, days_since_last_activity
         FROM profile
         WHERE customer_id % 33 = 0 OR (customer_id % 34 = 0 AND total_credit_value > 0)""",
         SILVER,

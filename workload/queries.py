@@ -24,6 +24,7 @@ from tidemark.sources import (
     stamp_ingest,
     table_folder,
 )
+from tidemark.sources.tables import session_buckets
 from workload.bank import CLOCK, FIRST_LOAD, SECOND_LOAD, Bank, bank, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -572,7 +573,7 @@ def delimited_round_trip(b: Bank) -> DataFrame:
     """Customers as chunks of pipe-separated text, read back by glob and stamped."""
     spark = b.spark
     path = table_folder(spark, "text")
-    chunks = b.customers.drop(INGESTED).repartition(3, "customer_id").write
+    chunks = b.customers.drop(INGESTED).repartition(session_buckets(spark), "customer_id").write
     chunks.option("header", True).option("sep", "|").option("ignoreLeadingWhiteSpace", False).option(
         "ignoreTrailingWhiteSpace", False
     ).csv(path)
@@ -582,30 +583,32 @@ def delimited_round_trip(b: Bank) -> DataFrame:
 
 @query
 def bronze_views(b: Bank) -> DataFrame:
-    """A pass-through view over a stored raw table."""
+    """Pass-through views over the four stored raw tables; one of them is read."""
     spark = b.spark
-    name = f"{scratch_database(spark)}.crm_interactions"
-    replace_table(b.interactions, name)
-    register_bronze(spark, {"bronze_crm_interactions": name})
+    mart = pipeline.Mart(spark, scratch_database(spark), clock=CLOCK)
+    load_mart(mart, b)
+    register_bronze(spark, {f"bronze_{t}": mart.name(t) for t in RAW})
     return bronze(spark, "bronze_crm_interactions")
 
 
 @query
 def compacted_table(b: Bank) -> DataFrame:
     """Interactions stored in many small files, rewritten in few."""
-    scattered = materialise(b.interactions.repartition(12, "interaction_id"), "scattered")
+    files = session_buckets(b.spark)
+    scattered = materialise(b.interactions.repartition(files, "interaction_id"), "scattered")
     return materialise(layout.compact(scattered), "compact")
 
 
 @query
 def clustered_table(b: Bank) -> DataFrame:
-    return materialise(layout.cluster_by(b.transactions, ["customer_id"], 4), "clustered")
+    files = session_buckets(b.spark)
+    return materialise(layout.cluster_by(b.transactions, ["customer_id"], files), "clustered")
 
 
 @query
 def clustered_by_two(b: Bank) -> DataFrame:
     stored = materialise(b.transactions, "plain")
-    spread = layout.cluster_by(stored, ["customer_id", "transaction_date"], 4)
+    spread = layout.cluster_by(stored, ["customer_id", "transaction_date"], session_buckets(b.spark))
     return materialise(spread, "clustered")
 
 
@@ -653,21 +656,14 @@ def pipeline_backfill(b: Bank) -> DataFrame:
 
 @query
 def stream_refresh(b: Bank) -> DataFrame:
-    """Interactions arriving as two files, taken in one per micro-batch."""
+    """Interactions landing in two loads; after each the stream takes in what is new."""
     spark = b.spark
-    landing = table_folder(spark, "landing")
+    landing, history, checkpoint = (table_folder(spark, x) for x in ("landing", "history", "checkpoint"))
+    target = f"{scratch_database(spark)}.silver_customer_interactions"
     for load in (FIRST_LOAD, SECOND_LOAD):
         part = b.interactions.where(F.col(INGESTED) == moment(load))
-        part.coalesce(1).write.mode("append").parquet(landing)
-    target = f"{scratch_database(spark)}.silver_customer_interactions"
-    streaming.stream_refresh(
-        spark,
-        landing,
-        b.interactions.schema,
-        table_folder(spark, "history"),
-        target,
-        silver.silver_interactions,
-        table_folder(spark, "checkpoint"),
-        files_per_batch=1,
-    )
+        part.repartition(session_buckets(spark), "interaction_id").write.mode("append").parquet(landing)
+        streaming.stream_refresh(
+            spark, landing, b.interactions.schema, history, target, silver.silver_interactions, checkpoint
+        )
     return spark.table(target)
