@@ -228,6 +228,32 @@ def test_curriculum_follows_the_schedules(spark):
     assert early < even < late
 
 
+def test_registered_mix_returns_the_training_order(spark):
+    options = mixing.MixOptions()
+    table = queries.table(spark, DIR, "documents")
+    source = {r.doc_id: r.source for r in table.collect()}
+    rows, steps = queries.op8_source_mix(spark, DIR).collect(), []
+    assert sorted(r.doc_id for r in rows) == sorted(source)
+    for r in rows:
+        parts = [min(r.size, r.taken), r.taken - min(r.size, r.taken)]
+        for p, part in enumerate(parts):
+            assert (r[f"position_{p}"] is None) == (r[f"place_{p}"] is None) == (part == 0 and (r.size > 0 or p > 0))
+            if r[f"place_{p}"] is not None:
+                steps.append((r[f"place_{p}"], r[f"position_{p}"], part, source[r.doc_id], int(r.target)))
+    steps.sort()
+    assert [s[0] for s in steps] == list(range(len(steps)))
+    assert all(a[1] <= b[1] for a, b in itertools.pairwise(steps))
+    t = np.linspace(0, 1, 20_001)
+    for i, name in enumerate(sorted(set(source.values()), key=lambda s: (s is None, (s or "").encode()))):
+        knots = options.schedules[i % len(options.schedules)]
+        weight = np.interp(t, np.linspace(0, 1, len(knots)), knots)
+        demand = np.concatenate([[0], np.cumsum((weight[1:] + weight[:-1]) / 2)])
+        before = 0
+        for _, position, part, _, target in (s for s in steps if s[3] == name):
+            assert np.interp(position, t, demand / demand[-1]) == pytest.approx((before + part / 2) / max(target, 1), abs=1e-6)
+            before += part
+
+
 # Token files ---------------------------------------------------------------------
 
 

@@ -97,7 +97,8 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def _placed(docs: DataFrame, options: MixOptions) -> DataFrame:
-    """One row per document with the words before it in its source (`start`)."""
+    """One row per document with the words before it in its source (`start`). Its `rank`,
+    `slice` and `nth` (place in the slice) together are its own, also if ids repeat."""
     rows = materialise(sized(docs), "mix-sizes")
     by_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     by_source = materialise(by_source, "mix-sources")
@@ -110,13 +111,14 @@ def _placed(docs: DataFrame, options: MixOptions) -> DataFrame:
     words = placed.groupBy("rank", "slice").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("rank").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     bases = words.select("rank", "slice", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("base"))
-    mine = Window.partitionBy("rank", "slice").orderBy("order", "key", "size").rowsBetween(Window.unboundedPreceding, -1)
-    inside = F.coalesce(F.sum("size").over(mine), F.lit(0))
+    mine = Window.partitionBy("rank", "slice").orderBy("order", "key", "size")
+    inside = F.coalesce(F.sum("size").over(mine.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return (
         placed.withColumn("inside", inside)
+        .withColumn("nth", F.row_number().over(mine))
         .join(small(materialise(bases, "mix-bases")), ["rank", "slice"])
         .withColumn("start", F.col("base") + F.col("inside"))
-        .drop("inside", "base", "slice", "slices", "order")
+        .drop("inside", "base", "slices", "order")
     )
 
 
@@ -124,31 +126,64 @@ def _taken(before: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - before)).cast("long")
 
 
+def draws(docs: DataFrame, options: MixOptions = MixOptions()) -> DataFrame:
+    """One row per document and pass, with the words it takes and its position (time in
+    [0, 1]), NULL if the pass does not reach it. Documents without words are taken once,
+    where they stand."""
+    passes = F.explode(F.array(*(F.lit(p).cast("long") for p in range(math.ceil(options.most)))))
+    before = F.col("start") + F.col("pass") * F.col("source_size")
+    rows = _placed(docs, options).withColumn("pass", passes).withColumn("before", before)
+    rows = rows.withColumn("taken", _taken(F.col("before")))
+    middle = F.least(F.lit(1.0), (F.col("before") + F.col("taken") / 2) / F.greatest(F.floor("target"), F.lit(1)))
+    empty = (F.col("size") == 0) & (F.col("pass") == 0)
+    position = F.when((F.col("taken") > 0) | empty, _time(middle, F.col("rank"), options))
+    return rows.select(
+        "key", "rank", "slice", "nth", "pass", "size", "source", "source_size", "target", "taken", position.alias("position")
+    )
+
+
+def _in_order(drawn: DataFrame) -> DataFrame:
+    """`drawn`, a stored table, range-sorted by position, with the number of rows before (`place`)."""
+    order = ["position", "key", "pass", "slice", "nth"]
+    parts = int(drawn.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = drawn.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # The lower 33 bits of the id are the row's number in its partition.
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))
+    rows = materialise(rows.withColumn("part", F.spark_partition_id()).withColumn("inside", inside), "mix-order")
+    earlier = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("part").agg(F.count("*").alias("n"))
+    bases = counts.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    rows = rows.join(small(materialise(bases, "mix-parts")), "part")
+    return rows.withColumn("place", F.col("base") + F.col("inside")).drop("part", "inside", "base")
+
+
 def shares(docs: DataFrame, options: MixOptions = MixOptions()) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken (words, repeats counted).
+    """One row per document: doc_id, size, source_size, target, taken (words, repeats
+    counted), and for each pass p its position_p (time in [0, 1]) and place_p (rows before
+    it in the training order over all sources), both NULL if the pass does not reach it.
 
     A source is passed over in whole, then in part up to its target; the document on the
     target gives the part that is left. So the words taken are the target rounded
     down. NULL texts have no word, a NULL source is one more source, a NULL id is an id like
     any other; rows repeating an id are documents of their own. An empty table gives no row.
     """
-    passes = range(math.ceil(options.most))
-    taken = sum((_taken(F.col("start") + p * F.col("source_size")) for p in passes[1:]), _taken(F.col("start")))
-    return _placed(docs, options).select(unkeyed("key", "doc_id"), "size", "source_size", "target", taken.alias("taken"))
+    rows = materialise(draws(docs, options), "mix-draws")
+    ordered = _in_order(rows.where("position IS NOT NULL"))
+    every = ordered.unionByName(rows.where("position IS NULL").withColumn("place", F.lit(None).cast("long")))
+    of_pass = [
+        F.max(F.when(F.col("pass") == p, F.col(c))).alias(f"{c}_{p}")
+        for c in ("position", "place")
+        for p in range(math.ceil(options.most))
+    ]
+    one = every.groupBy("rank", "slice", "nth", "key", "size", "source_size", "target")
+    return one.agg(F.sum("taken").alias("taken"), *of_pass).drop("rank", "slice", "nth").select(
+        unkeyed("key", "doc_id"), "*"
+    ).drop("key")
 
 
 def assign(docs: DataFrame, options: MixOptions = MixOptions()) -> DataFrame:
-    """One row per document and pass that takes from it: key, pass, size, source, taken,
-    position (time in [0, 1]). Documents without words are taken once, where they stand."""
-    passes = F.explode(F.array(*(F.lit(p).cast("long") for p in range(math.ceil(options.most)))))
-    before = F.col("start") + F.col("pass") * F.col("source_size")
-    rows = _placed(docs, options).withColumn("pass", passes).withColumn("before", before)
-    rows = rows.withColumn("taken", _taken(F.col("before")))
-    middle = F.least(F.lit(1.0), (F.col("before") + F.col("taken") / 2) / F.greatest(F.floor("target"), F.lit(1)))
-    empty = (F.col("size") == 0) & (F.col("pass") == 0)
-    return rows.where((F.col("taken") > 0) | empty).select(
-        "key", "pass", "size", "source", "taken", _time(middle, F.col("rank"), options).alias("position")
-    )
+    """The draws that are due: key, pass, size, source, taken, position (time in [0, 1])."""
+    return draws(docs, options).where("position IS NOT NULL").select("key", "pass", "size", "source", "taken", "position")
 
 
 def mixed(docs: DataFrame, options: MixOptions = MixOptions()) -> DataFrame:
