@@ -422,6 +422,28 @@ def test_thresholds_follow_the_group(spark):
     assert [got[300 + i] for i in range(3)] == [(False,)] * 3 and sum(v == (True,) for v in got.values()) == 300
 
 
+def test_each_fence_depends_on_the_group(spark):
+    def text(i, length=5, symbols=0, repeats=0):
+        """40 words of mean length `length` in lines of 10, and two lines, `repeats` of them repeated."""
+        words = [f"{(i * 7919 + j * 104729) % 10**9:x}".rjust(8, "z")[: length - 1 + 2 * (j % 2)] for j in range(40)]
+        words = [w + "#" * (j < symbols) for j, w in enumerate(words)]
+        lines = [" ".join(words[j : j + 10]) for j in range(0, 40, 10)]
+        return "\n".join([*lines, *(f"ab{i % 97} cd{k}" for k in range(2)), *(f"ab{i % 97} cd{k}" for k in range(repeats))])
+
+    probes = {"long": {"length": 7}, "short": {"length": 3}, "symbols": {"symbols": 30}, "repeats": {"repeats": 1}}
+    rows = []
+    for name, of in probes.items():
+        for group in ("plain", "used"):
+            for i in range(300):
+                rows.append((len(rows), text(i, **(of if group == "used" and i % 3 else {})), name, group, 0, 1, "x", 2))
+            rows.append((10**6 + len(rows), text(1000, **of), name, group, 0, 1, "probe", 2))
+    table = spark.createDataFrame(rows, SCHEMA)
+    got = rules.judge(table).join(table.where("hash = 'probe'").select("doc_id", "lang", "source"), "doc_id").collect()
+    assert {(r.lang, r.source): (r.base_failed, r.kept) for r in got} == {
+        (name, group): (False, group == "used") for name in probes for group in ("plain", "used")
+    }
+
+
 def test_sketch_quantiles_are_close(spark):
     options = rules.RuleOptions()
     rows = spark.range(5000).select(

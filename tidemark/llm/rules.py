@@ -20,19 +20,18 @@ from tidemark.sources.shared import materialise
 
 @dataclass(frozen=True)
 class RuleOptions:
-    """Upper fence: q75 + `spread` x (q75 - q25), at least the metric's own `least` value;
-    lower fence of the mean word length likewise. A group under `least_docs` documents
-    uses its language's thresholds, a language under it those of the corpus."""
+    """Mean word length: q25 - `spread` x IQR to q75 + `spread` x IQR. Symbols a word: at most
+    q75 + `spread` x IQR, with one symbol in a document of median length as the least IQR,
+    since most groups have none. Repeated lines: at most the `tail` quantile. A group under
+    `least_docs` documents uses its language's thresholds, a language under it those of the
+    corpus. No fence has a fixed value."""
 
     accuracy: float = 0.01
     spread: float = 6.0
+    tail: float = 0.99
     least_docs: int = 200
     least_words: int = 10
     repeat_percent: int = 20
-    most_symbols: float = 0.3
-    most_duplicates: float = 0.5
-    longest_word: float = 12.0
-    shortest_word: float = 2.5
 
 
 def _let(value: Column, body) -> Column:
@@ -104,12 +103,14 @@ METRICS = {
     "word_length": ("word_chars", "n_words"),
     "symbols": ("n_symbols", "n_words"),
     "duplicates": ("n_dup_lines", "n_lines"),
+    "words": ("n_words", None),
 }
+QUANTILES = ("low", "mid", "high", "tail")
 
 
 def _ratio(name: str) -> Column:
     over, under = METRICS[name]
-    return F.col(over) / F.greatest(F.col(under), F.lit(1))
+    return F.col(over) / (F.greatest(F.col(under), F.lit(1)) if under else F.lit(1))
 
 
 def sketches(rows: DataFrame, options: RuleOptions) -> DataFrame:
@@ -123,23 +124,27 @@ def sketches(rows: DataFrame, options: RuleOptions) -> DataFrame:
 
 
 def _quartiles(histograms: DataFrame, keys: list[str], options: RuleOptions) -> DataFrame:
-    """Merged sketches of each group: docs, and the quartiles of each metric as columns."""
+    """Merged sketches of each group: docs, and the quartiles of each metric as columns, with
+    the upper edge of the bucket the tail quantile lies in."""
     gamma = (1 + options.accuracy) / (1 - options.accuracy)
     merged = histograms.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
     by = [*keys, "metric"]
     running = Window.partitionBy(*by).orderBy(F.col("bucket").asc_nulls_first())
     seen = merged.withColumn("seen", F.sum("n").over(running)).withColumn("docs", F.sum("n").over(Window.partitionBy(*by)))
     value = F.when(F.col("bucket").isNull(), F.lit(0.0)).otherwise(2 * F.pow(F.lit(gamma), F.col("bucket")) / (gamma + 1))
-    quartile = [F.min(F.when(F.col("seen") >= F.col("docs") * q, value)).alias(name) for q, name in ((0.25, "low"), (0.75, "high"))]
+    # The margin keeps a value on the edge inside, whichever way its logarithm was rounded.
+    edge = F.when(F.col("bucket").isNull(), F.lit(0.0)).otherwise(F.pow(F.lit(gamma), F.col("bucket")) * (1 + 1e-9))
+    quantiles = ((0.25, "low", value), (0.5, "mid", value), (0.75, "high", value), (options.tail, "tail", edge))
+    quartile = [F.min(F.when(F.col("seen") >= F.col("docs") * q, v)).alias(name) for q, name, v in quantiles]
     return seen.groupBy(*by).agg(F.max("docs").alias("docs"), *quartile).groupBy(*keys).agg(
         F.max("docs").alias("docs"),
-        *(F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{m}_{c}") for m in METRICS for c in ("low", "high")),
+        *(F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{m}_{c}") for m in METRICS for c in QUANTILES),
     )
 
 
 def thresholds(histograms: DataFrame, options: RuleOptions) -> DataFrame:
     """(t_lang, t_source, and the fences) for every group in the sketches."""
-    names = [f"{m}_{c}" for m in METRICS for c in ("low", "high")]
+    names = [f"{m}_{c}" for m in METRICS for c in QUANTILES]
     own = _quartiles(histograms, ["lang", "source"], options)
     by_lang = _quartiles(histograms, ["lang"], options).select(F.col("lang").alias("l"), F.struct("docs", *names).alias("of_lang"))
     corpus = _quartiles(histograms.withColumn("all", F.lit(0)), ["all"], options).first()
@@ -152,18 +157,18 @@ def thresholds(histograms: DataFrame, options: RuleOptions) -> DataFrame:
             .otherwise(F.lit(corpus[name] if corpus else None).cast("double"))
         )
 
-    def upper(metric: str, least: float) -> Column:
-        high, low = of(f"{metric}_high"), of(f"{metric}_low")
-        return F.greatest(F.lit(least), high + options.spread * (high - low))
-
     low, high = of("word_length_low"), of("word_length_high")
+    # Quartiles in one bucket may be as far apart as the bucket is wide.
+    lengths = F.greatest(high - low, high * (2 * options.accuracy))
+    one_symbol = 1 / F.greatest(F.lit(1.0), of("words_mid"))
+    symbols = F.greatest(of("symbols_high") - of("symbols_low"), one_symbol)
     return joined.select(
         F.col("lang").alias("t_lang"),
         F.col("source").alias("t_source"),
-        F.least(F.lit(options.shortest_word), low - options.spread * (high - low)).alias("min_word_length"),
-        upper("word_length", options.longest_word).alias("max_word_length"),
-        upper("symbols", options.most_symbols).alias("max_symbols"),
-        upper("duplicates", options.most_duplicates).alias("max_duplicates"),
+        (low - options.spread * lengths).alias("min_word_length"),
+        (high + options.spread * lengths).alias("max_word_length"),
+        (of("symbols_high") + options.spread * symbols).alias("max_symbols"),
+        of("duplicates_tail").alias("max_duplicates"),
     )
 
 
