@@ -361,6 +361,14 @@ def test_lines_go_from_the_later_document(spark, awkward, nothing):
     assert linediff.dedup_lines(awkward).count() == 13 and linediff.dedup_lines(nothing).count() == 0
 
 
+def test_many_copies_of_short_lines_go_like_few(spark):
+    verse = ["roses are red", "violets are blue", "sugar is sweet", "and so are"]
+    texts = ["\n".join([f"title of number {i} here today", *verse]) for i in range(30)]
+    for rare in (3, 20, 100):
+        got = by_id(linediff.dedup_lines(docs(spark, texts), linediff.DiffOptions(rare=rare)), "n_removed")
+        assert got == {0: (0,)} | {i: (4,) for i in range(1, 30)}
+
+
 # Personal data -------------------------------------------------------------------
 
 

@@ -1,9 +1,9 @@
 """Line dedup by pairwise alignment.
 
-Documents that share a rare line are aligned with patience diff, and the common blocks
-are deleted from the later document. A line's first holder (smallest id) is paired with
-each later holder, so pairs grow with the lines, never with their square; lines too
-frequent to be rare are settled exactly against their first holder, without alignment.
+Documents that share a line are aligned with patience diff, and the common blocks are
+deleted from the later document. A line's first holder (smallest id) is paired with each
+later holder, however many there are, so pairs grow with the lines, never with their
+square. A frequent line that is long enough alone also goes where no alignment has it.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from tidemark.sources.shared import materialise
 
 @dataclass(frozen=True)
 class DiffOptions:
-    """A line in at most `rare` documents makes candidates. A block is deleted if it has
-    `least_words` words or more, and so is a frequent line."""
+    """A block is deleted if it has `least_words` words or more, and so is, wherever it
+    stands, a single line in more than `rare` documents."""
 
     rare: int = 20
     least_words: int = 5
@@ -119,9 +119,11 @@ def removals(docs: DataFrame, options: DiffOptions = DiffOptions()) -> DataFrame
     shared = holders.groupBy("hash").agg(F.count("*").alias("docs"), F.min("key").alias("early")).where("docs > 1")
     later = holders.join(shared, "hash").where("key <> early")
     later = materialise(later.select("key", "early", "hash", "words", "docs"), "lines-later")
-    pairs = later.where(F.col("docs") <= options.rare).select(F.col("key").alias("later"), "early").distinct()
-    sides = pairs.join(numbered.select(F.col("key").alias("early"), F.col("hashes").alias("early_hashes")), "early").join(
-        numbered.withColumnRenamed("key", "later"), "later"
+    pairs = later.select(F.col("key").alias("later"), "early").distinct()
+    # The first holder comes last: its lines are sent once, not once per pair, and the
+    # join partition of a hot one is split by adaptive execution.
+    sides = pairs.join(numbered.withColumnRenamed("key", "later"), "later").join(
+        numbered.select(F.col("key").alias("early"), F.col("hashes").alias("early_hashes")), "early"
     )
     aligned = sides.select("later", "early_hashes", "hashes", "words").mapInArrow(
         lambda it: _aligned(it, options), "key long, gone array<int>"
