@@ -369,6 +369,26 @@ def test_many_copies_of_short_lines_go_like_few(spark):
         assert got == {0: (0,)} | {i: (4,) for i in range(1, 30)}
 
 
+def test_repeated_lines_are_paired_in_order():
+    assert linediff.blocks([1, 1], [1, 1], [5, 5]) == [(0, 0, 2)]
+    assert linediff.blocks([1, 0, 2, 1], [3, 1, 1, 0, 0], [5, 5, 5, 0, 0]) == [(0, 1, 1), (3, 2, 1)]
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        a, b = (rng.integers(0, 5, rng.integers(0, 12)).tolist() for _ in range(2))
+        found = linediff.blocks(a, b, [1] * len(b))
+        assert all(a[i : i + n] == b[j : j + n] for i, j, n in found)
+        edges = [(0, 0, 0), *found, (len(a), len(b), 0)]
+        for (i, j, n), (k, m, _) in itertools.pairwise(edges):
+            assert i + n <= k and j + n <= m and not set(a[i + n : k]) & set(b[j + n : m])
+
+
+def test_copies_of_repeated_lines_go(spark):
+    line = "one line of five words"
+    texts = ["\n".join([line] * 3), "\n".join([line] * 3), "\n".join(["own", line, "too", line])]
+    got = by_id(linediff.dedup_lines(docs(spark, texts)), "n_removed", "kept_text")
+    assert got == {0: (0, texts[0]), 1: (3, ""), 2: (2, "own\ntoo")}
+
+
 # Personal data -------------------------------------------------------------------
 
 

@@ -29,11 +29,13 @@ class DiffOptions:
     least_words: int = 5
 
 
-def blocks(a: list, b: list) -> list[tuple[int, int, int]]:
+def blocks(a: list, b: list, words: list[int] | None = None) -> list[tuple[int, int, int]]:
     """Patience diff: runs (start in a, start in b, length) of equal lines, in order.
 
     Lines that occur once on either side are anchors; the longest ascending chain of them
-    is kept, grown over equal neighbours, and the gaps between are treated alike.
+    is kept, grown over equal neighbours, and the gaps between are treated alike. Given the
+    words of each line of b, a gap without anchors takes as anchors its lines with words,
+    the n-th of equal lines in a with the n-th in b.
     """
     found: list[tuple[int, int, int]] = []
     todo = [(0, len(a), 0, len(b))]
@@ -48,7 +50,7 @@ def blocks(a: list, b: list) -> list[tuple[int, int, int]]:
         for j in range(b0, b1):
             once[b[j]] = None if b[j] in once else j
         anchors = sorted((count[x][0], j) for x, j in once.items() if j is not None and count.get(x, (None,))[0] is not None)
-        chain = _ascending(anchors)
+        chain = _ascending(anchors or (_repeated(a, b, words, (a0, a1, b0, b1)) if words else []))
         if not chain:
             continue
         low_a, low_b = a0, b0
@@ -68,6 +70,15 @@ def blocks(a: list, b: list) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _repeated(a: list, b: list, words: list[int], gap: tuple[int, int, int, int]) -> list[tuple[int, int]]:
+    """Places of equal lines that have words, paired in order of occurrence."""
+    a0, a1, b0, b1 = gap
+    places: dict = {}
+    for i in range(a1 - 1, a0 - 1, -1):
+        places.setdefault(a[i], []).append(i)
+    return sorted((places[b[j]].pop(), j) for j in range(b0, b1) if words[j] and places.get(b[j]))
+
+
 def _ascending(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Longest chain ascending in both places (patience sorting)."""
     tops: list[int] = []
@@ -92,7 +103,7 @@ def _aligned(batches: Iterator[pa.RecordBatch], options: DiffOptions) -> Iterato
             words = words.as_py()
             lines = [
                 j
-                for _, start, n in blocks(early.as_py(), hashes.as_py())
+                for _, start, n in blocks(early.as_py(), hashes.as_py(), words)
                 if sum(words[start : start + n]) >= options.least_words
                 for j in range(start, start + n)
             ]
