@@ -422,6 +422,16 @@ def test_pii_keeps_base_and_adds(spark, awkward, nothing):
     assert pii.find_pii(awkward, pii.train(nothing)).where("spans <> ''").count() == 0
 
 
+def test_every_kind_can_be_added(spark):
+    trees = pii.train(queries.table(spark, f"{oracle.DATA}/sf0.01", "documents"))
+    added = {"email": "jane [at] host [dot] com", "ip": "192[.]168[.]0[.]1", "card": "4111.1111.1111.1111", "phone": "(555) 123-4567"}
+    for kind, span in added.items():
+        text = f"Words before it {span} and words after."
+        assert list(pii.all_spans([text], trees)) == [([], [(kind, 16, 16 + len(span))])]
+    for span in ("look @ this. Next", "300[.]1[.]1[.]1", "4111.1111.1111.1112", "4111111111111112", "1234567890"):
+        assert list(pii.all_spans([f"Words before it {span} and words after."], trees)) == [([], [])]
+
+
 # Rules ---------------------------------------------------------------------------
 
 

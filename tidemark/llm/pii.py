@@ -1,8 +1,11 @@
 """Personal data: overlapping candidates, boosted trees, calibrated thresholds.
 
 Base spans are fixed patterns with validators and always stay. Wider generators propose
-further spans; boosted trees score them by format and context, trained on candidates
-that the base patterns and plain key words confirm; a calibrated threshold picks those added.
+further spans, such as addresses with [at] or phones without a +, whose plain form a base
+pattern and its validator accept. Boosted trees score the plain form and the context,
+trained on candidates that the base patterns or key words nearby confirm; a calibrated
+threshold picks those added. The way a span is written is no feature: it would tell base
+spans from all others.
 """
 
 from __future__ import annotations
@@ -47,8 +50,8 @@ HINTS = {
 @dataclass(frozen=True)
 class PiiOptions:
     """The trees are fitted on the candidates of at most `sample` documents (those with the
-    smallest hash of their id among documents with a digit or an @). A threshold is the
-    lowest score from which `precision` of the held-out candidates are confirmed."""
+    smallest hash of their id among documents with a digit or an @). A threshold lies below
+    the lowest score from which `precision` of the held-out candidates are confirmed."""
 
     sample: int = 4_000
     trees: int = 40
@@ -88,21 +91,49 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 _DIGIT = re.compile(r"[0-9]")
 
 
+# What other ways of writing become in the plain form. A bare sign needs a space on both sides.
+PLAIN = {
+    "email": ((re.compile(r" ?(?:\[at\]|\(at\)) ?| @ "), "@"), (re.compile(r" ?(?:\[dot\]|\(dot\)) ?| \. "), ".")),
+    "ip": ((re.compile(r" ?\[\.\] ?| \. "), "."),),
+    "card": ((re.compile(r"[ .\-]"), ""),),
+    "phone": ((re.compile(r"^\+?\(?"), "+"), (re.compile(r"/"), "-")),
+}
+
+
+def plain(kind: str, span: str) -> str | None:
+    """`span` as a base pattern has it, None if its validator does not accept that."""
+    for pattern, sign in PLAIN[kind]:
+        span = pattern.sub(sign, span)
+    return span if BASE[kind].fullmatch(span) and _valid(kind, span) else None
+
+
+def local_forms(text: str, start: int, end: int) -> Iterator[tuple[str, int, int]]:
+    """A base phone as it is written within its country, in its context: (text, start, end)."""
+    local = re.sub(r"^\+[0-9]{1,3}[ .-]*", "", text[start:end])
+    digits = re.findall(r"[0-9]+", local)
+    for form in dict.fromkeys((local, "-".join(digits), ".".join(digits), " ".join(digits))):
+        if len(digits) > 1 and plain("phone", form):
+            yield text[:start] + form + text[end:], start, start + len(form)
+
+
 def candidates(text: str) -> list[tuple[str, int, int]]:
-    """Overlapping spans the generators propose."""
+    """Overlapping spans the generators propose and, in plain form, the validators accept."""
     out = []
     has_digit, has_at = _DIGIT.search(text) is not None, "@" in text or "at]" in text or "at)" in text
     for kind, pattern in WIDE.items():
         if has_at if kind == "email" else has_digit:
             for m in pattern.finditer(text):
-                if kind != "secret" or _DIGIT.search(m.group()):
+                if _DIGIT.search(m.group()) if kind == "secret" else plain(kind, m.group()):
                     out.append((kind, m.start(), m.end()))
     return out
 
 
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
-    """Format and context. No validator is among them: it makes the labels."""
+    """Format (of the plain form) and context. What makes the labels is not among them:
+    validators, and for all kinds but secrets the key words."""
     span, before = text[start:end], text[max(0, start - 24) : start].lower()
+    if kind != "secret":
+        span = plain(kind, span) or span
     digits = sum(c.isdigit() for c in span)
     letters = sum(c.isalpha() for c in span)
     hexes = sum(c in "0123456789abcdefABCDEF" for c in span)
@@ -120,7 +151,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float(span[0] in "+("),
         float("@" in span),
         float(span.count(".")),
-        float(any(h in before for h in HINTS[kind])),
+        float(kind == "secret" and any(h in before for h in HINTS[kind])),
         float(before[-1:].isalnum()),
         float(text[end : end + 1].isalnum()),
         float(before[-1:] in "\"'=:"),
@@ -130,7 +161,12 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
 def _confirmed(text: str, kind: str, start: int, end: int, base: set[tuple[str, int, int]]) -> bool:
     if kind == "secret":
         return any(h in text[max(0, start - 24) : start].lower() for h in HINTS[kind]) and text[start - 1 : start] in ("\"", "'", "=", ":", " ")
-    return (kind, start, end) in base
+    return (kind, start, end) in base or any(h in text[max(0, start - 24) : start].lower() for h in HINTS[kind])
+
+
+def _other(kind: str, start: int, end: int, base: set[tuple[str, int, int]]) -> bool:
+    """Whether a base span of another kind has a part of it; never true of a base span."""
+    return (kind, start, end) not in base and any(k != kind and s < end and start < e for k, s, e in base)
 
 
 @dataclass(frozen=True)
@@ -188,7 +224,8 @@ def fit(x: np.ndarray, y: np.ndarray, options: PiiOptions) -> Trees:
 
 
 def calibrate(trees: Trees, x: np.ndarray, y: np.ndarray, options: PiiOptions) -> Trees:
-    """Per kind the lowest score from which on the share confirmed is the precision asked for."""
+    """Per kind the lowest score from which on the share confirmed is the precision asked for,
+    half-way to the next lower one, but no less than even odds."""
     score, out = trees.score(x), {}
     for k, kind in enumerate(KINDS):
         mine = np.flatnonzero(x[:, 0] == k)
@@ -196,13 +233,14 @@ def calibrate(trees: Trees, x: np.ndarray, y: np.ndarray, options: PiiOptions) -
         right = np.cumsum(y[order]) / np.arange(1, len(order) + 1)
         last = np.append(np.diff(score[order]) < 0, True)[: len(order)]  # of equal scores
         good = np.flatnonzero((right >= options.precision) & last)
-        out[kind] = float(score[order[good[-1]]]) if len(good) else 2.0
+        below = [*score[order], 0.0]
+        out[kind] = max(0.5, float(below[good[-1]] + below[good[-1] + 1]) / 2) if len(good) else 2.0
     return Trees(trees.edges, trees.nodes, trees.start, out)
 
 
 def train(docs: DataFrame, options: PiiOptions = PiiOptions()) -> Trees:
-    """Trees and thresholds from the candidates of a bounded sample of documents. Without a
-    candidate nothing is ever added."""
+    """Trees and thresholds from the candidates of a bounded sample of documents, and from its
+    base phones in local forms. Without a candidate nothing is ever added."""
     sample = keyed(docs).where(F.col("text").rlike("[0-9@]")).orderBy(F.xxhash64("key"), "key").limit(options.sample)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,8 +249,15 @@ def train(docs: DataFrame, options: PiiOptions = PiiOptions()) -> Trees:
             for text in batch.column("text").to_pylist():
                 base = set(base_spans(text))
                 for kind, start, end in candidates(text):
+                    # Another cut of a base span of its kind says nothing about the kind.
+                    if (kind, start, end) not in base and any(k == kind and s < end and start < e for k, s, e in base):
+                        continue
                     rows.append(features(text, kind, start, end))
-                    labels.append(_confirmed(text, kind, start, end, base))
+                    labels.append(_confirmed(text, kind, start, end, base) and not _other(kind, start, end, base))
+                for _, start, end in (x for x in base if x[0] == "phone"):
+                    forms = [features(t, "phone", s, e) for t, s, e in local_forms(text, start, end)]
+                    rows += forms
+                    labels += [True] * len(forms)
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), pa.array(labels, pa.bool_())], names=["x", "y"])
 
     found = sample.mapInArrow(gather, "x array<double>, y boolean").toArrow()
