@@ -94,6 +94,18 @@ def test_join_on_awkward_rows(spark, awkward, nothing):
     assert ngram_join.ngram_join(nothing).count() == 0
 
 
+def test_join_compares_only_the_row_an_id_stands_for(spark):
+    base = [WORDS[i : i + 60] for i in (0, 100)]
+    near = [" ".join([*b[:-1], "other"]) for b in base]
+    texts = [" ".join(b) for b in base]
+    stands = min(range(2), key=lambda i: ngram_join._digest(ngram_join.Shingler(5)(texts[i]).tobytes()))
+    rows = [(5, texts[0]), (5, texts[1]), (5, texts[stands]), (6, near[0]), (7, near[1])]
+    table = spark.createDataFrame([(i, x, "en", "a", 0, 1, "x", 2) for i, x in rows], SCHEMA)
+    like, unlike = (6, 7) if stands == 0 else (7, 6)
+    got = by_id(ngram_join.ngram_join(table), "copy_id", "class_id", "n_links")
+    assert got == {5: (5, 5, 1), like: (like, 5, 1), unlike: (unlike, unlike, 0)}
+
+
 # Decontamination ----------------------------------------------------------------
 
 

@@ -107,6 +107,10 @@ def minhashes(sets: list[np.ndarray], n: int, seed: int) -> np.ndarray:
     return out
 
 
+def _digest(shingles: bytes) -> bytes:
+    return hashlib.blake2b(shingles, digest_size=16).digest()
+
+
 def _signed(batches: Iterator[pa.RecordBatch], options: JoinOptions) -> Iterator[pa.RecordBatch]:
     shingler = Shingler(options.words)
     n = options.bands * options.rows
@@ -127,7 +131,7 @@ def _signed(batches: Iterator[pa.RecordBatch], options: JoinOptions) -> Iterator
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(keys[low:high], pa.int64()),
-                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                    pa.array([_digest(s.tobytes()) for s in sets], pa.binary()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(bands, pa.list_(pa.int64())),
                 ],
@@ -232,14 +236,17 @@ def _compared(batches: Iterator[pa.RecordBatch], options: JoinOptions) -> Iterat
 
 
 def _sets(batches: Iterator[pa.RecordBatch], options: JoinOptions) -> Iterator[pa.RecordBatch]:
+    """Rows with their shingle sets, without those whose set is not the one their id stands for."""
     shingler = Shingler(options.words)
     names = ["key", "cluster", "block", "blocks", "weight", "shingles"]
     for batch in batches:
         texts = batch.column("text").to_pylist()
         for low, high in pieces_of(texts):
             sets = [shingler(t).tobytes() for t in texts[low:high]]
-            kept = [batch.column(n).slice(low, high - low) for n in names]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(sets, pa.binary())], names=[*names, "set"])
+            stands = batch.column("shingles").slice(low, high - low).to_pylist()
+            own = pa.array([i for i, s in enumerate(sets) if _digest(s) == stands[i]], pa.int64())
+            kept = [batch.column(n).slice(low, high - low).take(own) for n in names]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(sets, pa.binary()).take(own)], names=[*names, "set"])
 
 
 def ngram_join(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
@@ -251,14 +258,14 @@ def ngram_join(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFra
     id count as one document, for which the row with the smallest shingle hash stands. A
     NULL id is an id like any other. An empty table gives no row.
     """
-    signed = materialise(
+    every = materialise(
         keyed(docs).mapInArrow(
             lambda it: _signed(it, options),
             "key long, shingles binary, n_shingles long, bands array<long>",
         ),
         "ngram-signed",
     )
-    signed = _one_row_per_key(signed)
+    signed = _one_row_per_key(every)
     wordy = signed.where("n_shingles > 0")
     classes = materialise(
         wordy.groupBy("shingles").agg(
@@ -267,7 +274,7 @@ def ngram_join(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFra
         "ngram-classes",
     )
     clusters = _clusters(classes, options)
-    links = _links(docs, classes, clusters, options)
+    links = _links(docs, classes, clusters, options, repeated=signed is not every)
     per_text = links.groupBy("key").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     found = components(links.select(F.col("key").alias("a"), F.col("root").alias("b")), "ngram-class")
     rep = classes.select(
@@ -310,8 +317,9 @@ def _clusters(classes: DataFrame, options: JoinOptions) -> DataFrame:
     )
 
 
-def _links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, options: JoinOptions) -> DataFrame:
-    """(key, root, texts, docs) for each text and group it was compared in."""
+def _links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, options: JoinOptions, repeated: bool) -> DataFrame:
+    """(key, root, texts, docs) for each text and group it was compared in. Where ids are
+    `repeated`, one of the rows with the set the id stands for is compared."""
     members = materialise(
         clusters.join(classes.select(F.col("rep").alias("key"), "weight", "shingles"), "key"), "ngram-members"
     )
@@ -323,6 +331,8 @@ def _links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, options: Jo
             "key long, cluster long, block int, blocks int, weight long, shingles binary, set binary",
         )
     )
+    if repeated:
+        sets = materialise(sets.dropDuplicates(["key"]), "ngram-sets")
     pairs = sets.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
         "cluster",
         F.least("block", "other").alias("low"),
