@@ -266,6 +266,13 @@ def test_registered_mix_returns_the_training_order(spark):
             before += part
 
 
+def test_rows_repeating_an_id_are_drawn_one_by_one(spark):
+    for i in (7, None):
+        rows = [(i, " ".join(WORDS[j : j + 10]), "en", "a", 0, 1, "x", 2) for j in range(0, 80, 10)]
+        got = collections.Counter(r.text for r in mixing.mixed(spark.createDataFrame(rows, SCHEMA)).collect())
+        assert set(got) == {r[1] for r in rows} and sum(got.values()) == 12 and max(got.values()) == 2
+
+
 # Token files ---------------------------------------------------------------------
 
 

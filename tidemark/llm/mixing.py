@@ -189,15 +189,28 @@ def assign(docs: DataFrame, options: MixOptions = MixOptions()) -> DataFrame:
 def mixed(docs: DataFrame, options: MixOptions = MixOptions()) -> DataFrame:
     """Documents in training order, a row for each time one is taken, with the columns of
     `docs`. A document of which only a part is due is taken whole if that is half or more,
-    or left."""
-    drawn = assign(docs, options).where(F.col("taken") * 2 >= F.col("size"))
-    drawn = drawn.select(F.col("key").alias("_key"), F.col("size").alias("_size"), "position", F.col("pass").alias("_pass"), F.col("source").alias("_source")).distinct()
+    or left. Rows that agree in id, size and source are numbered, so each draw meets one."""
+    key = F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID))
+    rows, ids = docs.select(F.count("*"), F.countDistinct(key)).first()
+    drawn = draws(docs, options)
+    others = [F.col(f"`{c}`") for c in docs.columns]
     docs = docs.withColumn("_size2", size_of(F.col("text")))
+    twin = own = F.lit(1)
+    if rows != ids:
+        twin = F.row_number().over(Window.partitionBy("key", "size", "source", "pass").orderBy("slice", "nth"))
+        own = F.row_number().over(Window.partitionBy(key, "_size2", "source").orderBy(F.xxhash64(*others)))
+    docs = docs.withColumn("_own", own)
+    drawn = drawn.withColumn("twin", twin).where((F.col("taken") * 2 >= F.col("size")) & F.col("position").isNotNull())
+    drawn = drawn.select(
+        F.col("key").alias("_key"), F.col("size").alias("_size"), "position", F.col("pass").alias("_pass"),
+        F.col("source").alias("_source"), F.col("twin").alias("_twin"),
+    )
     same = (
         (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("_key"))
         & (docs["_size2"] == F.col("_size"))
         & docs["source"].eqNullSafe(F.col("_source"))
+        & (docs["_own"] == F.col("_twin"))
     )
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = docs.join(drawn, same).repartitionByRange(parts, "position", "_key").sortWithinPartitions("position", "_key", "_pass")
-    return out.drop("_key", "_size", "_size2", "position", "_pass", "_source")
+    return out.drop("_key", "_size", "_size2", "position", "_pass", "_source", "_own", "_twin")
