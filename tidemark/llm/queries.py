@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, langid, linediff, mixing, ngram_join, packing, pii, rules, warc
+from tidemark.llm import (
+    chat, decontaminate, langid, linediff, lookup_clusters, mixing, ngram_join, packing, pii, resident_codes, rules,
+    vector_oracles, warc,
+)
 from tidemark.llm.common import table
 
 
@@ -74,11 +77,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resident_codes.encode(table(spark, sf_dir, "embeddings"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup_clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_pii, op2_token_files, op3_warc_chunks, op4_benchmark_leaks, op5_language_id,
-        op6_chat_tokens, op7_line_dedup, op8_source_mix, op9_ngram_join, op10_quality_rules,
+        op6_chat_tokens, op7_line_dedup, op8_source_mix, op9_ngram_join, op10_quality_rules, op11_vector_codes, op12_centroid_clusters,
     )
 }
 
@@ -108,4 +119,6 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id""",
+    "op11_vector_codes": vector_oracles.codes(),
+    "op12_centroid_clusters": vector_oracles.clusters(),
 }
