@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import (
     chat, decontaminate, langid, linediff, lookup_clusters, mixing, ngram_join, packing, pii, resident_codes, rules,
-    vector_oracles, warc,
+    suffix_dedup, vector_oracles, warc,
 )
 from tidemark.llm.common import table
 
@@ -85,11 +85,19 @@ def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup_clusters.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_pii, op2_token_files, op3_warc_chunks, op4_benchmark_leaks, op5_language_id,
-        op6_chat_tokens, op7_line_dedup, op8_source_mix, op9_ngram_join, op10_quality_rules, op11_vector_codes, op12_centroid_clusters,
+        op6_chat_tokens, op7_line_dedup, op8_source_mix, op9_ngram_join, op10_quality_rules, op11_vector_codes, op12_centroid_clusters, op13_suffix_dedup,
     )
 }
 

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import settings
 from tidemark.llm.vectors import exact_sum, integer_vectors, joined, matrix
 from tidemark.sources.shared import materialise
 
@@ -153,7 +154,6 @@ def _residence(spark: SparkSession, homes: int) -> Iterator:
     """Stores arranged rows as a table of `homes` buckets, in place of the one before."""
     tables: list[str] = []
     label = f"tidemark_residents_{uuid.uuid4().hex}"
-    before = spark.conf.get(KEEP_BUCKETS)
 
     def settle(arranged: DataFrame) -> DataFrame:
         name = f"{label}_{len(tables)}"
@@ -163,11 +163,10 @@ def _residence(spark: SparkSession, homes: int) -> Iterator:
         tables.append(name)
         return spark.table(name)
 
-    spark.conf.set(KEEP_BUCKETS, "false")
     try:
-        yield settle
+        with settings(spark, {KEEP_BUCKETS: "false"}):
+            yield settle
     finally:
-        spark.conf.set(KEEP_BUCKETS, before)
         for name in tables[-1:]:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
 
