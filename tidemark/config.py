@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, SparkSession
@@ -83,3 +85,16 @@ def pin_session(spark: SparkSession) -> None:
     """Apply the run-time settings to a session somebody else created."""
     for key, value in SESSION_SETTINGS.items():
         spark.conf.set(key, value)
+
+
+@contextmanager
+def session_settings(spark: SparkSession, values: Mapping[str, str]) -> Iterator[None]:
+    """Settings that hold inside the block alone, for what runs there."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)

@@ -5,13 +5,15 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.config import EPOCH, moment
 from tidemark.operators.keys import distinct_keys, restrict_to, union_all
 from tidemark.schemas import CUSTOMER, INGESTED
+from tidemark.sources import parts
 from tidemark.sources.shared import materialise
+from tidemark.sources.tables import backing, bucket_count, fact_parts, stored
 
 RollUp = Callable[[DataFrame], DataFrame]
 
@@ -123,3 +125,70 @@ def backfill(
     if keys.isEmpty():
         return target
     return upsert(target, recompute(raw, keys, roll_up, key), key, buckets)
+
+
+def part_upsert(
+    spark: SparkSession, target: str, delta: DataFrame, key: str = CUSTOMER, **properties: str
+) -> list[int]:
+    """Upsert `delta` into a target laid out in parts; the parts that were replaced.
+
+    Only parts that hold a key of the delta are read and written; the files of the others
+    stay as they are. None deleted, as in `upsert`.
+    """
+    table, buckets = backing(spark, target), bucket_count(spark, target)
+    parts.recover(spark, table)
+    rows = materialise(delta.withColumn(parts.PART, parts.bucket_of(key, buckets)), "delta")
+    chosen = parts.touched(rows)
+    if chosen:
+        current = parts.in_parts(spark.table(table), chosen)
+        parts.replace_parts(spark, table, upsert(current, rows, key), **properties)
+    elif properties:
+        parts.set_properties(spark, table, **properties)
+    return chosen
+
+
+def stored_mark(spark: SparkSession, target: str) -> dt.datetime | None:
+    """The target's greatest stamp: noted with each refresh in parts, else looked up."""
+    noted = parts.property_of(spark, backing(spark, target), "mark")
+    if noted:
+        return dt.datetime.fromisoformat(noted)
+    micros = watermark(spark.table(target)).select(F.unix_micros("high_water")).first()[0]
+    return EPOCH + dt.timedelta(microseconds=micros)
+
+
+def refresh_in_parts(
+    spark: SparkSession,
+    facts: str,
+    target: str,
+    roll_up: RollUp,
+    window: tuple[dt.datetime, dt.datetime] | None = None,
+    key: str = CUSTOMER,
+    extra_keys: DataFrame | None = None,
+) -> list[int]:
+    """Bring a target in parts up to date with facts laid out by load day and part.
+
+    The keys stamped after the target's mark, or in `window`, are found in the load days
+    concerned alone, their history is read from their parts alone, and only parts that
+    hold such keys are replaced. The parts replaced are returned, none if nothing is
+    pending. A window leaves the mark as it is, unless it holds later stamps.
+    """
+    parts.recover(spark, backing(spark, target))
+    rows = stored(spark, facts)
+    mark = stored_mark(spark, target)
+    new = parts.since(rows, INGESTED, mark) if window is None else parts.between(rows, INGESTED, *window)
+    # Whole rows of one load can be many; key, part and stamp are what travels.
+    found = new.groupBy(key, parts.PART).agg(F.max(INGESTED).alias("newest"))
+    if extra_keys is not None:
+        named = extra_keys.select(key).distinct()
+        named = named.withColumn(parts.PART, parts.bucket_of(key, fact_parts(spark, facts)))
+        found = found.unionByName(named.withColumn("newest", moment(EPOCH)))
+        found = found.groupBy(key, parts.PART).agg(F.max("newest").alias("newest"))
+    keys = materialise(found, "pending")
+    chosen = parts.touched(keys)
+    if not chosen:
+        return []
+    micros = keys.agg(F.unix_micros(F.max("newest"))).first()[0]
+    newest = max(mark, EPOCH + dt.timedelta(microseconds=micros))
+    history = restrict_to(parts.in_parts(rows, chosen), keys.select(key), key)
+    delta = roll_up(history.drop(parts.LOAD, parts.PART))
+    return part_upsert(spark, target, delta, key, mark=newest.isoformat())

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from tidemark.config import Clock
 from tidemark.operators.keys import union_all
 from tidemark.plans.rules import Assertion, Rule
-from tidemark.schemas import INGESTED
-from tidemark.sources.tables import drop_audit, write_audit
+from tidemark.schemas import INGESTED, VIOLATIONS
+from tidemark.sources.tables import drop_audit, replace_table, write_audit
 
 Check = Rule | Assertion
 
@@ -42,6 +42,75 @@ def run_rules(tables: Mapping[str, DataFrame], checks: Sequence[Check]) -> DataF
     return union_all(*scans, *keyed).select(F.inline("lines")).withColumn("status", failed)
 
 
+def violations(tables: Mapping[str, DataFrame], checks: Sequence[Check]) -> DataFrame:
+    """(rule_id, table_name, severity, violation): every violating row of every rule, as JSON.
+
+    A table is read once for all rules that one row alone can violate: each row carries the
+    ids of the rules it violates, and only rows with some are unfolded. Uniqueness,
+    references and assertions, which need other rows, add a branch each.
+    """
+    by_row: dict[str, list[Rule]] = defaultdict(list)
+    found: list[DataFrame] = []
+    for check in checks:
+        if isinstance(check, Rule) and check.violation is not None:
+            by_row[check.table].append(check)
+        else:
+            rows = check.rows(tables)
+            found.append(_violated(rows.withColumn("_rules", F.array(_named(check)))))
+    for table, rules in by_row.items():
+        marks = ", ".join(
+            f"CASE WHEN {r.violation} THEN named_struct('rule_id', '{r.rule_id}', 'table_name', '{r.table}', "
+            f"'severity', '{r.severity}') END"
+            for r in rules
+        )
+        hit = F.expr(f"filter(array({marks}), x -> x IS NOT NULL)")
+        found.append(_violated(tables[table].withColumn("_rules", hit).where(F.size("_rules") > 0)))
+    return union_all(*found)
+
+
+def _named(check: Check) -> Column:
+    return F.struct(
+        F.lit(check.rule_id).alias("rule_id"), F.lit(check.table).alias("table_name"), F.lit(check.severity).alias("severity")
+    )
+
+
+def _violated(rows: DataFrame) -> DataFrame:
+    content = [c for c in rows.columns if c != "_rules"]
+    as_json = F.to_json(F.struct(*(F.col(f"`{c}`") for c in content))).alias("violation")
+    return rows.select(F.explode("_rules").alias("rule"), as_json).select("rule.*", "violation")
+
+
+def row_counts_of(rules: Sequence[Rule]) -> list[Column]:
+    """Failures of the rules one row alone can violate, to be observed while a table is
+    written."""
+    return [F.expr(f"count_if({r.violation})").alias(r.rule_id) for r in rules if r.violation is not None]
+
+
+def settle(
+    tables: Mapping[str, DataFrame],
+    checks: Sequence[Check],
+    known: Mapping[str, int],
+    sink: str | None = None,
+) -> list[CheckResult]:
+    """Results of all checks, of which `known` counts were observed before, and the rows of
+    all failing rules in the table `sink`, replaced as a whole and partitioned by rule."""
+    rest = [c for c in checks if c.rule_id not in known]
+    results = [
+        CheckResult(c.rule_id, c.table, c.severity, known[c.rule_id], c.severity if known[c.rule_id] else "pass")
+        for c in checks
+        if c.rule_id in known
+    ]
+    if rest:
+        results += [CheckResult(**row.asDict()) for row in run_rules(tables, rest).collect()]
+    failing = {r.rule_id for r in results if r.failures}
+    if sink is not None:
+        wrong = [c for c in checks if c.rule_id in failing]
+        spark = next(iter(tables.values())).sparkSession
+        rows = violations(tables, wrong) if wrong else spark.createDataFrame([], VIOLATIONS)
+        replace_table(rows, sink, partition_by="rule_id")
+    return results
+
+
 def _lines(checks: Sequence[Check], failures: Sequence[str]) -> Column:
     """Summary lines as one array; SQL text, since a run has well over a hundred."""
     structs = [
@@ -82,15 +151,21 @@ def evaluate(
     """
     results = [CheckResult(**row.asDict()) for row in run_rules(tables, checks).collect()]
     if audit_database is not None:
-        failing = {r.rule_id for r in results if r.failures}
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS {audit_database}")
-        drop_audit(spark, [r.rule_id for r in results if not r.failures], audit_database)
-        for check in checks:
-            if check.rule_id in failing:
-                write_audit(check.rows(tables), check.rule_id, audit_database)
+        store_rows(spark, tables, checks, {r.rule_id for r in results if r.failures}, audit_database)
     return results
 
 
+def store_rows(
+    spark: SparkSession, tables: Mapping[str, DataFrame], checks: Sequence[Check], failing: set[str], database: str
+) -> None:
+    """A table per failing rule, with the columns of its rows; none for the others."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    drop_audit(spark, [c.rule_id for c in checks if c.rule_id not in failing], database)
+    for check in checks:
+        if check.rule_id in failing:
+            write_audit(check.rows(tables), check.rule_id, database)
+
+
 def require_pass(
     results: Sequence[CheckResult], waived: frozenset[str] = frozenset()
 ) -> list[CheckResult]:

@@ -11,19 +11,21 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
-from tidemark.config import Clock, Thresholds
-from tidemark.operators.incremental import RollUp, backfill, incremental_refresh
+from tidemark.config import Clock, Thresholds, pin_session
+from tidemark.operators.incremental import RollUp, backfill, incremental_refresh, refresh_in_parts
 from tidemark.operators.layout import cluster_by, compact, target_files
 from tidemark.plans import rules
 from tidemark.plans.checks import (
     Check,
     CheckResult,
     build_freshness,
-    evaluate,
     freshness,
     require_pass,
+    row_counts_of,
+    settle,
+    store_rows,
 )
 from tidemark.plans.gold import customer_profile
 from tidemark.plans.monitoring import row_counts, run_durations
@@ -33,12 +35,24 @@ from tidemark.plans.silver import (
     silver_products,
     silver_transactions,
 )
-from tidemark.schemas import CUSTOMER, GOLD, RAW, RUN_LOG, SILVER
-from tidemark.sources.tables import append_batch, bucket_count, replace_table, session_buckets, stored
+from tidemark.schemas import CUSTOMER, GOLD, INGESTED, RAW, RUN_LOG, SILVER
+from tidemark.sources.parts import LOAD, PART
+from tidemark.sources.tables import (
+    append_batch,
+    append_facts,
+    bucket_count,
+    fact_parts,
+    replace_facts,
+    replace_table,
+    session_buckets,
+    stored,
+)
 
 CUSTOMERS, PRODUCTS, INTERACTIONS, TRANSACTIONS = SILVER
 RAW_CUSTOMERS, RAW_ENROLLMENTS, RAW_INTERACTIONS, RAW_TRANSACTIONS = RAW
+RAW_FACTS, FACTS = (RAW_INTERACTIONS, RAW_TRANSACTIONS), (INTERACTIONS, TRANSACTIONS)
 LOG = "run_log"
+GATES = ("customers", "products", "raw", "silver", "profile", "all")
 # Age from which on a profile counts as overdue.
 BUILD_SLA = dt.timedelta(minutes=90)
 
@@ -51,7 +65,10 @@ class Mart:
     session's number of shuffle partitions, which a cluster sets by its data. All are
     bucketed on the customer, so the profile join and the upserts do not shuffle
     what is stored. `gate_columns` makes column rules stop a run like assertions do;
-    rules in `waived` are evaluated and stored but never stop it.
+    rules in `waived` are evaluated and stored but never stop it. Rows that violate a rule
+    are stored in `violations_<gate>`, and all gates together shown as `violations`, unless
+    `audit` is off; `audit_database` also gets a table per failing rule with its own columns.
+    The session gets the zone, ANSI and skew settings the results rest on.
     """
 
     spark: SparkSession
@@ -59,12 +76,15 @@ class Mart:
     limits: Thresholds = Thresholds()
     clock: Clock = Clock()
     buckets: int = 0
+    audit: bool = True
     audit_database: str | None = None
     gate_columns: bool = True
     waived: frozenset[str] = frozenset()
     results: list[CheckResult] = field(default_factory=list)
+    observed: dict[str, int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
+        pin_session(self.spark)
         if not self.buckets:
             object.__setattr__(self, "buckets", session_buckets(self.spark))
 
@@ -77,24 +97,64 @@ class Mart:
     def read(self, table: str) -> DataFrame:
         return self.spark.table(self.name(table))
 
-    def write(self, df: DataFrame, table: str, arranged: bool = False) -> None:
-        replace_table(df, self.name(table), CUSTOMER, self.buckets, arranged)
+    def write(
+        self, df: DataFrame, table: str, arranged: bool = False, columns: Sequence[rules.Rule] = ()
+    ) -> None:
+        """Replace a customer-grain table; what its rows alone can violate of `columns` is
+        counted by the write itself and kept for the next gate."""
+        counts = row_counts_of(columns) if self.gate_columns else []
+        seen = Observation() if counts else None
+        replace_table(
+            df, self.name(table), CUSTOMER, self.buckets, arranged,
+            in_parts=table in FACTS, observe=(seen, counts) if seen else None,
+        )
+        self.observed.update(seen.get if seen else {})
+
+    def ingest(self, df: DataFrame, table: str, append: bool = False) -> None:
+        """Store a raw load: facts by load day and part, the others as they are."""
+        if table in RAW_FACTS:
+            store = append_facts if append else replace_facts
+            store(df, self.name(table), CUSTOMER, INGESTED, self.buckets)
+        elif append:
+            append_batch(df, self.name(table))
+        else:
+            replace_table(df, self.name(table))
+
+    def in_parts(self, raw: str, table: str) -> bool:
+        """Whether a raw table and its roll-up lie in parts, so that a refresh may read and
+        replace some of them alone."""
+        if not self.has(raw) or not self.has(table) or not self.arranged(table):
+            return False
+        return bool(fact_parts(self.spark, self.name(raw))) and PART in stored(self.spark, self.name(table)).columns
 
     def arranged(self, *tables: str) -> bool:
         """Whether all these tables lie in the mart's buckets, so that what is joined from
         them does as well."""
         return all(bucket_count(self.spark, self.name(t)) == self.buckets for t in tables)
 
-    def check(self, columns: Sequence[rules.Rule], assertions: Sequence[Check] = ()) -> None:
-        """One gate: the column rules, if they gate, and the assertions together."""
+    def check(self, gate: str, columns: Sequence[rules.Rule], assertions: Sequence[Check] = ()) -> None:
+        """One gate: the column rules, if they gate, and the assertions together. What the
+        writes have counted is not counted again."""
         checks = [*(columns if self.gate_columns else ()), *assertions]
         if not checks:
             return
         tables = {t: self.read(t) for c in checks for t in c.tables}
-        found = evaluate(self.spark, tables, checks, self.audit_database)
+        known = {c.rule_id: self.observed.pop(c.rule_id) for c in checks if c.rule_id in self.observed}
+        found = settle(tables, checks, known, self.name(f"violations_{gate}") if self.audit else None)
+        if self.audit:
+            self._show_violations()
+        if self.audit_database is not None:
+            failing = {r.rule_id for r in found if r.failures}
+            store_rows(self.spark, tables, checks, failing, self.audit_database)
         self.results.extend(found)
         require_pass(found, self.waived)
 
+    def _show_violations(self) -> None:
+        """`violations` shows the rows of the last run of every gate."""
+        gates = [t for t in (f"violations_{g}" for g in GATES) if self.has(t)]
+        shown = " UNION ALL ".join(f"SELECT '{g.removeprefix('violations_')}' AS gate, * FROM {self.name(g)}" for g in gates)
+        self.spark.sql(f"CREATE OR REPLACE VIEW {self.name('violations')} AS {shown}")
+
     def silver_columns(self, *tables: str) -> dict[str, list[str]]:
         return {t: self.read(t).columns for t in tables}
 
@@ -106,17 +166,28 @@ def transactions_roll_up(mart: Mart) -> RollUp:
 
 def build_dimensions(mart: Mart) -> None:
     """Customers, then products, both in full; each is checked before the next."""
-    mart.write(silver_customers(mart.read(RAW_CUSTOMERS), mart.clock), CUSTOMERS)
-    mart.check(rules.silver_rules(mart.silver_columns(CUSTOMERS), [CUSTOMERS]))
-    mart.write(silver_products(mart.read(RAW_ENROLLMENTS)), PRODUCTS)
-    mart.check(rules.silver_rules(mart.silver_columns(PRODUCTS), [PRODUCTS]))
+    customers = silver_customers(mart.read(RAW_CUSTOMERS), mart.clock)
+    columns = rules.silver_rules({CUSTOMERS: customers.columns}, [CUSTOMERS])
+    mart.write(customers, CUSTOMERS, columns=columns)
+    mart.check("customers", columns)
+    products = silver_products(mart.read(RAW_ENROLLMENTS))
+    columns = rules.silver_rules({PRODUCTS: products.columns}, [PRODUCTS])
+    mart.write(products, PRODUCTS, columns=columns)
+    mart.check("products", columns)
 
 
 def _refresh(mart: Mart, raw: str, table: str, roll_up: RollUp, full_refresh: bool) -> None:
+    if not full_refresh and mart.in_parts(raw, table):
+        refresh_in_parts(mart.spark, mart.name(raw), mart.name(table), roll_up)
+        return
     target = None if full_refresh or not mart.has(table) else mart.read(table)
     rows = incremental_refresh(mart.read(raw), target, roll_up, buckets=mart.buckets)
     if rows is not target:  # nothing pending: the table stays as it is
-        mart.write(rows, table, arranged=target is not None and mart.arranged(table))
+        _write_facts(mart, rows, table, arranged=target is not None and mart.arranged(table))
+
+
+def _write_facts(mart: Mart, rows: DataFrame, table: str, arranged: bool = False) -> None:
+    mart.write(rows, table, arranged, rules.silver_rules({table: rows.columns}, [table]))
 
 
 def refresh_interactions(mart: Mart, full_refresh: bool = False) -> None:
@@ -136,14 +207,17 @@ def _backfill(
     start: dt.datetime | None,
     end: dt.datetime | None,
 ) -> None:
+    if start is not None and end is not None and mart.in_parts(raw, table):
+        refresh_in_parts(mart.spark, mart.name(raw), mart.name(table), roll_up, (start, end))
+        return
     source = mart.read(raw)
     target = mart.read(table) if mart.has(table) and (start, end) != (None, None) else None
     if target is None:
-        mart.write(roll_up(source), table)
+        _write_facts(mart, roll_up(source), table)
         return
     rows = backfill(source, target, roll_up, start, end, buckets=mart.buckets)
     if rows is not target:
-        mart.write(rows, table, arranged=mart.arranged(table))
+        _write_facts(mart, rows, table, arranged=mart.arranged(table))
 
 
 def _both(first: Callable[[], None], second: Callable[[], None]) -> None:
@@ -157,17 +231,19 @@ def _finish(mart: Mart) -> None:
     """Silver checks, the profile, profile checks."""
     facts = (INTERACTIONS, TRANSACTIONS)
     columns = rules.silver_rules(mart.silver_columns(*facts), facts)
-    mart.check(columns, rules.silver_assertions())
+    mart.check("silver", columns, rules.silver_assertions())
     profile = customer_profile(*(mart.read(t) for t in SILVER), mart.clock, mart.limits)
-    mart.write(profile, GOLD, arranged=mart.arranged(*SILVER))
-    mart.check(rules.gold_rules(profile.columns), rules.gold_assertions(mart.limits))
+    columns = rules.gold_rules(profile.columns)
+    mart.write(profile, GOLD, mart.arranged(*SILVER), columns)
+    mart.check("profile", columns, rules.gold_assertions(mart.limits))
 
 
 def refresh_facts(mart: Mart, full_refresh: bool = False) -> None:
     """Raw check, both fact roll-ups by watermark, then the profile, with gates."""
 
     def run() -> None:
-        mart.check([], rules.bronze_assertions())
+        mart.observed.clear()
+        mart.check("raw", [], rules.bronze_assertions())
         _both(
             lambda: refresh_interactions(mart, full_refresh),
             lambda: refresh_transactions(mart, full_refresh),
@@ -211,13 +287,21 @@ def optimize(mart: Mart, table: str, cluster: str | None = None) -> None:
     A customer-grain table gets one file per bucket, other tables files of about
     128 MB. A table that has no more files than that is left as it is.
     """
-    df = stored(mart.spark, mart.name(table))
+    name = mart.name(table)
+    df = stored(mart.spark, name)
+    files = len(df.inputFiles())
+    if fact_parts(mart.spark, name):
+        # A file per load day and part is what a fact table is read by.
+        if cluster is not None or files > df.select(LOAD, PART).distinct().count():
+            replace_facts(df.drop(LOAD, PART), name, CUSTOMER, INGESTED, mart.buckets)
+        return
+    df = df.drop(PART)
     by_customer = table in (*SILVER, GOLD)
     wanted = mart.buckets if by_customer and cluster is None else target_files(df)
     if cluster is not None:
         keys = [c.strip() for c in cluster.split(",")]
         replace_table(cluster_by(df, keys, wanted), mart.name(table))
-    elif len(df.inputFiles()) > wanted:
+    elif files > wanted:
         if by_customer:
             mart.write(df, table)
         else:
@@ -239,7 +323,8 @@ def check_all(mart: Mart) -> None:
             *rules.silver_assertions(),
             *rules.gold_assertions(mart.limits),
         ]
-        mart.check(columns, assertions)
+        mart.observed.clear()
+        mart.check("all", columns, assertions)
 
     _logged(mart, "check", run)
 

@@ -57,6 +57,13 @@ RUN_LOG = _struct(
     state=T.StringType(),
 )
 
+VIOLATIONS = _struct(
+    rule_id=T.StringType(),
+    table_name=T.StringType(),
+    severity=T.StringType(),
+    violation=T.StringType(),
+)
+
 # Names of the raw tables and of the tables built from them.
 RAW = {
     "customer_raw": CUSTOMERS,

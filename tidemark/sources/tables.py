@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+
+from tidemark.sources.parts import LOAD, PART, bucket_of, laid_out, property_of, set_properties
 
 
 def bronze(spark: SparkSession, table: str) -> DataFrame:
@@ -35,6 +37,12 @@ def stored(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(f"{name}__g{_generation(spark, name)}")
 
 
+def backing(spark: SparkSession, name: str) -> str | None:
+    """Name of the backing table `name` shows now, if `name` exists."""
+    generation = _generation(spark, name)
+    return None if generation is None else f"{name}__g{generation}"
+
+
 def bucket_count(spark: SparkSession, name: str) -> int:
     """Buckets of the backing table `name` shows now; 0 if there are none."""
     generation = _generation(spark, name)
@@ -56,6 +64,9 @@ def replace_table(
     bucket_key: str | None = None,
     buckets: int = 0,
     arranged: bool = False,
+    in_parts: bool = False,
+    partition_by: str | None = None,
+    observe: tuple[Observation, list[Column]] | None = None,
 ) -> None:
     """Full replacement that may read the table it replaces and may change its schema.
 
@@ -68,18 +79,81 @@ def replace_table(
     their bucket first, so each bucket is one file, and later joins and
     aggregations on the key need no shuffle. `arranged` says that the partitions of
     `df` already follow the buckets, which saves sending the rows; were it untrue,
-    the table would only have more files.
+    the table would only have more files. `in_parts` also gives each bucket a partition
+    of its own, so that `parts.replace_parts` can replace single ones; the view hides
+    that column. `observe` measures the rows as they are written, behind the last shuffle:
+    in the writing stage a task counts once, however often it is tried.
     """
     spark = df.sparkSession
     live = _generation(spark, name) or 0
-    writer = df.write
+    rows = df if arranged or bucket_key is None else df.repartition(buckets, bucket_key)
+    if observe is not None:
+        rows = rows.observe(observe[0], *observe[1])
+    writer = rows.write
     if bucket_key is not None:
-        writer = (df if arranged else df.repartition(buckets, bucket_key)).write
-        writer = writer.bucketBy(buckets, bucket_key).sortBy(bucket_key)
+        if in_parts:
+            rows = rows.withColumn(PART, bucket_of(bucket_key, buckets))
+        writer = rows.write.bucketBy(buckets, bucket_key).sortBy(bucket_key)
+        if in_parts:
+            writer = writer.partitionBy(PART)
+    elif partition_by is not None:
+        writer = writer.partitionBy(partition_by)
     writer.mode("overwrite").format("parquet").saveAsTable(f"{name}__g{live + 1}")
-    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {name}__g{live + 1}")
-    if live > 1:
-        spark.sql(f"DROP TABLE IF EXISTS {name}__g{live - 1}")
+    publish(spark, name, live + 1)
+    _drop_older(spark, name, live)
+
+
+def publish(spark: SparkSession, name: str, generation: int) -> None:
+    """Point the view `name` at a backing table, without the columns of its layout."""
+    backing = f"{name}__g{generation}"
+    shown = [c for c in spark.table(backing).columns if c not in (LOAD, PART)]
+    listed = ", ".join(f"`{c}`" for c in shown)
+    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT {listed} FROM {backing}")
+
+
+def _drop_older(spark: SparkSession, name: str, live: int) -> None:
+    """Drop every generation before `live`, also those a lost job left behind."""
+    database, _, table = name.rpartition(".")
+    where = f"IN {database} " if database else ""
+    for found in spark.sql(f"SHOW TABLES {where}LIKE '{table}__g*'").collect():
+        number = re.fullmatch(rf"{re.escape(table.lower())}__g(\d+)", found["tableName"].lower())
+        if number and int(number[1]) < live:
+            spark.sql(f"DROP TABLE IF EXISTS {name}__g{number[1]}")
+
+
+def replace_facts(df: DataFrame, name: str, key: str, stamp: str, parts: int) -> None:
+    """Full replacement of a fact table laid out by load day and part of its key."""
+    spark = df.sparkSession
+    live = _generation(spark, name) or 0
+    laid_out(df, key, stamp, parts).write.partitionBy(LOAD, PART).mode("overwrite").format("parquet").saveAsTable(
+        f"{name}__g{live + 1}"
+    )
+    set_properties(spark, f"{name}__g{live + 1}", parts=str(parts))
+    publish(spark, name, live + 1)
+    _drop_older(spark, name, live)
+
+
+def fact_parts(spark: SparkSession, name: str) -> int:
+    """Parts of a fact table; 0 if it is not laid out so."""
+    generation = _generation(spark, name)
+    found = property_of(spark, f"{name}__g{generation}", "parts") if generation else None
+    return int(found or 0)
+
+
+def append_facts(df: DataFrame, name: str, key: str, stamp: str, parts: int) -> None:
+    """Add a load to a fact table laid out by load day and part, or create it.
+
+    The number of parts is the table's; `parts` counts for a new one. A load that is lost
+    halfway leaves nothing, since files count when their job commits.
+    """
+    spark = df.sparkSession
+    live = _generation(spark, name)
+    if live is None:
+        replace_facts(df, name, key, stamp, parts)
+        return
+    known = spark.table(f"{name}__g{live}")
+    rows = laid_out(df, key, stamp, fact_parts(spark, name)).select(known.columns)
+    rows.write.partitionBy(LOAD, PART).mode("append").format("parquet").saveAsTable(f"{name}__g{live}")
 
 
 def append_batch(df: DataFrame, name: str) -> None:

@@ -759,6 +759,23 @@ ORACLES: dict[str, str] = {
     "pipeline_refresh": _sql("SELECT * FROM profile", SILVER, GOLD),
     "pipeline_backfill": _sql("SELECT * FROM profile", SILVER, GOLD),
     "stream_refresh": _sql("SELECT * FROM silver_interactions", SILVER),
+    "stream_state": _sql("SELECT * FROM silver_interactions", SILVER),
+    "partial_upsert": _sql("SELECT * FROM silver_interactions", SILVER),
+    "append_refresh": _sql("SELECT * FROM silver_transactions", SILVER),
+    "full_refresh_run": _sql("SELECT * FROM profile", SILVER, GOLD),
+    "gate_counts": (
+        f"SELECT rule_id, table_name, failures, status FROM ({_rule_summary()}) WHERE severity = 'error' "
+        "AND (table_name LIKE 'silver%' OR table_name = 'customer_profile' OR rule_id LIKE 'assert%')"
+    ),
+    "gate_violations": (
+        f"SELECT rule_id, table_name, failures FROM ({_rule_summary()}) WHERE severity = 'error' AND failures > 0 "
+        "AND (table_name LIKE 'silver%' OR table_name = 'customer_profile' OR rule_id LIKE 'assert%')"
+    ),
+    "audit_all_rules": f"SELECT rule_id, table_name, failures FROM ({_rule_summary()}) WHERE failures > 0",
+    "merged_percentiles": _sql(
+        "SELECT unnest([1, 5, 25, 50, 75, 95, 99])::INTEGER AS percentile, count(*) AS n_values, "
+        "count(DISTINCT stamp) AS n_loads, TRUE AS within FROM transactions"
+    ),
 }
 
 # Decimal result columns per query.
@@ -774,6 +791,8 @@ DECIMALS: dict[str, list[str]] = {
     "gold_profile": _PROFILE,
     "pipeline_refresh": _PROFILE,
     "pipeline_backfill": _PROFILE,
+    "full_refresh_run": _PROFILE,
+    "append_refresh": _ACTIVITY,
     "gold_segment_only": _TOTALS[:1],
     "assert_premium": _TOTALS[:1],
     "assert_value_identity": _TOTALS,
