@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import settings
+from tidemark.config import session_settings
 from tidemark.llm.vectors import exact_sum, integer_vectors, joined, matrix
 from tidemark.sources.shared import materialise
 
@@ -164,7 +164,7 @@ def _residence(spark: SparkSession, homes: int) -> Iterator:
         return spark.table(name)
 
     try:
-        with settings(spark, {KEEP_BUCKETS: "false"}):
+        with session_settings(spark, {KEEP_BUCKETS: "false"}):
             yield settle
     finally:
         for name in tables[-1:]:

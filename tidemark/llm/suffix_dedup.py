@@ -35,7 +35,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import groups, keyed, settings, unkeyed
+from tidemark.config import session_settings
+from tidemark.llm.common import groups, keyed, unkeyed
 from tidemark.sources.shared import materialise
 
 # A perfect difference set modulo 73.
@@ -76,9 +77,9 @@ def dedup(docs: DataFrame, options: SuffixOptions = SuffixOptions(), key: str =
     homes = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"tidemark_suffix_blocks_{uuid.uuid4().hex}"
     try:
-        with settings(spark, STEP | {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}):
+        with session_settings(spark, STEP | {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}):
             blocks = _stored_blocks(keyed(docs, key, text), name, homes, options)
-        with settings(spark, STEP):
+        with session_settings(spark, STEP):
             total = blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
             buckets = max(homes, -(-total * len(options.cover) // options.period // options.bucket))
             ties = materialise(_ranked(blocks, homes, buckets, options), "suffix-ties")
