@@ -12,7 +12,7 @@ from tidemark.config import build_session
 from tidemark.plans import pipeline
 from tidemark.plans.profiling import profile_report
 from tidemark.schemas import RAW
-from tidemark.sources import read_delimited, replace_table, stamp_ingest
+from tidemark.sources import replace_table
 
 JOBS = (
     "ingest", "refresh-facts", "refresh-all", "backfill", "optimize", "profile",
@@ -48,8 +48,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         waived=frozenset(args.waive),
     )
     if args.job == "ingest":
-        rows = stamp_ingest(read_delimited(spark, args.path, RAW[args.table]))
-        mart.ingest(rows, args.table, args.append)
+        pipeline.ingest_files(mart, args.path, args.table, args.append)
     elif args.job == "refresh-facts":
         pipeline.refresh_facts(mart, args.full_refresh)
     elif args.job == "refresh-all":

@@ -12,6 +12,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.config import Clock, Thresholds, pin_session
 from tidemark.operators.incremental import RollUp, backfill, incremental_refresh, refresh_in_parts
@@ -36,6 +37,7 @@ from tidemark.plans.silver import (
     silver_transactions,
 )
 from tidemark.schemas import CUSTOMER, GOLD, INGESTED, RAW, RUN_LOG, SILVER
+from tidemark.sources.delimited import read_checked, split_checked, stamp_ingest
 from tidemark.sources.parts import LOAD, PART
 from tidemark.sources.tables import (
     append_batch,
@@ -51,7 +53,7 @@ from tidemark.sources.tables import (
 CUSTOMERS, PRODUCTS, INTERACTIONS, TRANSACTIONS = SILVER
 RAW_CUSTOMERS, RAW_ENROLLMENTS, RAW_INTERACTIONS, RAW_TRANSACTIONS = RAW
 RAW_FACTS, FACTS = (RAW_INTERACTIONS, RAW_TRANSACTIONS), (INTERACTIONS, TRANSACTIONS)
-LOG = "run_log"
+LOG, REJECTED = "run_log", "rejected_lines"
 GATES = ("customers", "products", "raw", "silver", "profile", "all")
 # Age from which on a profile counts as overdue.
 BUILD_SLA = dt.timedelta(minutes=90)
@@ -159,6 +161,17 @@ class Mart:
         return {t: self.read(t).columns for t in tables}
 
 
+def ingest_files(mart: Mart, path: str | list[str], table: str, append: bool = False, **opts: object) -> None:
+    """Delimited files into a raw table; lines that do not fit it go to `rejected_lines` with
+    their reasons and never fail the load. Of timestamps the delivered text is kept as well."""
+    schema = RAW[table]
+    texts = tuple(f.name for f in schema if f.dataType.typeName() == "timestamp")
+    good, rejected = split_checked(read_checked(mart.spark, path, schema, keep_text=texts, **opts))
+    mart.ingest(stamp_ingest(good), table, append)
+    rejected = stamp_ingest(rejected.withColumn("table_name", F.lit(table)))
+    append_batch(rejected, mart.name(REJECTED))
+
+
 def transactions_roll_up(mart: Mart) -> RollUp:
     enrollments = mart.read(RAW_ENROLLMENTS)
     return lambda rows: silver_transactions(rows, enrollments)

@@ -22,6 +22,7 @@ from tidemark.operators.summaries import (
     table_counts,
 )
 from tidemark.plans.silver import SAVINGS
+from tidemark.sources.delimited import TEXT_SUFFIX
 
 # Fixed spellings of a standard phone number and fixed age limits of the report.
 LOCAL_PREFIX, COUNTRY_PREFIX = "09", "+63"
@@ -237,13 +238,15 @@ def profile_balances(transactions: DataFrame) -> DataFrame:
     return _measured(transactions, balance_metrics())
 
 
-def zone_metrics(column: str = "transaction_date") -> Metrics:
+def zone_metrics(column: str = "transaction_date", delivered: Sequence[str] = ()) -> Metrics:
+    """Of the delivered text, where ingest kept it among the columns `delivered`."""
+    column = f"{column}{TEXT_SUFFIX}" if f"{column}{TEXT_SUFFIX}" in delivered else column
     return {"n_zone_aware": F.count_if(zone_aware(F.col(column))), "n_rows": F.count("*")}
 
 
 def profile_naive_timestamps(df: DataFrame, column: str = "transaction_date") -> DataFrame:
-    """How many timestamps name a zone; meant for the text as it was delivered."""
-    return _measured(df, zone_metrics(column))
+    """How many timestamps name a zone, in the text as it was delivered if it was kept."""
+    return _measured(df, zone_metrics(column, df.columns))
 
 
 def profile_coverage(
@@ -294,7 +297,7 @@ def profile_report(
         "transaction_history": {
             "amount": amount_metrics(),
             "balance": balance_metrics(),
-            "zone": zone_metrics(),
+            "zone": zone_metrics(delivered=transactions.columns),
             "transaction_date": range_metrics("transaction_date"),
         },
     }

@@ -759,6 +759,43 @@ ORACLES: dict[str, str] = {
     "pipeline_refresh": _sql("SELECT * FROM profile", SILVER, GOLD),
     "pipeline_backfill": _sql("SELECT * FROM profile", SILVER, GOLD),
     "stream_refresh": _sql("SELECT * FROM silver_interactions", SILVER),
+    "delimited_rejects": _sql(
+        """
+        SELECT customer_id,
+               CASE WHEN customer_id % 50 <> 7 AND customer_id % 40 <> 3 THEN date_of_birth END AS date_of_birth,
+               CASE WHEN customer_id % 40 = 3 THEN 'columns' WHEN customer_id % 50 = 7 THEN 'date_of_birth' ELSE '' END AS reasons,
+               CASE WHEN customer_id % 40 = 3 THEN concat_ws('|', customer_id, first_name, last_name, email, mobile)
+                    WHEN customer_id % 50 = 7
+                    THEN concat_ws('|', customer_id, first_name, last_name, email, mobile, gender, 'unknown', signup_date) END AS line
+        FROM customers"""
+    ),
+    "delivered_zone": _sql(
+        "SELECT unnest(['n_zone_aware', 'n_rows']) AS metric, "
+        "unnest([count(*) FILTER (transaction_id % 60 = 0 OR transaction_id % 77 = 0), count(*)]) AS value FROM transactions"
+    ),
+    "key_repeats": _sql(
+        """
+        SELECT key, n_rows, n_before FROM (
+          SELECT transaction_id AS key,
+                 CASE WHEN stamp = TIMESTAMP '2001-08-01' THEN 1 + (transaction_id % 55 = 0)::INTEGER ELSE 1 END::BIGINT AS n_rows,
+                 CASE WHEN stamp = TIMESTAMP '2001-08-01' THEN 0 ELSE 1 END::BIGINT AS n_before
+          FROM transactions WHERE stamp = TIMESTAMP '2001-08-01' OR transaction_id % 51 = 3)
+        WHERE n_rows > 1 OR n_before > 0"""
+    ),
+    "key_unknown": _sql(
+        "SELECT product_id AS key, count(*) AS n_rows FROM transactions WHERE stamp = TIMESTAMP '2001-08-01' AND product_id NOT IN "
+        "(SELECT product_id FROM enrollments WHERE stamp = TIMESTAMP '2001-07-31') GROUP BY 1"
+    ),
+    "owner_gate_delta": _sql(
+        """
+        SELECT load, count(*) FILTER (e.customer_id IS NULL OR e.customer_id <> payer) AS failures
+        FROM (SELECT load, product_id, stamp, customer_id + (transaction_id % 37 = 0)::INTEGER AS payer
+              FROM transactions, (VALUES (1), (2)) l(load)
+              WHERE load = 2 OR stamp = TIMESTAMP '2001-07-31') t
+        LEFT JOIN enrollments e
+          ON e.product_id = t.product_id AND (load = 2 OR e.stamp = TIMESTAMP '2001-07-31')
+        GROUP BY load"""
+    ),
     "stream_state": _sql("SELECT * FROM silver_interactions", SILVER),
     "partial_upsert": _sql("SELECT * FROM silver_interactions", SILVER),
     "append_refresh": _sql("SELECT * FROM silver_transactions", SILVER),

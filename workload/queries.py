@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from tidemark import streaming
 from tidemark.config import Clock, Thresholds, moment, pin_session
-from tidemark.operators import incremental, keys, layout, sketches
+from tidemark.operators import incremental, key_index, keys, layout, owner_pairs, sketches
 from tidemark.plans import checks, gold, monitoring, pipeline, profiling, rules, silver
-from tidemark.schemas import CUSTOMER, CUSTOMERS, GOLD, INGESTED, RAW, SILVER
+from tidemark.schemas import CUSTOMER, CUSTOMERS, GOLD, INGESTED, RAW, SILVER, TRANSACTIONS
 from tidemark.sources import (
     bronze,
     materialise,
@@ -24,6 +24,7 @@ from tidemark.sources import (
     stamp_ingest,
     table_folder,
 )
+from tidemark.sources.delimited import LINE, REASONS, read_checked, split_checked
 from tidemark.sources.tables import append_facts, replace_facts, session_buckets
 from workload.bank import CLOCK, FIRST_LOAD, SECOND_LOAD, Bank, bank, table
 
@@ -581,6 +582,89 @@ def delimited_round_trip(b: Bank) -> DataFrame:
     return stamp_ingest(read, SECOND_LOAD)
 
 
+@query
+def delimited_rejects(b: Bank) -> DataFrame:
+    """Customers as lines, some with a field too few or a text that is no date: good rows
+    and rejected lines with their reasons, side by side."""
+    spark = b.spark
+    path = table_folder(spark, "lines")
+    key = F.col("customer_id")
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in CUSTOMERS.names]
+    born = F.when(key % 50 == 7, F.lit("unknown")).otherwise(F.col("date_of_birth").cast("string"))
+    joined = F.concat_ws("|", *fields[:6], born, fields[7])
+    lines = b.customers.select(F.when(key % 40 == 3, F.concat_ws("|", *fields[:5])).otherwise(joined).alias("value"))
+    lines.repartition(session_buckets(spark)).write.text(path)
+    good, rejected = split_checked(read_checked(spark, path, CUSTOMERS, header=False))
+    return good.select("customer_id", "date_of_birth", F.lit("").alias("reasons"), F.lit(None).cast("string").alias("line")).union(
+        rejected.select(
+            F.split_part(LINE, F.lit("|"), F.lit(1)).cast("long"), F.lit(None).cast("date"), F.concat_ws(",", REASONS), LINE
+        )
+    )
+
+
+@query
+def delivered_zone(b: Bank) -> DataFrame:
+    """Payments delivered as text, some stamps with a zone: what the whole report says of
+    zones, from the text that ingest kept beside the typed column."""
+    spark = b.spark
+    path, database = table_folder(spark, "lines"), scratch_database(spark)
+    number = F.col("transaction_id")
+    zone = F.when(number % 60 == 0, "+08:00").when(number % 77 == 0, "Z").otherwise("")
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in TRANSACTIONS.names[:-1]]
+    stamp = F.concat(F.date_format("transaction_date", "yyyy-MM-dd HH:mm:ss"), zone)
+    lines = b.transactions.select(F.concat_ws("|", *texts, stamp).alias("value"))
+    lines.repartition(session_buckets(spark)).write.text(path)
+    mart = pipeline.Mart(spark, database, clock=CLOCK)
+    pipeline.ingest_files(mart, path, "transaction_history", header=False)
+    paid = mart.read("transaction_history")
+    report = profiling.profile_report(b.customers, b.enrollments, b.interactions, paid, CLOCK)
+    return report.where("section = 'zone'").select("metric", F.col("value").cast("long").alias("value"))
+
+
+def _repeated_load(b: Bank) -> tuple[DataFrame, DataFrame]:
+    """First load, and a second that repeats some of it and some of its own."""
+    first = b.transactions.where(F.col(INGESTED) == moment(FIRST_LOAD))
+    second = b.transactions.where(F.col(INGESTED) == moment(SECOND_LOAD))
+    number = F.col("transaction_id")
+    return first, second.union(first.where(number % 51 == 3)).union(second.where(number % 55 == 0))
+
+
+@query
+def key_repeats(b: Bank) -> DataFrame:
+    """Payment numbers a second load repeats, of the first one or of its own."""
+    spark, name = b.spark, f"{scratch_database(b.spark)}.payment_keys"
+    first, second = _repeated_load(b)
+    key_index.index_keys(spark, name, key_index.load_keys(first, "transaction_id", 1), session_buckets(spark))
+    keys_of_load = materialise(key_index.load_keys(second, "transaction_id", 2), "load")
+    key_index.index_keys(spark, name, keys_of_load)
+    return key_index.repeats(spark, name, keys_of_load)
+
+
+@query
+def key_unknown(b: Bank) -> DataFrame:
+    """Products of the second load that the index of the first enrollments lacks."""
+    spark, name = b.spark, f"{scratch_database(b.spark)}.product_keys"
+    first = b.enrollments.where(F.col(INGESTED) == moment(FIRST_LOAD))
+    key_index.index_keys(spark, name, key_index.load_keys(first, "product_id", 1), session_buckets(spark))
+    second = b.transactions.where(F.col(INGESTED) == moment(SECOND_LOAD))
+    return key_index.unknown(spark, name, key_index.load_keys(second, "product_id", 2))
+
+
+@query
+def owner_gate_delta(b: Bank) -> DataFrame:
+    """Payments of the wrong customer after each load, from pairs that are kept."""
+    spark, name = b.spark, f"{scratch_database(b.spark)}.owner_pairs"
+    payer = F.when(F.col("transaction_id") % 37 == 0, F.col("customer_id") + 1).otherwise(F.col("customer_id"))
+    paid = materialise(b.transactions.withColumn("customer_id", payer), "paid")
+    enrolled = materialise(b.enrollments, "enrolled")
+    first, second = F.col(INGESTED) == moment(FIRST_LOAD), F.col(INGESTED) == moment(SECOND_LOAD)
+    owner_pairs.build_pairs(name, paid.where(first), enrolled.where(first), session_buckets(spark))
+    before = materialise(owner_pairs.mismatches(spark.table(name)), "before")
+    owner_pairs.add_pairs(spark, name, paid.where(second), enrolled, enrolled.where(second))
+    after = owner_pairs.mismatches(spark.table(name))
+    return before.select(F.lit(1).alias("load"), "failures").union(after.select(F.lit(2), "failures"))
+
+
 @query
 def bronze_views(b: Bank) -> DataFrame:
     """Pass-through views over the four stored raw tables; one of them is read."""
