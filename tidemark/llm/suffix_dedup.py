@@ -264,10 +264,15 @@ def _ranked(blocks: DataFrame, homes: int, buckets: int, options: SuffixOptions)
                 yield _batch(rows, ["block", "at", "rank_block", "rank_at"], [pa.int64(), pa.binary(), pa.binary(), pa.binary()])
 
     dealt = blocks.select("block", "sizes", "data").mapInArrow(deal, _FOUND)
-    home = dealt.drop("kind", "c").repartition(homes, "home").sortWithinPartitions("home", "block")
+    home = _at_home(dealt.drop("kind", "c"), homes)
     return home.mapInArrow(rank, "block long, at binary, rank_block binary, rank_at binary")
 
 
+def _at_home(dealt: DataFrame, homes: int) -> DataFrame:
+    """Buckets in turn to the tasks: none gets two while another has none."""
+    return dealt.repartitionById(homes, F.pmod("home", F.lit(homes))).sortWithinPartitions("home", "block")
+
+
 def _texts(batches: Iterator[pa.RecordBatch], options: SuffixOptions) -> Iterator[tuple[int, _Text]]:
     for batch in batches:
         for i in range(batch.num_rows):
@@ -337,7 +342,7 @@ def _compared(blocks: DataFrame, ties: DataFrame, homes: int, buckets: int, opti
             if rows:
                 yield _found(rows)
 
-    left = both.mapInArrow(settle, _FOUND).repartition(homes, "home").sortWithinPartitions("home", "block")
+    left = _at_home(both.mapInArrow(settle, _FOUND), homes)
     return left.mapInArrow(compare, _FOUND).drop("home", "c")
 
 
