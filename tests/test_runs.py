@@ -14,7 +14,7 @@ from tidemark.plans import checks, pipeline, silver
 from tidemark.plans.pipeline import Mart
 from tidemark.schemas import GOLD, RAW
 from tidemark.sources import replace_table, stored, table_folder
-from tidemark.streaming import stream_refresh
+from tidemark.streaming import stream_refresh, stream_state
 
 SECOND = LOAD + dt.timedelta(hours=1)
 
@@ -215,3 +215,28 @@ def test_a_lost_log_does_not_hide_the_failure(spark, mart, monkeypatch):
     with pytest.raises(ZeroDivisionError) as failure:
         pipeline.refresh_all(mart)
     assert "no log" in failure.value.__notes__[0]
+
+
+def test_streaming_state_equals_batch_and_restarts(spark):
+    name = f"s{uuid.uuid4().hex}"
+    landing, state = (table_folder(spark, n) for n in ("landing", "state"))
+    loads = [
+        [rows.contact(i, i % 6) for i in range(12)],
+        [rows.contact(100, 1, "Call", dt.date(2025, 1, 1)), rows.contact(101, 9)],
+        [rows.contact(200, 1, "Chat", dt.date(2001, 1, 1), LOAD - dt.timedelta(days=9))],  # late
+    ]
+    seen = []
+    for load in loads:
+        seen += load
+        rows.interactions(spark, *load).coalesce(1).write.mode("append").parquet(landing)
+        for _ in range(2):  # the second time nothing is new
+            stream_state(spark, landing, rows.interactions(spark).schema, name, silver.silver_interactions, state, buckets=3)
+            assert by_key(spark.table(name)) == by_key(silver.silver_interactions(rows.interactions(spark, *seen)))
+
+    # The last batch is replayed as after a crash before its commit was recorded.
+    commits = pathlib.Path(state, "commits")
+    last = max(int(p.name) for p in commits.glob("[0-9]*"))
+    (commits / f"{last}").unlink()
+    (commits / f".{last}.crc").unlink()
+    stream_state(spark, landing, rows.interactions(spark).schema, name, silver.silver_interactions, state, buckets=3)
+    assert by_key(spark.table(name)) == by_key(silver.silver_interactions(rows.interactions(spark, *seen)))

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.config import session_settings
+from tidemark.sources.parts import overwrite_partitions
+from tidemark.sources.shared import table_folder
 from tidemark.sources.tables import backing, replace_table
 
 # Values a sketch keeps, about; its rank error is near 0.1 % at this size.
@@ -32,8 +33,9 @@ def keep_sketches(sketches: DataFrame, name: str) -> None:
     if table is None:
         replace_table(rows, name, partition_by="load")
         return
-    with session_settings(spark, {"spark.sql.sources.partitionOverwriteMode": "dynamic"}):
-        rows.write.mode("overwrite").insertInto(table)
+    path = table_folder(spark, "sketches")
+    rows.write.parquet(path)
+    overwrite_partitions(spark, table, path)
 
 
 def merged(sketches: DataFrame) -> DataFrame:

@@ -9,12 +9,12 @@ filter on parts.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.config import session_settings
+from tidemark.config import pin_session
 from tidemark.sources.shared import table_folder
 
 LOAD, PART = "_load", "_part"
@@ -92,9 +92,26 @@ def recover(spark: SparkSession, table: str) -> bool:
 
 
 def _overwrite(spark: SparkSession, table: str, path: str, properties: dict[str, str]) -> None:
-    rows = spark.read.schema(spark.table(table).schema).parquet(path)
     # One file per part, as the scans that rely on its order expect.
-    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), PART)
-    with session_settings(spark, {"spark.sql.sources.partitionOverwriteMode": "dynamic"}):
-        rows.write.mode("overwrite").insertInto(table)
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    overwrite_partitions(spark, table, path, lambda rows: rows.repartition(files, PART))
     set_properties(spark, table, **properties, **{_PENDING: ""})
+
+
+def overwrite_partitions(
+    spark: SparkSession, table: str, path: str, arrange: Callable[[DataFrame], DataFrame] = lambda rows: rows
+) -> None:
+    """Replace the partitions of `table` that occur in the Parquet files at `path`.
+
+    The mode is a setting of a session of its own: set in a shared session, a run beside
+    this one could switch it back before the overwrite is planned, and all other partitions
+    would go.
+    """
+    own = spark.newSession()
+    pin_session(own)
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    own.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    own.catalog.setCurrentDatabase(spark.catalog.currentDatabase())
+    rows = own.read.schema(own.table(table).schema).parquet(path)
+    arrange(rows).write.mode("overwrite").insertInto(table)
+    spark.catalog.refreshTable(table)

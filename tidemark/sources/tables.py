@@ -143,8 +143,9 @@ def fact_parts(spark: SparkSession, name: str) -> int:
 def append_facts(df: DataFrame, name: str, key: str, stamp: str, parts: int) -> None:
     """Add a load to a fact table laid out by load day and part, or create it.
 
-    The number of parts is the table's; `parts` counts for a new one. A load that is lost
-    halfway leaves nothing, since files count when their job commits.
+    The number of parts is the table's; `parts` counts for a new one. A table stored in
+    another layout keeps it. A load that is lost halfway leaves nothing, since files count
+    when their job commits.
     """
     spark = df.sparkSession
     live = _generation(spark, name)
@@ -152,6 +153,9 @@ def append_facts(df: DataFrame, name: str, key: str, stamp: str, parts: int) ->
         replace_facts(df, name, key, stamp, parts)
         return
     known = spark.table(f"{name}__g{live}")
+    if PART not in known.columns:
+        append_batch(df, name)
+        return
     rows = laid_out(df, key, stamp, fact_parts(spark, name)).select(known.columns)
     rows.write.partitionBy(LOAD, PART).mode("append").format("parquet").saveAsTable(f"{name}__g{live}")
 

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from tidemark.config import session_settings
 from tidemark.operators.incremental import RollUp, part_upsert
 from tidemark.schemas import CUSTOMER
-from tidemark.sources.tables import replace_table, session_buckets
+from tidemark.sources.tables import backing, replace_table, session_buckets
 
 # State lies on disk and leaves a task as a change log, so it may outgrow its memory.
 STATE_STORE = {
@@ -57,3 +57,7 @@ def stream_state(
             .start()
         )
         running.awaitTermination()
+    # Batches ran in a session of their own; this one may know files that were replaced.
+    table = backing(spark, target)
+    if table is not None:
+        spark.catalog.refreshTable(table)
