@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import keyed, unkeyed
+from tidemark.llm.common import keyed, small, unkeyed
+from tidemark.sources.shared import materialise
 
 UND = "und"
 
@@ -51,7 +52,9 @@ SCRIPTS = (
 NAMES = sorted({name for _, name in SCRIPTS})
 _FROM = np.array([low for low, _ in SCRIPTS])
 _SCRIPT = np.array([NAMES.index(name) for _, name in SCRIPTS])
-_WORD = re.compile(r"[^\W\d_]+")
+# Letters alone: \w also takes signs such as halves, superscripts and Roman numerals.
+_NUMERALS = "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+_WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 _PIECE_CHARS = 4_000_000
 
 
@@ -114,7 +117,10 @@ def train(docs: DataFrame, options: LangOptions = LangOptions()) -> LangModel:
         .where(F.col("place") <= options.sample)
         .drop("place")
     )
-    texts = docs.select("doc_id", "text").join(F.broadcast(learn), "doc_id").select("lang", "text")
+    # At most `sample` rows a language; rows that repeat an id stand for their own language.
+    chosen = small(materialise(learn.distinct(), "languages-sample"))
+    told = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
+    texts = told.join(chosen, ["doc_id", "lang"], "left_semi").select("lang", "text")
     counts = (
         texts.mapInArrow(lambda it: _counted(it, options), "lang string, kind int, slot long, n long")
         .groupBy("lang", "kind", "slot")
@@ -149,7 +155,7 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, sizes: np.ndarray, penalty:
 
     `starts` and `sizes` locate the sequences, longest first. Ties stay, then take the first label.
     """
-    labels = np.zeros(len(scores), dtype=np.int8)
+    labels = np.zeros(len(scores), dtype=np.int32)
     if not len(sizes) or not sizes[0]:
         return labels
     longest = int(sizes[0])
@@ -160,7 +166,7 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, sizes: np.ndarray, penalty:
     for t in range(1, longest):
         n = active[t]
         now = value[:n]
-        came[t] = now.argmax(axis=1).astype(np.int8)
+        came[t] = now.argmax(axis=1).astype(np.int32)
         best = now.max(axis=1)[:, None] - penalty
         stayed[t] = now >= best
         np.maximum(now, best, out=now)
