@@ -14,6 +14,7 @@ All integers are little-endian. Any run of tokens is read from its blocks alone.
 from __future__ import annotations
 
 import itertools
+import json
 import struct
 import uuid
 import zlib
@@ -35,12 +36,12 @@ _HEAD = struct.Struct("<4Q")
 
 @dataclass(frozen=True)
 class PackOptions:
-    """`ids` is the number of ids a token may take (it fixes the width); `end` closes
-    a document. `cached` bounds the words a worker remembers; `files` the tasks that write,
+    """`ids` is the number of ids a token may take (it fixes the width), 0 for as many as the
+    tokenizer has; `end` closes a document. `cached` bounds the words a worker remembers; `files` the tasks that write,
     0 for the session's shuffle partitions."""
 
     tokenizer: str
-    ids: int = 49_408
+    ids: int = 0
     end: int = 2
     block: int = 1 << 16
     cached: int = 600_000
@@ -48,7 +49,10 @@ class PackOptions:
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
-    """`bits` bits for each id, least significant bit first, padded to a byte."""
+    """`bits` bits for each id, least significant bit first, padded to a byte. An id that
+    does not fit is an error."""
+    if len(ids) and int(ids.max()) >> bits:
+        raise ValueError(f"id {int(ids.max())} does not fit {bits} bits")
     if bits in (8, 16, 32):
         return ids.astype(f"<u{bits // 8}").tobytes()
     spread = (ids[:, None].astype(np.uint32) >> np.arange(bits, dtype=np.uint32)) & np.uint32(1)
@@ -65,6 +69,29 @@ def unpack(data: bytes, bits: int, n: int) -> np.ndarray:
 
 _CLOSERS = ".,;:!?"
 _ENCODERS: dict[str, Encoder] = {}
+# What the tokenizer of pieces does before its merges.
+_FOLDS = ["NFC", "Replace", "Lowercase"]
+_CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _cuts_at_spaces(described: dict) -> bool:
+    folds = (described.get("normalizer") or {}).get("normalizers", [])
+    cuts = (described.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    spaces = any(f.get("pattern") == {"Regex": r"\s+"} and f.get("content") == " " for f in folds)
+    return (
+        [f["type"] for f in folds] == _FOLDS
+        and spaces
+        and [c["type"] for c in cuts] == ["Split", "ByteLevel"]
+        and cuts[0]["pattern"] == {"Regex": _CUTS}
+        and (cuts[0]["behavior"], cuts[0]["invert"]) == ("Removed", True)
+        and described["model"].get("end_of_word_suffix") == "</w>"
+    )
+
+
+def vocabulary_size(path: str) -> int:
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values()) + 1
 
 
 class Encoder:
@@ -75,6 +102,9 @@ class Encoder:
     A Latin-1 piece is cut further before closing punctuation, where the tokenizer cuts too, and
     lower-cased as the tokenizer does. New words of letters alone are encoded in one go and
     told apart by the tokens that end a word; if their number differs, one by one.
+
+    That holds for tokenizers that fold and cut as `_FOLDS` and `_CUTS` say; any other
+    encodes whole texts.
     """
 
     def __init__(self, path: str, cached: int):
@@ -82,11 +112,15 @@ class Encoder:
 
         self.tokenizer, self.cached = Tokenizer.from_file(path), cached
         self.known: dict[str, bytes] = {}
+        self.by_pieces = _cuts_at_spaces(json.loads(self.tokenizer.to_str()))
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_pieces:
+            found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            return [np.array(f.ids, dtype="<u4").tobytes() for f in found]
         split = [t.replace("\n", " ").split(" ") for t in texts]
         known = self.known
         if len(known) > self.cached:
@@ -245,7 +279,8 @@ def write_tokens(docs: DataFrame, options: PackOptions) -> DataFrame:
     a row for each file. NULL and empty texts are the end id alone; repeated ids are
     documents of their own; a NULL id comes first. An empty table writes no file."""
     spark = docs.sparkSession
-    bits = max(1, (options.ids - 1).bit_length())
+    ids = options.ids or vocabulary_size(options.tokenizer)
+    bits = max(1, (max(ids, options.end + 1) - 1).bit_length())
     folder = table_folder(spark, "tokens")
     parts = options.files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = keyed(docs).repartitionByRange(parts, "key").sortWithinPartitions("key", "text")
