@@ -3,7 +3,9 @@
 import collections
 import hashlib
 import itertools
+import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -528,3 +530,69 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark):
     assert all(groups[d][0] == d for d in ids)
     items = {r.item_id: r.text for r in queries.table(spark, DIR, "benchmark").collect()}
     assert not leaks_brute({r.doc_id: r.text for r in rows.dropDuplicates(["doc_id"]).collect() if r.doc_id < 60}, items)
+
+
+# Legal input that once broke an operator -------------------------------------------
+
+
+def slow_base_spans(text):
+    return [
+        (kind, m.start(), m.end())
+        for kind, pattern in pii.BASE.items()
+        for m in pattern.finditer(text)
+        if pii._valid(kind, m.group())
+    ]
+
+
+def test_base_spans_equal_the_patterns():
+    r = random.Random(5)
+    for _ in range(4000):
+        text = "".join(r.choice("a1@.. -+(_%2:9\n") for _ in range(r.randrange(60)))
+        assert pii.base_spans(text) == slow_base_spans(text)
+    for text in ("a@b.c_d@e.f", "1.2.3.4.5.6.7.8", "x" + "0" * 5000 + "1.1.1.1", "0" * 6000 + ".1.1.1 300.1.1.1", "a@@b.cc@d"):
+        assert pii.base_spans(text) == slow_base_spans(text)
+    assert ("ip", 0, 6006) in pii.base_spans("0" * 6000 + ".1.1.1")
+
+
+@pytest.mark.parametrize("piece", ["1", "a", "a@", ".", "1.", "+", "+1", "-", "1 ", "a."])
+def test_base_spans_of_long_runs_take_no_time(piece):
+    text = piece * (1_000_000 // len(piece)) + "@"
+    began = time.perf_counter()
+    pii.base_spans(text)
+    assert time.perf_counter() - began < 8
+
+
+def test_numerals_are_no_letters(spark):
+    texts = ["\u00bd \u00b2 \u2460 \u2167", "the cat and the dog", "der Hund und die Katze", "\u4e00 \u4e8c"] * 3
+    table = spark.createDataFrame([(i, t, ("en", "de")[i % 4 == 2], "a", 0, 1, "x", 2) for i, t in enumerate(texts)], SCHEMA)
+    found = by_id(langid.identify(table, langid.train(table)), "lang_pred", "score")
+    assert found[0][0] == "und" and found[1][0] == "en" and found[3][0] != "und"
+
+
+def test_more_languages_than_a_byte_counts(spark):
+    table = spark.createDataFrame(
+        [(5 * i + k, f"w{chr(97 + i % 26)}{chr(97 + i // 26)} " * 30, f"l{i:03d}", "a", 0, 1, "x", 2) for i in range(200) for k in range(5)],
+        SCHEMA,
+    )
+    model = langid.train(table)
+    assert len(model.langs) == 200
+    found = by_id(langid.identify(table, model), "lang_pred")
+    assert sum(found[5 * i][0] == f"l{i:03d}" for i in range(200)) > 150
+
+
+def test_ids_that_do_not_fit_are_refused():
+    with pytest.raises(ValueError, match="70000 does not fit 16"):
+        packing.pack(np.array([1, 70000], np.uint32), 16)
+    assert list(packing.unpack(packing.pack(np.array([1, 65535], np.uint32), 16), 16, 2)) == [1, 65535]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_any_vocabulary_equals_the_tokenizer(spark, name):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path(name)
+    texts = ["Hello World again", "", None, "  two  spaces\nand lines", "It's ÜBER-cool, isn't it?", LONG[:3000]]
+    manifest = packing.write_tokens(docs(spark, texts), packing.PackOptions(path, end=2))
+    got = {r.key: np.frombuffer(r.ids, "<u4").tolist() for r in packing.read_tokens(manifest).collect()}
+    tokenizer = Tokenizer.from_file(path)
+    assert got == {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
