@@ -1,9 +1,12 @@
 """Line dedup by pairwise alignment.
 
-Documents that share a line are aligned with patience diff, and the common blocks are
-deleted from the later document. A line's first holder (smallest id) is paired with each
-later holder, however many there are, so pairs grow with the lines, never with their
-square. A frequent line that is long enough alone also goes where no alignment has it.
+Documents are found through runs of lines: the shortest run from a line on, or up to it, that
+has `least_words` words, so a long line is a run alone. Whatever block two documents share,
+it begins with such a run. A later holder of a rare run is paired with every earlier one, a
+later holder of a frequent run with its first, so pairs grow with the lines, never with
+their square. What travels is the places of the runs a pair shares, not the documents. Each
+pair is aligned with patience diff over these runs, and the lines of the aligned ones are
+deleted from the later document.
 """
 
 from __future__ import annotations
@@ -13,17 +16,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import keyed, unkeyed
+from tidemark.llm.common import keyed, pieces_of, unkeyed
 from tidemark.sources.shared import materialise
 
 
 @dataclass(frozen=True)
 class DiffOptions:
-    """A block is deleted if it has `least_words` words or more, and so is, wherever it
-    stands, a single line in more than `rare` documents."""
+    """A block is deleted if it has `least_words` words or more. Runs in at most `rare`
+    documents pair a holder with all earlier ones, others with the first."""
 
     rare: int = 20
     least_words: int = 5
@@ -95,74 +99,167 @@ def _ascending(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def _aligned(batches: Iterator[pa.RecordBatch], options: DiffOptions) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys, gone = [], []
-        columns = (batch.column(c) for c in ("later", "early_hashes", "hashes", "words"))
-        for later, early, hashes, words in zip(*columns, strict=True):
-            words = words.as_py()
-            lines = [
-                j
-                for _, start, n in blocks(early.as_py(), hashes.as_py(), words)
-                if sum(words[start : start + n]) >= options.least_words
-                for j in range(start, start + n)
-            ]
-            if lines:
-                keys.append(later.as_py())
-                gone.append(lines)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], names=["key", "gone"])
-
-
-def _numbered(docs: DataFrame) -> DataFrame:
-    line = F.split("text", "\n")
-    return docs.select(
-        "key", F.transform(line, lambda x: F.xxhash64(x)).alias("hashes"),
-        F.transform(line, lambda x: F.size(F.array_remove(F.split(F.trim(x), r"\s+"), ""))).alias("words"),
+def runs(text: str, least_words: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(token, at, n, first, last) of the runs of a text.
+
+    `at` counts lines with words; a run has `n` of them, `first` and `last` are line numbers.
+    Runs from a line on have `at` of their first line and an even token, runs up to a line
+    `at` of their last and an odd one.
+    """
+    lines = [(i, line, len(line.split())) for i, line in enumerate(text.split("\n"))]
+    lines = [x for x in lines if x[2]]
+    hashes = [xxhash.xxh3_64_digest(line.encode("utf-8", "replace")) for _, line, _ in lines]
+    end, words = 0, 0
+    for at in range(len(lines)):
+        while end < len(lines) and words < least_words:
+            words += lines[end][2]
+            end += 1
+        if words < least_words:
+            break
+        yield _token(hashes[at:end], 0), at, end - at, lines[at][0], lines[end - 1][0]
+        words -= lines[at][2]
+    start, words = 0, 0
+    for at in range(len(lines)):
+        words += lines[at][2]
+        while words - lines[start][2] >= least_words:
+            words -= lines[start][2]
+            start += 1
+        if words >= least_words:
+            yield _token(hashes[start : at + 1], 1), at, at + 1 - start, lines[start][0], lines[at][0]
+
+
+def _token(hashes: list[bytes], odd: int) -> int:
+    return (xxhash.xxh3_64_intdigest(b"".join(hashes)) >> 2 << 1) | odd
+
+
+def _with_runs(docs: DataFrame, options: DiffOptions) -> DataFrame:
+    """(token, doc, places) for each run of each document."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, digests = (batch.column(c).to_pylist() for c in ("key", "digest"))
+            texts = batch.column("text").to_pylist()
+            for low, high in pieces_of(texts):
+                rows = [
+                    (keys[i], digests[i], *run) for i in range(low, high) for run in runs(texts[i], options.least_words)
+                ]
+                if rows:
+                    columns = zip(*rows, strict=True)
+                    arrays = [pa.array(c, pa.int64() if i < 3 else pa.int32()) for i, c in enumerate(columns)]
+                    yield pa.RecordBatch.from_arrays(arrays, ["key", "digest", "token", "at", "n", "first", "last"])
+
+    found = docs.select("key", "digest", "text").mapInArrow(
+        cut, "key long, digest long, token long, at int, n int, first int, last int"
     )
+    places = F.collect_list(F.struct("at", "n", "first", "last")).alias("places")
+    return found.groupBy("token", F.struct("key", "digest").alias("doc")).agg(places)
+
+
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for doc, shared in zip(batch.column("later").to_pylist(), batch.column("shared").to_pylist(), strict=True):
+            gone = common_lines(shared)
+            if gone:
+                out.append((doc["key"], doc["digest"], gone))
+        columns = zip(*out, strict=True) if out else ([], [], [])
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "digest", "gone"]
+        )
+
+
+def common_lines(shared: list[dict]) -> list[int]:
+    """Numbers of the later document's lines in aligned blocks, from the runs it shares with
+    the earlier one."""
+    early: dict[int, dict[int, int]] = {0: {}, 1: {}}
+    later: dict[int, dict[int, tuple[int, dict]]] = {0: {}, 1: {}}
+    for run in shared:
+        odd = run["token"] & 1
+        early[odd].update((p["at"], run["token"]) for p in run["early_places"])
+        later[odd].update((p["at"], (run["token"], p)) for p in run["places"])
+    a, at_a = _spaced({at: token for at, token in early[0].items()})
+    b, at_b = _spaced({at: token for at, (token, _) in later[0].items()})
+    gone: set[int] = set()
+    for i, j, n in blocks(a, b, [int(at is not None) for at in at_b]):
+        for k in range(n):
+            if at_b[j + k] is None:
+                continue
+            run = later[0][at_b[j + k]][1]
+            gone.update(range(run["first"], run["last"] + 1))
+            if k + 1 < n and at_b[j + k + 1] is not None:
+                continue
+            # Short lines behind the last run still belong to the block.
+            x, y = at_a[i + k] + run["n"], at_b[j + k] + run["n"]
+            while y in later[1] and early[1].get(x) == later[1][y][0]:
+                gone.update(range(later[1][y][1]["first"], later[1][y][1]["last"] + 1))
+                x, y = x + 1, y + 1
+    return sorted(gone)
+
+
+def _spaced(tokens: dict[int, int]) -> tuple[list, list]:
+    """Tokens in order with a sign that equals no other wherever places are not adjacent."""
+    out, places = [], []
+    before = None
+    for at in sorted(tokens):
+        if before is not None and at != before + 1:
+            out.append(object())
+            places.append(None)
+        out.append(tokens[at])
+        places.append(at)
+        before = at
+    return out, places
 
 
 def removals(docs: DataFrame, options: DiffOptions = DiffOptions()) -> DataFrame:
-    """(key, gone): numbers of the lines to delete, for documents that lose any."""
-    numbered = materialise(_numbered(docs), "lines-numbered")
-    lines = numbered.select("key", F.explode(F.arrays_zip("hashes", "words")).alias("line"))
-    lines = lines.select("key", F.col("line.hashes").alias("hash"), F.col("line.words").alias("words")).where("words > 0")
-    holders = lines.groupBy("key", "hash").agg(F.max("words").alias("words"))
-    shared = holders.groupBy("hash").agg(F.count("*").alias("docs"), F.min("key").alias("early")).where("docs > 1")
-    later = holders.join(shared, "hash").where("key <> early")
-    later = materialise(later.select("key", "early", "hash", "words", "docs"), "lines-later")
-    pairs = later.select(F.col("key").alias("later"), "early").distinct()
-    # The first holder comes last: its lines are sent once, not once per pair, and the
-    # join partition of a hot one is split by adaptive execution.
-    sides = pairs.join(numbered.withColumnRenamed("key", "later"), "later").join(
-        numbered.select(F.col("key").alias("early"), F.col("hashes").alias("early_hashes")), "early"
-    )
-    aligned = sides.select("later", "early_hashes", "hashes", "words").mapInArrow(
-        lambda it: _aligned(it, options), "key long, gone array<int>"
-    )
-    common = later.where((F.col("docs") > options.rare) & (F.col("words") >= options.least_words)).select("key", "hash")
-    places = numbered.select("key", F.posexplode("hashes").alias("at", "hash")).join(common, ["key", "hash"])
-    every = aligned.select("key", F.explode("gone").alias("at")).union(places.select("key", "at"))
-    return every.groupBy("key").agg(F.collect_set("at").alias("gone"))
+    """(key, digest, gone): ascending numbers of the lines to delete, for documents that lose
+    any.
+
+    `docs` has a row per (key, digest); the smaller pair is the earlier document.
+    """
+    held = materialise(_with_runs(docs, options), "runs")
+    first = F.min(F.struct("doc", "places")).alias("first")
+    many = held.groupBy("token").agg(F.count("*").alias("docs"), first).where("docs > 1")
+    many = many.select("token", "docs", F.col("first.doc").alias("early"), F.col("first.places").alias("early_places"))
+    # A frequent run's holders are split by adaptive execution.
+    frequent = held.join(many.where(F.col("docs") > options.rare), "token").where("doc <> early")
+    few = materialise(held.join(many.where(F.col("docs") <= options.rare).select("token"), "token"), "rare-runs")
+    before = few.select("token", F.col("doc").alias("early"), F.col("places").alias("early_places"))
+    rare = few.join(before, "token").where("early < doc")
+    columns = ["doc", "early", "token", "places", "early_places"]
+    pairs = frequent.select(columns).union(rare.select(columns)).groupBy(F.col("doc").alias("later"), "early")
+    shared = pairs.agg(F.collect_list(F.struct("token", "places", "early_places")).alias("shared"))
+    gone = shared.select("later", "shared").mapInArrow(_aligned, "key long, digest long, gone array<int>")
+    # Each line once per task and document before the shuffle.
+    each = gone.select("key", "digest", F.explode("gone").alias("at")).distinct()
+    return each.groupBy("key", "digest").agg(F.sort_array(F.collect_list("at")).alias("gone"))
+
+
+def _flags(gone: str) -> Column:
+    """Ascending line numbers as an array of flags, in one walk over them."""
+    gaps = F.transform(gone, lambda x, i: x - F.coalesce(F.get(gone, i - 1), F.lit(-1)) - 1)
+    return F.flatten(F.transform(gaps, lambda n: F.concat(F.array_repeat(F.lit(False), n), F.array(F.lit(True)))))
 
 
 def dedup_lines(docs: DataFrame, options: DiffOptions = DiffOptions()) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_text for each row of `docs`.
 
-    Earlier means a smaller id; NULL comes first. Empty lines are never candidates. NULL
-    and empty texts stay empty. Rows repeating an id are one document for the search, and
-    each loses the lines found. An empty table gives no row.
+    Earlier means a smaller id, then a smaller hash of the text; NULL comes first. Lines
+    without words are never candidates; inside a deleted block they go with it. NULL and
+    empty texts stay empty. Rows that repeat an id and a text are one document and each lose
+    the lines found; rows that repeat an id with other texts are documents of their own. An
+    empty table gives no row.
     """
-    rows = keyed(docs)
-    one = rows
-    if rows.select("key").distinct().count() != rows.count():
-        one = rows.groupBy("key").agg(F.min("text").alias("text"))
-    found = materialise(removals(one, options), "lines-gone")
-    gone = F.coalesce("gone", F.array().cast("array<int>"))
+    rows = keyed(docs).withColumn("digest", F.xxhash64("text"))
+    once = rows.where(F.col("text") != "")
+    found = materialise(removals(once, options), "lines-gone")
     lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda x, i: ~F.array_contains(F.col("gone"), i))
-    return rows.join(found, "key", "left").select(
+    # A flag per line up to the last deleted one, looked up by place.
+    flagged = found.select("key", "digest", F.size("gone").alias("n"), _flags("gone").alias("flags"))
+    kept = F.filter(lines, lambda x, i: ~F.coalesce(F.get("flags", i), F.lit(False)))
+    return rows.join(flagged, ["key", "digest"], "left").select(
         unkeyed("key", "doc_id"),
         F.size(lines).cast("long").alias("n_lines"),
-        F.size(gone).cast("long").alias("n_removed"),
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
+        F.coalesce("n", F.lit(0)).cast("long").alias("n_removed"),
+        F.when(F.col("flags").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
     )
