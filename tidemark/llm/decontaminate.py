@@ -103,8 +103,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, options: LeakOptions = LeakOpt
     weight = F.greatest(F.lit(1), F.floor(options.top_weight / F.col("n_items"))).cast("long").alias("weight")
     weights = materialise(shared.select("hash", weight), "leak-weights")
 
-    split_docs = _split(keyed(docs), options)
-    found = split_docs.select("key", "length", F.posexplode("hashes").alias("at", "hash")).join(
+    # Rows with the same shingles are one text for the search, whatever their ids.
+    split_docs = _split(keyed(docs), options).withColumn("text", F.xxhash64("length", "hashes"))
+    found = split_docs.select("key", "text", "length", F.posexplode("hashes").alias("at", "hash")).join(
         small(weights.select("hash")), "hash"
     )
     anchors = materialise(found, "leak-anchors")
@@ -118,18 +119,19 @@ def find_leaks(docs: DataFrame, items: DataFrame, options: LeakOptions = LeakOpt
     )
     windows = (
         anchors.join(hashes, "hash")
-        .select("key", "length", "span", (F.col("at") - F.col("place")).alias("at"), F.lit(0).alias("place"))
+        .select("text", "length", "span", (F.col("at") - F.col("place")).alias("at"), F.lit(0).alias("place"))
         .distinct()
-        .select("key", "length", "span", F.explode(starts).alias("first"))
-        .groupBy("key", "length")
+        .select("text", "length", "span", F.explode(starts).alias("first"))
+        .groupBy("text", "length")
         .agg(F.collect_set(F.struct("span", "first")).alias("windows"))
     )
     windows = materialise(windows, "leak-windows")
     inside = (
-        split_docs.join(small(windows), ["key", "length"])
-        .select("key", "hashes", F.explode("windows").alias("w"))
-        .select("key", "w.*", F.explode(F.expr(f"slice(hashes, w.first + 1, w.span - {n - 1})")).alias("hash"))
-        .groupBy("key", "span", "first", "hash")
+        split_docs.join(small(windows), ["text", "length"])
+        .dropDuplicates(["text", "length"])
+        .select("text", "hashes", F.explode("windows").alias("w"))
+        .select("text", "w.*", F.explode(F.expr(f"slice(hashes, w.first + 1, w.span - {n - 1})")).alias("hash"))
+        .groupBy("text", "span", "first", "hash")
         .agg(F.count("*").alias("times"))
         .join(small(weights), "hash", "left")
         .withColumn("weight", F.coalesce("weight", F.lit(1)) * F.col("times"))
@@ -142,8 +144,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, options: LeakOptions = LeakOpt
         .select("item", "span", "hash", (F.col("times") * F.col("weight")).alias("item_weight"))
     )
     sums, joined = _fingerprint(F.col("weight"), F.col("hash"))
-    printed = inside.groupBy("key", "span", "first").agg(*sums).select(
-        "key", "span", "first", "total", joined.alias("print")
+    printed = inside.groupBy("text", "span", "first").agg(*sums).select(
+        "text", "span", "first", "total", joined.alias("print")
     )
     sums, joined = _fingerprint(F.col("item_weight"), F.col("hash"))
     item_prints = item_sets.groupBy("item", "span").agg(*sums).select(
@@ -151,21 +153,25 @@ def find_leaks(docs: DataFrame, items: DataFrame, options: LeakOptions = LeakOpt
     )
     pairs = _within(printed, item_prints, options)
     common = (
-        pairs.join(inside.select("key", "span", "first", "hash", "weight"), ["key", "span", "first"])
+        pairs.join(inside.select("text", "span", "first", "hash", "weight"), ["text", "span", "first"])
         .join(item_sets, ["item", "span", "hash"])
-        .groupBy("key", "item", "span", "first", "total", "item_total")
+        .groupBy("text", "item", "span", "first", "total", "item_total")
         .agg(F.sum(F.least("weight", "item_weight")).alias("common"))
     )
     alike = common.select(
-        "key",
+        "text",
         "item",
         "span",
         "first",
         (F.col("common") / (F.col("total") + F.col("item_total") - F.col("common"))).alias("similarity"),
     ).where(F.col("similarity") >= options.threshold)
     best = F.min_by(F.struct("similarity", "first", "span"), F.struct(-F.col("similarity"), "first")).alias("best")
+    of_texts = alike.groupBy("text", "item").agg(best).select("text", "item", "best.*")
+    # Each row that has the text, then the best of an id's texts.
+    holders = anchors.select("key", "text").distinct()
     return (
-        alike.groupBy("key", "item")
+        holders.join(small(materialise(of_texts, "leak-texts")), "text")
+        .groupBy("key", "item")
         .agg(best)
         .select(
             unkeyed("key", "doc_id"),
@@ -193,7 +199,7 @@ def _within(printed: DataFrame, item_prints: DataFrame, options: LeakOptions) ->
     return (
         sought.join(listed, ["span", "block", "value"])
         .where(near)
-        .select("key", "span", "first", "total", "item", "item_total")
+        .select("text", "span", "first", "total", "item", "item_total")
         .distinct()
     )
 
