@@ -410,6 +410,56 @@ def test_copies_of_repeated_lines_go(spark):
     assert got == {0: (0, texts[0]), 1: (3, ""), 2: (2, "own\ntoo")}
 
 
+def brute_lines(texts, rare=20):
+    """Lines deleted per document when every pair of documents is looked at."""
+    held, order = {}, sorted(range(len(texts)))
+    for i in order:
+        for token, *place in linediff.runs(texts[i], 5):
+            held.setdefault(token, {}).setdefault(i, []).append(dict(zip(("at", "n", "first", "last"), place, strict=True)))
+    gone = {i: set() for i in order}
+    for later in order:
+        for early in range(later):
+            shared = [
+                {"token": t, "places": docs[later], "early_places": docs[early]}
+                for t, docs in held.items()
+                if later in docs and early in docs and (len(docs) <= rare or early == min(docs))
+            ]
+            gone[later].update(linediff.common_lines(shared))
+    return {i: "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in gone[i]) for i in order}
+
+
+@pytest.mark.parametrize("seed, rare", [(1, 20), (2, 3), (3, 100)])
+def test_lines_equal_brute_force_over_all_pairs(spark, seed, rare):
+    r = random.Random(seed)
+    known = ["one two three four five six", "a b", "c", "", "d e f", "g h i j k", "l m n o"]
+    texts = ["\n".join(r.choice([*known, f"own line {r.random()} of this text"]) for _ in range(r.randrange(1, 12))) for _ in range(60)]
+    got = by_id(linediff.dedup_lines(docs(spark, texts), linediff.DiffOptions(rare=rare)), "kept_text")
+    assert {i: k for i, (k,) in got.items()} == brute_lines(texts, rare)
+
+
+def test_runs_are_the_shortest_with_enough_words():
+    text = "a b c d e\n\nf\ng h i\nj k"
+    found = [x[1:] for x in linediff.runs(text, 5)]
+    assert found == [(0, 1, 0, 0), (1, 3, 2, 4), (2, 2, 3, 4), (0, 1, 0, 0), (1, 2, 0, 2), (2, 3, 0, 3), (3, 2, 3, 4)]
+    even = [x[0] & 1 for x in linediff.runs(text, 5)]
+    assert even == [0, 0, 0, 1, 1, 1, 1] and list(linediff.runs("a b\nc d", 5)) == [] == list(linediff.runs("", 5))
+
+
+def test_a_copy_goes_though_each_line_was_held_before(spark):
+    short = ["one two", "three four", "five", "six seven", "eight nine"]
+    texts = [*short, "\n".join(short), "\n".join(short)]
+    got = by_id(linediff.dedup_lines(docs(spark, texts)), "n_removed", "kept_text")
+    assert got[5] == (0, texts[5]) and got[6] == (5, "") and all(got[i] == (0, t) for i, t in enumerate(short))
+
+
+def test_texts_of_one_id_are_judged_apart(spark):
+    shared = "this is a line of words\nand here is yet another one"
+    rows = [(1, shared), (5, shared), (5, "a text that nobody shares at all"), (5, shared), (None, "x y z w v\nu")]
+    table = spark.createDataFrame([(i, x, "en", "a", 0, 1, "x", 2) for i, x in rows], SCHEMA)
+    got = sorted((r.doc_id or 0, r.kept_text) for r in linediff.dedup_lines(table).collect())
+    assert got == [(0, "x y z w v\nu"), (1, shared), (5, ""), (5, ""), (5, "a text that nobody shares at all")]
+
+
 # Personal data -------------------------------------------------------------------
 
 
@@ -532,6 +582,17 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark):
     assert not leaks_brute({r.doc_id: r.text for r in rows.dropDuplicates(["doc_id"]).collect() if r.doc_id < 60}, items)
 
 
+def test_repeated_rows_hide_no_leak(spark):
+    item = " ".join(WORDS[:40])
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    leak, clean, other = f"before {item} behind", " ".join(WORDS[100:142]), " ".join([*WORDS[200:210], *WORDS[:32]])
+    rows = [(1, leak), (1, leak), (2, leak), (None, leak), (None, clean), (None, other), (3, clean), (3, clean), (4, other), (4, leak)]
+    table = spark.createDataFrame([(i, x, "en", "a", 0, 1, "x", 2) for i, x in rows], SCHEMA)
+    got = {r.doc_id: (r.item_id, r.similarity, r.first_word) for r in decontaminate.find_leaks(table, items).collect()}
+    assert got == dict.fromkeys((1, 2, 4, None), (1, 1.0, 1))
+    assert sorted(r.doc_id for r in decontaminate.drop_leaks(table, items).collect()) == [3, 3]
+
+
 # Legal input that once broke an operator -------------------------------------------
 
 
