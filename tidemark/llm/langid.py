@@ -52,9 +52,10 @@ SCRIPTS = (
 NAMES = sorted({name for _, name in SCRIPTS})
 _FROM = np.array([low for low, _ in SCRIPTS])
 _SCRIPT = np.array([NAMES.index(name) for _, name in SCRIPTS])
-# Letters alone: \w also takes signs such as halves, superscripts and Roman numerals.
+_WORD = re.compile(r"[^\W\d_]+")
+# \w also takes signs such as halves, superscripts and Roman numerals; they part letters.
 _NUMERALS = "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-_WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+_LETTERS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 _PIECE_CHARS = 4_000_000
 
 
@@ -84,7 +85,11 @@ def _grams(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """Runs of letters. The quick pattern also takes numerals; what holds some is cut again."""
+    found = _WORD.findall(text.lower()) if text else []
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for word in found for w in ([word] if word.isalpha() else _LETTERS.findall(word))]
 
 
 def _counted(batches: Iterator[pa.RecordBatch], options: LangOptions) -> Iterator[pa.RecordBatch]:
