@@ -173,6 +173,30 @@ def test_hot_product_is_split_and_nothing_is_lost(spark, b):
     assert counts[hot.customer_id] > sum(counts.values()) / 3.5
 
 
+def test_hot_customer_is_split_in_a_restricted_roll_up(spark, b):
+    """A third of the contacts on one customer, whose history is rolled up again."""
+    times = F.explode(F.sequence(F.lit(1), F.lit(20))).alias("again")
+    spread = b.interactions.select(*b.interactions.columns, times).withColumn("interaction_id", F.xxhash64("interaction_id", "again"))
+    hot = b.interactions.first().customer_id
+    chosen = F.when(F.pmod("interaction_id", F.lit(3)) == 0, F.lit(hot)).otherwise(F.col("customer_id"))
+    many = materialise(spread.drop("again").withColumn("customer_id", chosen).repartition(8, "interaction_id"), "hot-contacts")
+    wanted = materialise(many.select("customer_id").distinct(), "hot-keys")
+    with settings(
+        spark,
+        spark__sql__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__autoBroadcastJoinThreshold="-1",
+        spark__sql__shuffle__partitions="16",
+        spark__sql__adaptive__advisoryPartitionSizeInBytes="16KB",
+        spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="32KB",
+        spark__sql__adaptive__skewJoin__skewedPartitionFactor="2",
+    ):
+        built = incremental.recompute(many, wanted, silver.silver_interactions)
+        got = {r.customer_id: r.total_interactions for r in built.collect()}
+        assert "SortMergeJoin(skew=true)" in plan(built)
+    assert got == Counter(r.customer_id for r in many.select("customer_id").collect())
+    assert got[hot] > sum(got.values()) / 3.5
+
+
 def test_average_is_exact_to_the_last_digit(spark, b):
     built = silver.silver_transactions(b.transactions, b.enrollments)
     for r in built.collect():
