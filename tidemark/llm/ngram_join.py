@@ -44,6 +44,7 @@ class JoinOptions:
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
+_ROW = "_tidemark_row"
 _NOT_WORD = re.compile(r"\W+")
 
 
@@ -352,15 +353,18 @@ def _links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, options: Jo
 
 
 def keep_first(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
-    """`docs` without the documents whose class has a smaller id. Rows repeating an id
-    leave one row: the one with the smallest text hash."""
-    found = materialise(ngram_join(docs, options), "ngram-found")
-    go = found.where("NOT (doc_id <=> class_id)").select("doc_id")
-    if found.count() != docs.count():
-        order = F.struct(F.xxhash64("text"), *(F.col(f"`{c}`") for c in docs.columns if c != "doc_id"))
-        row = F.min(order).alias("row")
-        docs = docs.groupBy("doc_id").agg(row).select(
-            *(F.col(f"row.`{c}`") if c != "doc_id" else F.col("doc_id") for c in docs.columns)
-        )
-    gone = small(go.withColumnRenamed("doc_id", "_gone"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    """`docs` without the documents whose class has a smaller id. Where ids repeat or are
+    NULL, rows are documents of their own, in the order of id, then of the text's hash."""
+    rows, ids = docs.select(F.count("*"), F.countDistinct("doc_id")).first()
+    if rows == ids:
+        found = materialise(ngram_join(docs, options), "ngram-found")
+        gone = small(found.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")))
+        return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    order = [F.col("doc_id"), F.xxhash64("text")]
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = docs.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # Numbers ascend over the ranges, and are fixed once they are stored.
+    numbered = materialise(ordered.withColumn(_ROW, F.monotonically_increasing_id()), "ngram-numbered")
+    found = materialise(ngram_join(numbered.select(F.col(_ROW).alias("doc_id"), "text"), options), "ngram-found")
+    gone = small(found.where("doc_id <> class_id").select(F.col("doc_id").alias(_ROW)))
+    return numbered.join(gone, _ROW, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
