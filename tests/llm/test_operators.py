@@ -108,6 +108,15 @@ def test_join_compares_only_the_row_an_id_stands_for(spark):
     assert got == {5: (5, 5, 1), like: (like, 5, 1), unlike: (unlike, unlike, 0)}
 
 
+def test_no_text_is_lost_for_its_id(spark):
+    base = [" ".join(WORDS[i : i + 30]) for i in (0, 60, 120, 180)]
+    rows = [(None, base[0]), (None, base[1]), (None, base[0]), (7, base[2]), (7, base[3]), (7, base[2] + " end"), (9, base[1])]
+    table = spark.createDataFrame([(i, x, "en", "a", 0, 1, "x", 2) for i, x in rows], SCHEMA)
+    kept = [(r.doc_id, r.text) for r in ngram_join.keep_first(table).collect()]
+    assert {t.removesuffix(" end") for _, t in kept} == set(base) and len(kept) == 4
+    assert {i for i, t in kept if t in base[:2]} == {None}
+
+
 # Decontamination ----------------------------------------------------------------
 
 
