@@ -88,10 +88,12 @@ def _cuts_at_spaces(described: dict) -> bool:
     )
 
 
-def vocabulary_size(path: str) -> int:
-    from tokenizers import Tokenizer
-
-    return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values()) + 1
+def described(path: str) -> tuple[int, bool]:
+    """Ids of a tokenizer, and whether it may encode by pieces. Read once, on the driver."""
+    with open(path, encoding="utf-8") as file:
+        tokenizer = json.load(file)
+    added = [t["id"] for t in tokenizer.get("added_tokens", [])]
+    return max([*tokenizer["model"]["vocab"].values(), *added]) + 1, _cuts_at_spaces(tokenizer)
 
 
 class Encoder:
@@ -107,12 +109,11 @@ class Encoder:
     encodes whole texts.
     """
 
-    def __init__(self, path: str, cached: int):
+    def __init__(self, path: str, cached: int, by_pieces: bool):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cached = Tokenizer.from_file(path), cached
+        self.tokenizer, self.cached, self.by_pieces = Tokenizer.from_file(path), cached, by_pieces
         self.known: dict[str, bytes] = {}
-        self.by_pieces = _cuts_at_spaces(json.loads(self.tokenizer.to_str()))
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -166,18 +167,18 @@ class Encoder:
             low = stop
 
 
-def encoder(path: str, cached: int) -> Encoder:
+def encoder(path: str, cached: int, by_pieces: bool) -> Encoder:
     """The worker's encoder, kept from task to task."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path, cached)
+        _ENCODERS[path] = Encoder(path, cached, by_pieces)
     return _ENCODERS[path]
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], options: PackOptions, bits: int) -> Iterator[pa.RecordBatch]:
+def _encoded(batches: Iterator[pa.RecordBatch], options: PackOptions, bits: int, by_pieces: bool) -> Iterator[pa.RecordBatch]:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    worker, end = encoder(options.tokenizer, options.cached), np.array([options.end], "<u4").tobytes()
+    worker, end = encoder(options.tokenizer, options.cached, by_pieces), np.array([options.end], "<u4").tobytes()
     for batch in batches:
         counts, packed = [], []
         texts = batch.column("text").to_pylist()
@@ -279,13 +280,13 @@ def write_tokens(docs: DataFrame, options: PackOptions) -> DataFrame:
     a row for each file. NULL and empty texts are the end id alone; repeated ids are
     documents of their own; a NULL id comes first. An empty table writes no file."""
     spark = docs.sparkSession
-    ids = options.ids or vocabulary_size(options.tokenizer)
-    bits = max(1, (max(ids, options.end + 1) - 1).bit_length())
+    known, by_pieces = described(options.tokenizer)
+    bits = max(1, (max(options.ids or known, options.end + 1) - 1).bit_length())
     folder = table_folder(spark, "tokens")
     parts = options.files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = keyed(docs).repartitionByRange(parts, "key").sortWithinPartitions("key", "text")
     manifest = ordered.mapInArrow(
-        lambda it: _written(_encoded(it, options, bits), folder, options, bits),
+        lambda it: _written(_encoded(it, options, bits, by_pieces), folder, options, bits),
         "file string, first_key long, n_tokens long, n_docs long",
     )
     return materialise(manifest, "tokens-manifest")
