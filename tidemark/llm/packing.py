@@ -44,7 +44,7 @@ class PackOptions:
     ids: int = 0
     end: int = 2
     block: int = 1 << 16
-    cached: int = 600_000
+    cached: int = 300_000
     files: int = 0
 
 
