@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 import oracle
 from tidemark.llm import chat, decontaminate, langid, linediff, mixing, ngram_join, packing, pii, queries, rules, warc
+from tidemark.sources.shared import materialise
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key long, hash string, rank int"
 DIR = f"{oracle.DATA}/sf0.001"
@@ -666,3 +667,23 @@ def test_any_vocabulary_equals_the_tokenizer(spark, name):
     got = {r.key: np.frombuffer(r.ids, "<u4").tolist() for r in packing.read_tokens(manifest).collect()}
     tokenizer = Tokenizer.from_file(path)
     assert got == {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+
+
+def test_token_files_stand_in_training_order(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    rows = materialise(mixing.mixed(spark.read.parquet(f"{DIR}/documents.parquet")), "mixed")
+    folder = rows.select("_metadata.file_path").first()[0].rpartition("/")[0].removeprefix("file:")
+    stored = [i for f in sorted(glob.glob(f"{folder}/part-*.parquet")) for i in pq.read_table(f, columns=["doc_id"])["doc_id"].to_pylist()]
+    assert len(set(stored)) < len(stored) and stored != sorted(stored)
+    found = corpus_pipeline.token_files(spark, rows, DIR).orderBy("start").collect()
+    assert [r.doc_id for r in found] == stored
+
+
+def test_rows_from_no_file_stand_by_id(spark):
+    rows = docs(spark, ["b", "a", "c"]).orderBy(F.desc("doc_id"))
+    assert packing.stored_order(rows) == []
+    found = corpus_pipeline.token_files(spark, rows, DIR).orderBy("start").collect()
+    assert [r.doc_id for r in found] == [0, 1, 2]

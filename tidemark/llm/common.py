@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,11 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Key and text only: no NULL key, no NULL text, no clash with further columns."""
+def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text", more: Sequence[Column] = ()) -> DataFrame:
+    """Key and text, and columns asked for: no NULL key, no NULL text, no clash with others."""
     return docs.select(
         F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_ID)).alias("key"),
         F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"),
+        *more,
     )
 
 

@@ -1,6 +1,7 @@
 """Token ids in fixed-width packed files.
 
-A file holds the documents of one range of ids, in ascending order:
+A file holds the documents of one range of ids, in ascending order, or of one range of
+another order the caller names; files are numbered in that order:
 
     magic "TMKPACK1" | header: bits, tokens per block, tokens, documents (4 x u64)
     blocks           | every id in `bits` bits, least significant first; a block starts
@@ -18,13 +19,15 @@ import json
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import keyed, pieces_of, unkeyed
@@ -205,7 +208,8 @@ def _written(batches: Iterator[pa.RecordBatch], folder: str, options: PackOption
     if first is None:
         return
     files, root = _open(folder)
-    name = f"{first.column('key')[0].as_py() + 2**63:020d}.pack"
+    number = TaskContext.get().partitionId()
+    name = f"{number:06d}.pack"
     draft = f"{root}/.{name}-{uuid.uuid4().hex}"
     offsets, keys, ends, total = [], [], [], 0
     left = np.empty(0, dtype=np.uint32)
@@ -241,8 +245,8 @@ def _written(batches: Iterator[pa.RecordBatch], folder: str, options: PackOption
     files.delete_file(body)
     files.move(draft, f"{root}/{name}")
     yield pa.RecordBatch.from_arrays(
-        [pa.array([f"{folder}/{name}"]), pa.array([keys[0]], pa.int64()), pa.array([total], pa.int64()), pa.array([len(keys)], pa.int64())],
-        names=["file", "first_key", "n_tokens", "n_docs"],
+        [pa.array([f"{folder}/{name}"]), *(pa.array([x], pa.int64()) for x in (number, keys[0], total, len(keys)))],
+        names=["file", "number", "first_key", "n_tokens", "n_docs"],
     )
 
 
@@ -275,19 +279,34 @@ class PackedFile:
         return np.concatenate(got)
 
 
-def write_tokens(docs: DataFrame, options: PackOptions) -> DataFrame:
-    """Encodes and writes; returns the stored manifest (file, first_key, n_tokens, n_docs),
-    a row for each file. NULL and empty texts are the end id alone; repeated ids are
-    documents of their own; a NULL id comes first. An empty table writes no file."""
+def stored_order(docs: DataFrame) -> list[Column]:
+    """The place of a row in the Parquet files `docs` is read from, files in the order of the
+    tasks that wrote them. Rows that come from no file have no such place: an empty list."""
+    name, row = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+    try:
+        docs.select(name, row)
+    except AnalysisException:
+        return []
+    task = F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("long")
+    return [task, name, row]
+
+
+def write_tokens(docs: DataFrame, options: PackOptions, order: Sequence[Column] = ()) -> DataFrame:
+    """Encodes and writes; returns the stored manifest (file, number, first_key, n_tokens,
+    n_docs), a row for each file. Documents stand in ascending `order`, or without one by id.
+    NULL and empty texts are the end id alone; repeated ids are documents of their own; a NULL
+    id comes first. An empty table writes no file."""
     spark = docs.sparkSession
     known, by_pieces = described(options.tokenizer)
     bits = max(1, (max(options.ids or known, options.end + 1) - 1).bit_length())
     folder = table_folder(spark, "tokens")
     parts = options.files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = keyed(docs).repartitionByRange(parts, "key").sortWithinPartitions("key", "text")
-    manifest = ordered.mapInArrow(
+    marks = [f"order{i}" for i in range(len(order))]
+    rows = keyed(docs, more=[c.alias(m) for c, m in zip(order, marks, strict=True)])
+    ordered = rows.repartitionByRange(parts, *marks, "key").sortWithinPartitions(*marks, "key", "text")
+    manifest = ordered.select("key", "text").mapInArrow(
         lambda it: _written(_encoded(it, options, bits, by_pieces), folder, options, bits),
-        "file string, first_key long, n_tokens long, n_docs long",
+        "file string, number long, first_key long, n_tokens long, n_docs long",
     )
     return materialise(manifest, "tokens-manifest")
 
@@ -324,13 +343,13 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
 def file_starts(manifest: DataFrame) -> DataFrame:
     """(file, before): tokens in all files before each. One row a file, so one task is
     enough for the running sum."""
-    before = Window.orderBy("first_key", "file").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.select("file", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("before"))
 
 
-def token_digests(docs: DataFrame, options: PackOptions) -> DataFrame:
+def token_digests(docs: DataFrame, options: PackOptions, order: Sequence[Column] = ()) -> DataFrame:
     """Write, read back, and describe each document: doc_id, start, n_tokens, ids_crc32."""
-    manifest = write_tokens(docs, options)
+    manifest = write_tokens(docs, options, order)
 
     def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
