@@ -31,8 +31,10 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes the token files and describes each document in them as read back."""
-    return packing.token_digests(docs, packing.PackOptions(tokenizer_path("word_bpe_49k.json")))
+    """Writes the token files in the order in which the documents are stored, which is the
+    training order, and describes each document in them as read back."""
+    options = packing.PackOptions(tokenizer_path("word_bpe_49k.json"))
+    return packing.token_digests(docs, options, packing.stored_order(docs))
 
 
 STAGES = [
