@@ -687,3 +687,20 @@ def test_rows_from_no_file_stand_by_id(spark):
     assert packing.stored_order(rows) == []
     found = corpus_pipeline.token_files(spark, rows, DIR).orderBy("start").collect()
     assert [r.doc_id for r in found] == [0, 1, 2]
+
+
+def test_written_chunks_carry_the_digest_so_far(spark):
+    import hashlib
+
+    texts = ["é" * 777, "", None, "x" * 1000, "x" * 1000, "yz" * 1000]
+    pages = spark.createDataFrame([(i, None, t) for i, t in enumerate(texts)], "page_id long, url string, html string")
+    options = warc.WarcOptions(chunk=1000)
+    rows = warc.chunks(warc.planned(pages, options), options).orderBy("key", "chunk").collect()
+    for page, text in enumerate(texts):
+        mine, payload = [r for r in rows if r.key == page], (text or "").encode()
+        if page == 4:
+            assert [(r.refers, bytes(r.data)) for r in mine] == [(3, b"")]
+            continue
+        assert b"".join(bytes(r.data) for r in mine) == payload and len(mine) == max(1, -(-len(payload) // 1000))
+        assert [r.sofar for r in mine] == [hashlib.sha256(payload[: 1000 * (i + 1)]).hexdigest() for i in range(len(mine))]
+        assert mine[-1].sofar == mine[-1].digest

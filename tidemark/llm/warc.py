@@ -52,15 +52,36 @@ def planned(pages: DataFrame, options: WarcOptions) -> DataFrame:
 
 
 def chunks(rows: DataFrame, options: WarcOptions) -> DataFrame:
-    """The chunk table: a row per `chunk` bytes; revisits and empty payloads have one empty chunk."""
-    whole = F.col("refers").isNull()
-    starts = F.sequence(F.lit(0), F.when(whole, F.greatest(F.lit(0), F.col("n") - 1)).otherwise(F.lit(0)).cast("int"), F.lit(options.chunk))
-    data = F.when(whole, F.substring(F.col("payload"), F.col("start") + 1, F.lit(options.chunk))).otherwise(F.lit(b""))
-    return (
-        rows.withColumn("row", F.monotonically_increasing_id())
-        .select("*", F.posexplode(starts).alias("chunk", "start"))
-        .select("key", "row", "url", "n", "digest", "refers", "chunk", data.alias("data"))
-    )
+    """The chunk table: a row per `chunk` bytes, with `sofar`, the digest of all bytes up to
+    its end; revisits and empty payloads have one empty chunk. A payload is a value of the
+    input and held as such; from here on a batch holds some chunks alone."""
+    schema = pa.schema(
+        [("key", pa.int64()), ("row", pa.int64()), ("url", pa.string()), ("n", pa.int64()), ("digest", pa.string()),
+         ("refers", pa.int64()), ("chunk", pa.int32()), ("sofar", pa.string()), ("data", pa.binary())]
+    )
+    whole = F.when(F.col("refers").isNull(), F.col("payload")).otherwise(F.lit(b""))
+    held = rows.select("key", F.monotonically_increasing_id().alias("row"), "url", "n", "digest", "refers", whole.alias("payload"))
+    kind = "key long, row long, url string, n long, digest string, refers long, chunk int, sofar string, data binary"
+    return held.mapInArrow(lambda it: _chunked(it, options, schema), kind)
+
+
+def _chunked(batches: Iterator[pa.RecordBatch], options: WarcOptions, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    common = schema.names[:6]
+    out: list[dict] = []
+    held = 0
+    for batch in batches:
+        payloads = batch.column("payload")
+        for i, row in enumerate(batch.select(common).to_pylist()):
+            payload, digest = memoryview(payloads[i].as_buffer()), hashlib.sha256()
+            for chunk, start in enumerate(range(0, max(1, len(payload)), options.chunk)):
+                data = payload[start : start + options.chunk]
+                digest.update(data)
+                out.append(row | {"chunk": chunk, "sofar": digest.hexdigest(), "data": bytes(data)})
+                held += len(data)
+                if held >= 1 << 22 or len(out) == 1000:
+                    yield pa.RecordBatch.from_pylist(out, schema)
+                    out, held = [], 0
+    yield pa.RecordBatch.from_pylist(out, schema)
 
 
 def _header(row: dict, options: WarcOptions) -> tuple[bytes, bytes]:
@@ -110,6 +131,8 @@ def _written(batches: Iterator[pa.RecordBatch], folder: str, options: WarcOption
                 packer, digest, records = zlib.compressobj(1, wbits=31), hashlib.sha256(), records + 1
                 out.write(packer.compress(b"".join(_header(row, options))))
             digest.update(row["data"])
+            if digest.hexdigest() != row["sofar"]:
+                raise ValueError(f"record {last} differs from its digest at chunk {row['chunk']}")
             out.write(packer.compress(row["data"]))
     if out is None:
         return
