@@ -689,6 +689,21 @@ def test_rows_from_no_file_stand_by_id(spark):
     assert [r.doc_id for r in found] == [0, 1, 2]
 
 
+def test_encoder_equals_the_tokenizer_while_it_forgets():
+    import random
+
+    from tokenizers import Tokenizer
+
+    path, draw = queries.tokenizer_path("word_bpe_49k.json"), random.Random(5)
+    letters = [*map(chr, range(256)), *"aabbccddé''$$##..,,   ", "İ", "ſ", "К", "日", "́", "'s", "'re", "<|endoftext|>", "</w>"]
+    texts = ["".join(draw.choices(letters, k=draw.randint(0, 30))) for _ in range(5000)]
+    mine, tokenizer = packing.Encoder(path, 2000, by_pieces=True), Tokenizer.from_file(path)
+    for low in range(0, len(texts), 100):
+        part = texts[low : low + 100]
+        found = [np.frombuffer(x, "<u4").tolist() for x in mine.encode(part)]
+        assert found == [tokenizer.encode(t, add_special_tokens=False).ids for t in part]
+
+
 def test_written_chunks_carry_the_digest_so_far(spark):
     import hashlib
 

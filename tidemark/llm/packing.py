@@ -70,7 +70,8 @@ def unpack(data: bytes, bits: int, n: int) -> np.ndarray:
     return flat.reshape(n, bits).astype(np.uint32) @ (np.uint32(1) << np.arange(bits, dtype=np.uint32))
 
 
-_CLOSERS = ".,;:!?"
+# What is neither letter nor numeral among Latin-1: the tokenizer cuts before a run of these.
+_CLOSERS = "".join(c for c in map(chr, range(256)) if not c.isalnum())
 _ENCODERS: dict[str, Encoder] = {}
 # What the tokenizer of pieces does before its merges.
 _FOLDS = ["NFC", "Replace", "Lowercase"]
@@ -91,6 +92,16 @@ def _cuts_at_spaces(described: dict) -> bool:
     )
 
 
+def _cuttable(text: str) -> bool:
+    """Latin-1 alone, where letters have one lower-case form and nothing composes, and
+    nothing that could be a token of its own."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return "<|" not in text
+
+
 def described(path: str) -> tuple[int, bool]:
     """Ids of a tokenizer, and whether it may encode by pieces. Read once, on the driver."""
     with open(path, encoding="utf-8") as file:
@@ -104,9 +115,12 @@ class Encoder:
 
     The tokenizer folds white space and cuts at it before its merges, so the ids of a text
     are those of its pieces between spaces in a row, and a piece met before is looked up.
-    A Latin-1 piece is cut further before closing punctuation, where the tokenizer cuts too, and
-    lower-cased as the tokenizer does. New words of letters alone are encoded in one go and
-    told apart by the tokens that end a word; if their number differs, one by one.
+    A Latin-1 piece is cut further before closing punctuation and symbols, where the tokenizer
+    cuts too, and lower-cased as the tokenizer does. New words of letters alone are encoded in
+    one go and told apart by the tokens that end a word; if their number differs, one by one.
+
+    Words are remembered in two generations of half of `cached` each: the younger one, once
+    full, becomes the older, and a word of the older met again moves to the younger.
 
     That holds for tokenizers that fold and cut as `_FOLDS` and `_CUTS` say; any other
     encodes whole texts.
@@ -117,6 +131,7 @@ class Encoder:
 
         self.tokenizer, self.cached, self.by_pieces = Tokenizer.from_file(path), cached, by_pieces
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -126,36 +141,40 @@ class Encoder:
             found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
             return [np.array(f.ids, dtype="<u4").tobytes() for f in found]
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        if len(known) > self.cached:
-            known.clear()
-        self._learn(set(itertools.filterfalse(known.__contains__, itertools.chain.from_iterable(split))))
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in split]
+        if len(self.known) > self.cached // 2:
+            self.known, self.older = {}, self.known
+        self._learn(self._unknown(set().union(*split)))
+        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in split]
+
+    def _unknown(self, pieces: set[str]) -> set[str]:
+        """Those in neither generation; what the older one has moves to the younger."""
+        known, older = self.known, self.older
+        new = pieces.difference(known)
+        again = [p for p in new if p in older]
+        known.update(zip(again, map(older.__getitem__, again), strict=True))
+        return new.difference(again)
 
     def _learn(self, new: set[str]) -> None:
         known = self.known
-        parts = {p: cut for p in new if (cut := self._cut(p)) != (p,)}
-        sought = {w for cut in parts.values() for w in cut if w not in known}
-        sought.update(p for p in new if p not in parts)
-        self._encode_words([w for w in sought if w.isalpha() and self._simple(w)])
-        rest = [w for w in sought if w not in known]
+        plain, others = new, set()
+        if not _cuttable(" ".join(new)):
+            plain = {p for p in new if _cuttable(p)}
+            others = new - plain
+        cuts = []
+        for piece, low in zip(plain, map(str.lower, plain), strict=True):
+            word = low.rstrip(_CLOSERS)
+            if len(word) == len(low) or not word.isalnum():
+                word = low
+            cuts.append((piece, word, low[len(word) :]))
+        words = {c[1] for c in cuts}
+        words.update(c[2] for c in cuts)
+        words = self._unknown(words)
+        self._encode_words([w for w in words if w.isalpha()])
+        rest = [w for w in words | others if w not in known]
         for word, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             known[word] = np.array(found.ids, dtype="<u4").tobytes()
-        for piece, cut in parts.items():
-            known[piece] = b"".join(map(known.__getitem__, cut))
-
-    @staticmethod
-    def _simple(piece: str) -> bool:
-        """Latin-1 alone: letters have one lower-case form and nothing composes."""
-        return piece.isascii() or max(piece) < "\u0100"
-
-    def _cut(self, piece: str) -> tuple[str, ...]:
-        if not self._simple(piece) or "<|" in piece:
-            return (piece,)
-        word = piece.rstrip(_CLOSERS)
-        if len(word) < len(piece) and word.isalnum():
-            return (word.lower(), piece[len(word) :])
-        return (piece.lower(),)
+        for piece, word, closers in cuts:
+            known[piece] = known[word] + known[closers] if closers else known[word]
 
     def _encode_words(self, words: list[str]) -> None:
         if not words:
