@@ -719,3 +719,19 @@ def test_written_chunks_carry_the_digest_so_far(spark):
         assert b"".join(bytes(r.data) for r in mine) == payload and len(mine) == max(1, -(-len(payload) // 1000))
         assert [r.sofar for r in mine] == [hashlib.sha256(payload[: 1000 * (i + 1)]).hexdigest() for i in range(len(mine))]
         assert mine[-1].sofar == mine[-1].digest
+
+
+def test_encoder_learns_a_word_once():
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    mine = packing.Encoder(path, 2000, by_pieces=True)
+    mine.encode(['Word, (word) "WORD" word\'s $word...', "word\n--word", "wörd"])
+    assert [w for w in mine.known if w.endswith("rd")] == ["word", "wörd"]
+
+
+def test_encoder_cuts_like_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    mine, tokenizer = packing.Encoder(path, 2000, by_pieces=True), Tokenizer.from_file(path)
+    texts = ["'solo 'twas O'Really a.'s 's's'll x'", "ªº µ ß Ñ \x85a\x1cb", "…WORD “Word” word", "", "12'st 1's ²x", "日本 Word's", "\n \n"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in mine.encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]

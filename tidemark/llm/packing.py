@@ -70,8 +70,13 @@ def unpack(data: bytes, bits: int, n: int) -> np.ndarray:
     return flat.reshape(n, bits).astype(np.uint32) @ (np.uint32(1) << np.arange(bits, dtype=np.uint32))
 
 
-# What is neither letter nor numeral among Latin-1: the tokenizer cuts before a run of these.
-_CLOSERS = "".join(c for c in map(chr, range(256)) if not c.isalnum())
+# Kinds of Latin-1 characters (blanks that part words, letters, all others) and their lower case.
+_BLANK, _LETTER, _OTHER = 0, 1, 2
+_KINDS = np.array([_BLANK if c in " \n" else _LETTER if c.isalpha() else _OTHER for c in map(chr, range(256))], np.uint8)
+_BLANKS = np.where(_KINDS == _BLANK, _BLANK, _OTHER).astype(np.uint8)
+_LOWER = bytes(ord(chr(c).lower()) for c in range(256))
+# Words that go to the merges, and characters of texts that are encoded, in one go.
+_AT_ONCE, _CHARS = 500, 1 << 21
 _ENCODERS: dict[str, Encoder] = {}
 # What the tokenizer of pieces does before its merges.
 _FOLDS = ["NFC", "Replace", "Lowercase"]
@@ -102,6 +107,11 @@ def _cuttable(text: str) -> bool:
     return "<|" not in text
 
 
+def _folded_word(piece: str) -> bool:
+    """Latin-1 letters alone, in lower case: the tokenizer leaves them as they are, uncut."""
+    return piece.isalpha() and (piece.isascii() or max(piece) <= "\xff") and piece == piece.lower()
+
+
 def described(path: str) -> tuple[int, bool]:
     """Ids of a tokenizer, and whether it may encode by pieces. Read once, on the driver."""
     with open(path, encoding="utf-8") as file:
@@ -110,26 +120,57 @@ def described(path: str) -> tuple[int, bool]:
     return max([*tokenizer["model"]["vocab"].values(), *added]) + 1, _cuts_at_spaces(tokenizer)
 
 
+def _parted(texts: list[str], latin: bool) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(pieces of each text, place of each piece in the list, different pieces). All are
+    cut and compared as bytes, in Latin-1 or else in UTF-8, without an object per piece."""
+    data = [t.encode("latin-1" if latin else "utf-8") for t in texts]
+    begins = np.concatenate(([0], np.cumsum([len(d) + 1 for d in data])))
+    joined = b"\n".join([*data, b""])
+    del data
+    chars = np.frombuffer(joined.translate(_LOWER) if latin else joined, dtype=np.uint8)
+    kinds = (_KINDS if latin else _BLANKS)[chars]
+    first = np.empty(len(kinds), dtype=bool)
+    first[0] = True
+    np.not_equal(kinds[1:], kinds[:-1], out=first[1:])
+    # An apostrophe stays with letters after it, which may be its ending.
+    first[1:] &= (chars[:-1] != ord("'")) | (kinds[1:] != _LETTER)
+    stays = kinds != _BLANK
+    first &= stays
+    counts = np.diff(np.searchsorted(np.flatnonzero(first), begins))
+    chars, cuts = chars[stays], np.flatnonzero(first[stays])
+    ends = np.append(cuts, len(chars)).astype(np.int32)
+    buffers = [None, pa.py_buffer(ends), pa.py_buffer(chars)]
+    coded = pa.Array.from_buffers(pa.binary() if latin else pa.string(), len(cuts), buffers).dictionary_encode()
+    found = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    return counts, coded.indices.to_numpy(), [w.decode("latin-1") for w in found] if latin else found
+
+
 class Encoder:
     """Ids of whole texts as little-endian u32 bytes.
 
     The tokenizer folds white space and cuts at it before its merges, so the ids of a text
     are those of its pieces between spaces in a row, and a piece met before is looked up.
-    A Latin-1 piece is cut further before closing punctuation and symbols, where the tokenizer
-    cuts too, and lower-cased as the tokenizer does. New words of letters alone are encoded in
-    one go and told apart by the tokens that end a word; if their number differs, one by one.
+    A text in Latin-1 is lower-cased as the tokenizer does, and also cut where letters end, and
+    where they begin unless an apostrophe stands before them; the tokenizer cuts there too. New
+    words of letters alone go to the tokenizer's merges without folding and cutting again,
+    many in one go, and are told apart by the tokens that end a word; if their number differs,
+    the whole tokenizer takes them one by one.
 
-    Words are remembered in two generations of half of `cached` each: the younger one, once
-    full, becomes the older, and a word of the older met again moves to the younger.
+    Pieces are remembered in two generations of half of `cached` each: the younger one, once
+    full, becomes the older, and a piece of the older met again moves to the younger.
 
     That holds for tokenizers that fold and cut as `_FOLDS` and `_CUTS` say; any other
     encodes whole texts.
     """
 
     def __init__(self, path: str, cached: int, by_pieces: bool):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.cached, self.by_pieces = Tokenizer.from_file(path), cached, by_pieces
+        # The same model without the folding and the cutting, which folded words do not need.
+        self.merges = Tokenizer(self.tokenizer.model)
+        bytewise = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), bytewise])
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
@@ -140,52 +181,55 @@ class Encoder:
         if not self.by_pieces:
             found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
             return [np.array(f.ids, dtype="<u4").tobytes() for f in found]
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        out = [b""] * len(texts)
+        latin = [_cuttable(t) for t in texts]
+        for kind in (True, False):
+            places = [i for i, l in enumerate(latin) if l == kind]
+            if places:
+                for i, ids in zip(places, self._joined(*_parted([texts[i] for i in places], kind)), strict=True):
+                    out[i] = ids
+        return out
+
+    def _joined(self, counts: np.ndarray, places: np.ndarray, pieces: list[str]) -> Iterator[bytes]:
+        """Ids of each text from those of its pieces."""
         if len(self.known) > self.cached // 2:
             self.known, self.older = {}, self.known
-        self._learn(self._unknown(set().union(*split)))
-        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in split]
-
-    def _unknown(self, pieces: set[str]) -> set[str]:
+        self._learn(self._unknown(pieces))
+        ids = list(map(self.known.__getitem__, pieces))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        pool, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        low = 0
+        for n in counts.tolist():
+            mine = places[low : low + n]
+            size = sizes[mine]
+            ends = np.cumsum(size)
+            steps = np.arange(ends[-1] if n else 0)
+            yield pool[np.repeat(starts[mine] - ends + size, size) + steps].tobytes()
+            low += n
+
+    def _unknown(self, pieces: list[str]) -> list[str]:
         """Those in neither generation; what the older one has moves to the younger."""
         known, older = self.known, self.older
-        new = pieces.difference(known)
-        again = [p for p in new if p in older]
-        known.update(zip(again, map(older.__getitem__, again), strict=True))
-        return new.difference(again)
-
-    def _learn(self, new: set[str]) -> None:
-        known = self.known
-        plain, others = new, set()
-        if not _cuttable(" ".join(new)):
-            plain = {p for p in new if _cuttable(p)}
-            others = new - plain
-        cuts = []
-        for piece, low in zip(plain, map(str.lower, plain), strict=True):
-            word = low.rstrip(_CLOSERS)
-            if len(word) == len(low) or not word.isalnum():
-                word = low
-            cuts.append((piece, word, low[len(word) :]))
-        words = {c[1] for c in cuts}
-        words.update(c[2] for c in cuts)
-        words = self._unknown(words)
-        self._encode_words([w for w in words if w.isalpha()])
-        rest = [w for w in words | others if w not in known]
+        new = [p for p in pieces if p not in known]
+        known.update((p, older[p]) for p in new if p in older)
+        return [p for p in new if p not in known]
+
+    def _learn(self, new: list[str]) -> None:
+        words = [w for w in new if _folded_word(w)]
+        for low in range(0, len(words), _AT_ONCE):
+            self._encode_words(words[low : low + _AT_ONCE])
+        rest = [w for w in new if w not in self.known]
         for word, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            known[word] = np.array(found.ids, dtype="<u4").tobytes()
-        for piece, word, closers in cuts:
-            known[piece] = known[word] + known[closers] if closers else known[word]
+            self.known[word] = np.array(found.ids, dtype="<u4").tobytes()
 
     def _encode_words(self, words: list[str]) -> None:
-        if not words:
-            return
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ids = np.array(self.merges.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) != len(words):
             return
         data, low = ids.tobytes(), 0
-        for word, stop in zip(words, stops.tolist(), strict=True):
-            self.known[word] = data[4 * low : 4 * stop]
+        for word, stop in zip(words, (4 * stops).tolist(), strict=True):
+            self.known[word] = data[low:stop]
             low = stop
 
 
@@ -202,17 +246,17 @@ def _encoded(batches: Iterator[pa.RecordBatch], options: PackOptions, bits: int,
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     worker, end = encoder(options.tokenizer, options.cached, by_pieces), np.array([options.end], "<u4").tobytes()
     for batch in batches:
-        counts, packed = [], []
         texts = batch.column("text").to_pylist()
-        for low, high in pieces_of(texts):
+        for low, high in pieces_of(texts, _CHARS):
+            counts, packed = [], []
             for found in worker.encode(texts[low:high]):
                 ids = np.frombuffer(found + end, dtype="<u4")
                 counts.append(len(ids))
                 packed.append(pack(ids, bits))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("key"), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())],
-            names=["key", "n", "packed"],
-        )
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key")[low:high], pa.array(counts, pa.int64()), pa.array(packed, pa.binary())],
+                names=["key", "n", "packed"],
+            )
 
 
 def _open(folder: str) -> tuple[fs.FileSystem, str]:
