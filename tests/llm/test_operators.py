@@ -735,3 +735,46 @@ def test_encoder_cuts_like_the_tokenizer():
     mine, tokenizer = packing.Encoder(path, 2000, by_pieces=True), Tokenizer.from_file(path)
     texts = ["'solo 'twas O'Really a.'s 's's'll x'", "ªº µ ß Ñ \x85a\x1cb", "…WORD “Word” word", "", "12'st 1's ²x", "日本 Word's", "\n \n"]
     assert [np.frombuffer(x, "<u4").tolist() for x in mine.encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_scores_of_many_words_stay_small():
+    import tracemalloc
+
+    words, langs = [f"{i:x}".translate(str.maketrans("0123456789", "ghijklmnop")).rjust(8, "q") for i in range(50_000)], 30
+    options = langid.LangOptions()
+    weights = np.random.default_rng(3).random((options.buckets, langs), dtype=np.float32)
+    model = langid.LangModel([f"l{i:02}" for i in range(langs)], weights, np.ones((len(langid.NAMES), langs), dtype=bool))
+    tracemalloc.start()
+    scores = langid._scored(words, model, options)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert scores.shape == (50_000, langs) and peak < 10 * scores.nbytes
+    assert (scores == langid._scores(words, model, options)).all()
+
+
+def test_labels_keep_different_words_only():
+    import tracemalloc
+
+    model = langid.LangModel(["a", "b"], np.zeros((langid.LangOptions().buckets, 2), dtype=np.float32), np.ones((len(langid.NAMES), 2), dtype=bool))
+    texts = ["abcdefghij klmnopqrst uvwxyzabcd " * 1000] * 100
+    tracemalloc.start()
+    langid.label(texts, model, langid.LangOptions())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300_000 * 50
+
+
+def test_tokens_are_digested_where_they_are_read(spark):
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    found = packing.token_digests(docs(spark, ["one", "two"]), packing.PackOptions(path))
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_encoded_task_leaves_no_pieces_behind():
+    import pyarrow as pa
+
+    options = packing.PackOptions(queries.tokenizer_path("word_bpe_49k.json"))
+    batch = pa.RecordBatch.from_pydict({"key": [1, 2], "text": ["some words", "other words"]})
+    (got,) = packing._encoded(iter([batch]), options, 16, True)
+    worker = packing.encoder(options.tokenizer, options.cached, True)
+    assert got.column("key").to_pylist() == [1, 2] and not worker.known and not worker.older

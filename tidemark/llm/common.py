@@ -62,14 +62,19 @@ def groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
 
 def pieces_of(texts: list[str], chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about `chars` characters: bounds what one step in a task holds."""
+    return ranges_of([len(text) for text in texts], chars)
+
+
+def ranges_of(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours whose sizes add up to about `most`."""
     start, held = 0, 0
-    for i, text in enumerate(texts):
-        held += len(text)
-        if held >= chars:
+    for i, size in enumerate(sizes):
+        held += size
+        if held >= most:
             yield start, i + 1
             start, held = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import keyed, small, unkeyed
+from tidemark.llm.common import keyed, pieces_of, small, unkeyed
 from tidemark.sources.shared import materialise
 
 UND = "und"
@@ -57,6 +57,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 _NUMERALS = "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
 _LETTERS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 _PIECE_CHARS = 4_000_000
+_SCORED_CHARS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -145,7 +146,13 @@ def train(docs: DataFrame, options: LangOptions = LangOptions()) -> LangModel:
 
 
 def _scored(words: list[str], model: LangModel, options: LangOptions) -> np.ndarray:
-    """A row of scores per word, 0 for its best language."""
+    """A row of scores per word, 0 for its best language. A few words are looked up at a time,
+    since every character takes a row of weights. The last n-gram of a word reaches into the next."""
+    ranges = pieces_of(words, _SCORED_CHARS)
+    return np.concatenate([_scores(words[low : high + 1], model, options)[: high - low] for low, high in ranges])
+
+
+def _scores(words: list[str], model: LangModel, options: LangOptions) -> np.ndarray:
     grams, starts, script = _grams(words, options.buckets)
     flat = model.weights[grams[:, 0]] + model.weights[grams[:, 1]]
     sums = np.add.reduceat(flat, starts, axis=0)
@@ -189,16 +196,16 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, sizes: np.ndarray, penalty:
 def label(texts: list[str | None], model: LangModel, options: LangOptions) -> list[tuple[str, float, list]]:
     """(language, share of its letters, spans) per text; a span is (language, first word,
     words)."""
-    split = [_words(t) for t in texts]
     index: dict[str, int] = {}
-    ids = np.array([index.setdefault(w, len(index)) for words in split for w in words], dtype=np.int64)
+    # Only different words stay objects.
+    found = [np.array([index.setdefault(w, len(index)) for w in _words(t)], dtype=np.int32) for t in texts]
     out: list[tuple[str, float, list]] = [(UND, 0.0, []) for _ in texts]
     if not index or not model.langs:
         return out
-    unique = list(index)
+    unique, ids = list(index), np.concatenate(found)
     scores = _scored(unique, model, options)[ids]
     letters = np.array([len(w) for w in unique])[ids]
-    sizes = np.array([len(s) for s in split])
+    sizes = np.array([len(f) for f in found])
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     order = np.argsort(-sizes, kind="stable")
     labels = viterbi(scores, starts[order], sizes[order], options.penalty)

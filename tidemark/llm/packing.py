@@ -24,13 +24,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import keyed, pieces_of, unkeyed
+from tidemark.llm.common import keyed, ranges_of, unkeyed
 from tidemark.sources.shared import materialise, table_folder
 
 MAGIC = b"TMKPACK1"
@@ -190,6 +191,10 @@ class Encoder:
                     out[i] = ids
         return out
 
+    def forget(self) -> None:
+        """Lets go of all pieces: a worker idle after its task, or at other work, holds none."""
+        self.known, self.older = {}, {}
+
     def _joined(self, counts: np.ndarray, places: np.ndarray, pieces: list[str]) -> Iterator[bytes]:
         """Ids of each text from those of its pieces."""
         if len(self.known) > self.cached // 2:
@@ -234,7 +239,7 @@ class Encoder:
 
 
 def encoder(path: str, cached: int, by_pieces: bool) -> Encoder:
-    """The worker's encoder, kept from task to task."""
+    """The worker's encoder, kept from task to task without the pieces it met."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path, cached, by_pieces)
     return _ENCODERS[path]
@@ -246,10 +251,11 @@ def _encoded(batches: Iterator[pa.RecordBatch], options: PackOptions, bits: int,
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     worker, end = encoder(options.tokenizer, options.cached, by_pieces), np.array([options.end], "<u4").tobytes()
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for low, high in pieces_of(texts, _CHARS):
+        texts = batch.column("text")
+        # A few texts at a time are taken out of the batch; sizes in bytes are at least those in characters.
+        for low, high in ranges_of(pc.binary_length(texts).to_pylist(), _CHARS):
             counts, packed = [], []
-            for found in worker.encode(texts[low:high]):
+            for found in worker.encode(texts[low:high].to_pylist()):
                 ids = np.frombuffer(found + end, dtype="<u4")
                 counts.append(len(ids))
                 packed.append(pack(ids, bits))
@@ -257,6 +263,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], options: PackOptions, bits: int,
                 [batch.column("key")[low:high], pa.array(counts, pa.int64()), pa.array(packed, pa.binary())],
                 names=["key", "n", "packed"],
             )
+    worker.forget()
 
 
 def _open(folder: str) -> tuple[fs.FileSystem, str]:
@@ -374,9 +381,11 @@ def write_tokens(docs: DataFrame, options: PackOptions, order: Sequence[Column]
     return materialise(manifest, "tokens-manifest")
 
 
-def read_tokens(manifest: DataFrame) -> DataFrame:
+def read_tokens(manifest: DataFrame, digests: bool = False) -> DataFrame:
     """(key, start, n_tokens, ids) for each document in the files; `start` counts the tokens
-    before it in all files. `ids` are u32 little-endian bytes."""
+    before it in all files. `ids` are u32 little-endian bytes; with `digests` their crc32,
+    ids_crc32, stands in their place, so that one worker a task reads and digests."""
+    last, kind = ("ids_crc32", pa.int64()) if digests else ("ids", pa.binary())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path, before in ((f.as_py(), n.as_py()) for b in batches for f, n in zip(b.column("file"), b.column("before"), strict=True)):
@@ -386,21 +395,22 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                 stop = int(rows[-1, 1])
                 ids, base = packed.tokens(start, stop).astype("<u4"), start
                 starts = np.concatenate(([start], rows[:-1, 1]))
+                data = [ids[a - base : b - base].tobytes() for a, b in zip(starts, rows[:, 1], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(rows[:, 0]),
                         pa.array(starts + before, pa.int64()),
                         pa.array(rows[:, 1] - starts, pa.int64()),
-                        pa.array([ids[a - base : b - base].tobytes() for a, b in zip(starts, rows[:, 1], strict=True)], pa.binary()),
+                        pa.array(map(zlib.crc32, data) if digests else data, kind),
                     ],
-                    names=["key", "start", "n_tokens", "ids"],
+                    names=["key", "start", "n_tokens", last],
                 )
                 start = stop
 
     # A fixed number of partitions: a file's row is small, the file behind it is not.
     parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = file_starts(manifest).repartition(parts, "file")
-    return spread.mapInArrow(read, "key long, start long, n_tokens long, ids binary")
+    return spread.mapInArrow(read, f"key long, start long, n_tokens long, {last} {'long' if digests else 'binary'}")
 
 
 def file_starts(manifest: DataFrame) -> DataFrame:
@@ -412,14 +422,5 @@ def file_starts(manifest: DataFrame) -> DataFrame:
 
 def token_digests(docs: DataFrame, options: PackOptions, order: Sequence[Column] = ()) -> DataFrame:
     """Write, read back, and describe each document: doc_id, start, n_tokens, ids_crc32."""
-    manifest = write_tokens(docs, options, order)
-
-    def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sums = pa.array([zlib.crc32(x.as_buffer()) for x in b.column("ids")], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in ("key", "start", "n_tokens")), sums], names=["key", "start", "n_tokens", "ids_crc32"]
-            )
-
-    read = read_tokens(manifest).mapInArrow(crc, "key long, start long, n_tokens long, ids_crc32 long")
+    read = read_tokens(write_tokens(docs, options, order), digests=True)
     return read.select(unkeyed("key", "doc_id"), "start", "n_tokens", "ids_crc32")
