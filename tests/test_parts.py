@@ -1,6 +1,7 @@
 """Tables in parts: what a refresh reads and replaces, and what survives a lost job."""
 
 import datetime as dt
+import json
 import os
 import threading
 import urllib.parse
@@ -14,7 +15,7 @@ from rows import CLOCK, LOAD, by_key
 from tidemark.config import session_settings
 from tidemark.operators import incremental, key_index, keys, owner_pairs, sketches
 from tidemark.plans import checks, pipeline, silver
-from tidemark.schemas import CUSTOMER, GOLD, INGESTED, RAW, SILVER
+from tidemark.schemas import CUSTOMER, GOLD, INGESTED, RAW, RUN_LOG, SILVER, VIOLATIONS
 from tidemark.sources import parts, replace_table, stored, tables
 from tidemark.sources.delimited import read_checked, split_checked
 from tidemark.schemas import CUSTOMERS
@@ -276,6 +277,34 @@ def test_row_rules_of_a_table_are_one_scan(spark, tmp_path):
     assert {r.rule_id for r in found.collect()} == {"not_null_t_mobile", "accepted_values_t_gender"}
 
 
+def test_only_violating_rows_become_text_and_each_once(spark, tmp_path):
+    path = str(tmp_path / "customers")
+    rows.customers(spark, rows.customer(1, mobile=None, gender="X"), rows.customer(2), rows.customer(3, gender=None)).write.parquet(path)
+    table = spark.read.parquet(path)
+    many = [checks.Rule("not_null", "t", "mobile"), checks.Rule("accepted_values", "t", "gender", values=("Male",))]
+    found = checks.violations({"t": table}, many)
+    above, below = plan(found).lower().split("generate", 1)
+    assert "json" not in above and "json" in below, "made once a row, below the unfolding"
+    kept = [(r.rule_id, json.loads(r.violation)["customer_id"]) for r in found.collect()]
+    assert sorted(kept) == [("accepted_values_t_gender", 1), ("not_null_t_mobile", 1)], "a NULL is no wrong value"
+
+
+def test_a_gate_without_failures_leaves_an_empty_table_without_python(spark, names):
+    table = rows.customers(spark, rows.customer(1))
+    assert checks.settle({"t": table}, [checks.Rule("not_null", "t", "customer_id")], {}, names[1])[0].failures == 0
+    assert spark.table(names[1]).count() == 0 and set(spark.table(names[1]).columns) == set(VIOLATIONS.names)
+    empty = tables.no_rows(spark, VIOLATIONS)
+    assert empty.schema.simpleString() == VIOLATIONS.simpleString() and empty.isEmpty()
+    assert "ExistingRDD" not in plan(empty)
+
+
+def test_a_line_of_the_run_log_needs_no_python(spark):
+    row = (7, "bank_check", LOAD.replace(tzinfo=dt.UTC), None, "FAILED")
+    line = tables.one_row(spark, row, RUN_LOG)
+    assert line.schema.simpleString() == RUN_LOG.simpleString() and "ExistingRDD" not in plan(line)
+    assert line.collect() == spark.createDataFrame([row], RUN_LOG).collect()
+
+
 def test_mart_pins_the_session(spark):
     spark.conf.set("spark.sql.session.timeZone", "Asia/Manila")
     pipeline.Mart(spark, "default", buckets=2)

@@ -14,7 +14,7 @@ from tidemark.config import Clock
 from tidemark.operators.keys import union_all
 from tidemark.plans.rules import Assertion, Rule
 from tidemark.schemas import INGESTED, VIOLATIONS
-from tidemark.sources.tables import drop_audit, replace_table, write_audit
+from tidemark.sources.tables import drop_audit, no_rows, replace_table, write_audit
 
 Check = Rule | Assertion
 
@@ -63,8 +63,9 @@ def violations(tables: Mapping[str, DataFrame], checks: Sequence[Check]) -> Data
             f"'severity', '{r.severity}') END"
             for r in rules
         )
-        hit = F.expr(f"filter(array({marks}), x -> x IS NOT NULL)")
-        found.append(_violated(tables[table].withColumn("_rules", hit).where(F.size("_rules") > 0)))
+        # Good rows, mostly all, only meet the plain predicates.
+        wrong = tables[table].where(" OR ".join(f"({r.violation})" for r in rules))
+        found.append(_violated(wrong.withColumn("_rules", F.expr(f"filter(array({marks}), x -> x IS NOT NULL)"))))
     return union_all(*found)
 
 
@@ -77,7 +78,8 @@ def _named(check: Check) -> Column:
 def _violated(rows: DataFrame) -> DataFrame:
     content = [c for c in rows.columns if c != "_rules"]
     as_json = F.to_json(F.struct(*(F.col(f"`{c}`") for c in content))).alias("violation")
-    return rows.select(F.explode("_rules").alias("rule"), as_json).select("rule.*", "violation")
+    # The text is made below the unfolding, once for all rules of a row.
+    return rows.select("_rules", as_json).select(F.explode("_rules").alias("rule"), "violation").select("rule.*", "violation")
 
 
 def row_counts_of(rules: Sequence[Rule]) -> list[Column]:
@@ -106,7 +108,7 @@ def settle(
     if sink is not None:
         wrong = [c for c in checks if c.rule_id in failing]
         spark = next(iter(tables.values())).sparkSession
-        rows = violations(tables, wrong) if wrong else spark.createDataFrame([], VIOLATIONS)
+        rows = violations(tables, wrong) if wrong else no_rows(spark, VIOLATIONS)
         replace_table(rows, sink, partition_by="rule_id")
     return results
 

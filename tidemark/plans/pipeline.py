@@ -44,6 +44,7 @@ from tidemark.sources.tables import (
     append_facts,
     bucket_count,
     fact_parts,
+    one_row,
     replace_facts,
     replace_table,
     session_buckets,
@@ -368,7 +369,7 @@ def _logged(mart: Mart, job: str, run: Callable[[], None]) -> None:
     def log(state: str) -> None:
         ended = dt.datetime.now(dt.UTC)
         row = (int(started.timestamp() * 1e6), f"{mart.database}_{job}", started, ended, state)
-        append_batch(mart.spark.createDataFrame([row], RUN_LOG), mart.name(LOG))
+        append_batch(one_row(mart.spark, row, RUN_LOG), mart.name(LOG))
 
     try:
         run()

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.sources.parts import LOAD, PART, bucket_of, laid_out, property_of, set_properties
 
@@ -53,6 +55,16 @@ def bucket_count(spark: SparkSession, name: str) -> int:
     return int(found["data_type"]) if found else 0
 
 
+def no_rows(spark: SparkSession, schema: StructType) -> DataFrame:
+    """An empty table, made without Python workers: those of an empty list take seconds to start."""
+    return spark.range(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in schema))
+
+
+def one_row(spark: SparkSession, row: Sequence[object], schema: StructType) -> DataFrame:
+    """A single row of literals, likewise without Python workers."""
+    return spark.range(1).select(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, schema, strict=True)))
+
+
 def session_buckets(spark: SparkSession) -> int:
     """Files of a table nobody chose a number for: as many as a shuffle has partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
